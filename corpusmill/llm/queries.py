@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, packing, simhash, wordpiece
+from corpusmill.llm import bpe, packing, quality, simhash, wordpiece
 from corpusmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.json")
     both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -48,4 +52,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op1_simhash"] = op1_simhash
 QUERIES["op5_packing"] = op5_packing
 QUERIES["op6_token_counts"] = op6_token_counts
+QUERIES["op9_quality"] = op9_quality
 QUERIES["op10_bpe"] = op10_bpe
