@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, packing, quality, simhash, substring, wordpiece
+from corpusmill.llm import bpe, packing, pivots, quality, simhash, substring, wordpiece
 from corpusmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,5 +62,6 @@ QUERIES["op1_simhash"] = op1_simhash
 QUERIES["op4_substring"] = op4_substring
 QUERIES["op5_packing"] = op5_packing
 QUERIES["op6_token_counts"] = op6_token_counts
+QUERIES["op7_embeddings"] = op7_embeddings
 QUERIES["op9_quality"] = op9_quality
 QUERIES["op10_bpe"] = op10_bpe
