@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, packing, pivots, quality, simhash, substring, wordpiece
+from corpusmill.llm import bpe, packing, pivots, quality, simhash, substring, topk, urlrules, wordpiece
 from corpusmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -45,6 +49,18 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+#: (verdict, host, path)
+URL_RULES = [
+    ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"),
+    ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
+]
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return urlrules.judge(table(spark, sf_dir, "pages"), rules)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,9 +75,72 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_simhash"] = op1_simhash
+QUERIES["op3_topk"] = op3_topk
 QUERIES["op4_substring"] = op4_substring
 QUERIES["op5_packing"] = op5_packing
 QUERIES["op6_token_counts"] = op6_token_counts
 QUERIES["op7_embeddings"] = op7_embeddings
+QUERIES["op8_urls"] = op8_urls
 QUERIES["op9_quality"] = op9_quality
 QUERIES["op10_bpe"] = op10_bpe
+
+
+ORACLE["op3_topk"] = """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM good q JOIN good c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLE["op4_substring"] = """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), wins AS (
+  SELECT doc_id, s, sha256(array_to_string(words[s : s + 34], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS s FROM w)
+), twice AS (SELECT doc_id, s FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM wins) WHERE n > 1
+), gone AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(s, s + 35)) AS p FROM twice) GROUP BY doc_id
+), kept AS (
+  SELECT w.doc_id, len(words) AS n, coalesce(len(g.gone), 0) AS r,
+    CASE WHEN g.gone IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(g.gone, i)) END AS k
+  FROM w LEFT JOIN gone g USING (doc_id)
+)
+SELECT doc_id, n::BIGINT AS n_words, r::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
+
+ORACLE["op7_embeddings"] = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reach AS (SELECT u, w FROM links UNION SELECT r.u, l.w FROM reach r JOIN links l ON r.w = l.u
+), comp AS (SELECT u, least(u, min(w)) AS c FROM reach GROUP BY u
+), n AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(comp.c, e.vec_id) AS component_id,
+  coalesce(comp.c, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN comp ON comp.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id
+"""
+
+ORACLE["op8_urls"] = """
+WITH rules(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'),
+  ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), rest AS (
+  SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+), cut AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+), fits AS (
+  SELECT c.*, rules.h || rules.p AS rule, rules.verdict AS v,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(rules.h || rules.p) DESC NULLS LAST, length(rules.h) DESC) AS k
+  FROM cut c LEFT JOIN rules ON (c.host = rules.h OR ends_with(c.host, '.' || rules.h)) AND starts_with(c.path, rules.p)
+)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fits WHERE k = 1
+"""
