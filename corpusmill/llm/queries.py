@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, packing, pivots, quality, simhash, substring, topk, urlrules, wordpiece
+from corpusmill.llm import bpe, linededup, packing, pivots, quality, simhash, substring, topk, urlrules, wordpiece
 from corpusmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -75,6 +80,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_simhash"] = op1_simhash
+QUERIES["op2_lines"] = op2_lines
 QUERIES["op3_topk"] = op3_topk
 QUERIES["op4_substring"] = op4_substring
 QUERIES["op5_packing"] = op5_packing
@@ -85,6 +91,19 @@ QUERIES["op9_quality"] = op9_quality
 QUERIES["op10_bpe"] = op10_bpe
 
 
+ORACLE["op2_lines"] = """
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+), runs AS (
+  SELECT doc_id, s, sha256(array_to_string(lines[s : s + 2], chr(10))) AS h
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS s FROM l)
+), later AS (SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS k FROM runs) WHERE k > 1
+), gone AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(s, s + 3)) AS p FROM later) GROUP BY doc_id)
+SELECT l.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN text
+    ELSE array_to_string(list_filter(lines, lambda x, i: NOT list_contains(gone, i)), chr(10)) END) AS kept_sha256
+FROM l LEFT JOIN gone USING (doc_id)
+"""
+
 ORACLE["op3_topk"] = """
 WITH good AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
