@@ -54,6 +54,12 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the top of the repository; it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 #: (verdict, host, path)
 URL_RULES = [
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"),
@@ -89,6 +95,7 @@ QUERIES["op7_embeddings"] = op7_embeddings
 QUERIES["op8_urls"] = op8_urls
 QUERIES["op9_quality"] = op9_quality
 QUERIES["op10_bpe"] = op10_bpe
+QUERIES["pipeline"] = pipeline
 
 
 ORACLE["op2_lines"] = """

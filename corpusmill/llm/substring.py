@@ -162,6 +162,15 @@ def _solve(window: int) -> Callable[[list[tuple[bytes, int]]], Iterator[tuple[in
     return solve
 
 
+def keep(words: list[bytes], spans: list[int]) -> list[bytes]:
+    """``words`` without the spans, packed as ``start << 32 | end``."""
+    at, kept = 0, []
+    for x in sorted(spans):
+        kept += words[at : x >> 32]
+        at = max(at, x & 0xFFFFFFFF)
+    return kept + words[at:]
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, th, spans): per document with repeats, its removed spans as longs ``start << 32 | end``, in words."""
     if not 0 < anchor <= window:
@@ -281,11 +290,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
         for b in batches:
             texts, totals, gone = [], [], []
             for t, spans in zip(b.column("text"), b.column("spans")):
-                words, at, kept = words_of(t.as_py()), 0, []
-                for x in sorted(spans.as_py() or []):
-                    kept += words[at : x >> 32]
-                    at = max(at, x & 0xFFFFFFFF)
-                kept += words[at:]
+                words = words_of(t.as_py())
+                kept = keep(words, spans.as_py() or [])
                 texts.append(b" ".join(kept).decode("utf-8", "replace"))
                 totals.append(len(words))
                 gone.append(len(words) - len(kept))
@@ -297,3 +303,26 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     joined = rows.join(spans, rows["doc_id"].eqNullSafe(spans["doc_id"]) & (rows["th"] == spans["th"]), "left")
     made = joined.select(rows["doc_id"], rows["th"], "text", "spans").mapInArrow(apply, "doc_id long, th long, text string, n_words long, n_removed long")
     return made.select("doc_id", "text", "n_words", "n_removed")
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text``: see remove_repeats.
+
+    Only texts that lose words change (their words are joined by one space); all other rows, null texts
+    too, stay as they are, with all their columns.
+    """
+    keyed = docs.withColumn("__th", F.xxhash64(F.col("text").cast("string")))
+    spans = repeated_spans(docs, window, anchor).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th2"), F.col("spans").alias("__spans"))
+    joined = keyed.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__th2")), "left").select(*docs.columns, "__spans")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, spans = b.schema.get_field_index("text"), b.column("__spans")
+            texts = [
+                t.as_py() if not x.is_valid else b" ".join(keep(words_of(t.as_py()), x.as_py())).decode("utf-8", "replace")
+                for t, x in zip(b.column("text"), spans)
+            ]
+            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
+
+    return joined.mapInArrow(apply, docs.withColumn("text", F.col("text").cast("string")).schema)
