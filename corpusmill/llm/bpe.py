@@ -24,8 +24,8 @@ PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 # The pre-tokenizer's pattern, with its white space spelt out.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-CACHED = 400_000
-STEP = 1 << 20
+CACHED = 200_000
+ROWS = 1000
 
 
 def byte_of_char() -> dict[str, int]:
@@ -86,7 +86,7 @@ class ByteBpe:
         for f in parts:
             if (got := known.get(f)) is None:
                 got = ids[encode(f)].tobytes()
-                if len(f) < 64:
+                if len(f) < 64 and len(parts) > len(new):  # else pieces and fragments are the same
                     known[f] = got
             out.append(got)
         at = 0
@@ -137,27 +137,37 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids) per row of ``docs``: ids as little-endian unsigned 32-bit integers; null text: none."""
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids) per row of ``docs``: ids as little-endian unsigned 32-bit integers; null text: none.
+
+    With ``decoded`` a third column, text, has the ids decoded again by the same worker.
+    """
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
+    names = ["doc_id", "ids", "text"][: 2 + decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value)
         for b in batches:
-            ids = [bpe.encode(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                ids = [bpe.encode(t.as_py()) for t in part.column("text")]
+                columns = [part.column("doc_id"), pa.array(ids, pa.binary())]
+                if decoded:
+                    columns.append(pa.array([bpe.decode(i) for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
+    schema = "doc_id long, ids binary" + ", text string" * decoded
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, text): the text of each row of ``encoded`` (doc_id, ids); null ids: null."""
+    """(doc_id, text): the text of each row of ``encoded`` (doc_id, ids); null ids: null."""
     spec = encoded.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value)
         for b in batches:
             texts = [None if i.as_py() is None else bpe.decode(i.as_py()) for i in b.column("ids")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
