@@ -1,10 +1,539 @@
-"""Registered queries and their oracle SQL."""
+"""Registered queries and their oracle SQL: one for each group of operators, over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill.functions import hashing
+from corpusmill.functions import text as T
+from corpusmill.functions.numbering import long_bucket, positions
+from corpusmill.operators import clean, dedup, inference, labels, metrics, profile, results, splits, training, windows
+from corpusmill.plans.inputs import PREDICTIONS_SQL, labelled, predictions, table, with_label
+from corpusmill.schema import SequenceParams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Shared pieces of oracle SQL, spelt with the classes that corpusmill.functions.text uses.
+S = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+W = r"[\p{L}\p{N}_]"
+
+
+def sql_collapse(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{S}+', ' ', 'g'))"
+
+
+def sql_clean(x: str) -> str:
+    x = f"lower({x})"
+    x = f"regexp_replace({x}, '(?i)\\b(?:https?://|www\\.)[^\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g')"
+    x = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
+    x = f"regexp_replace({x}, '@{W}+', ' ', 'g')"
+    x = f"regexp_replace({x}, '#{W}+', ' ', 'g')"
+    x = f"regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g')"
+    return sql_collapse(x)
+
+
+REGEX_STEPS = {**T.STEPS, "remove_html": T.remove_tags}
+REGEX_TRACK = ["lowercase", "remove_urls", "remove_html", "remove_mentions", "remove_hashtags", "remove_symbols"]
+STATS_SQL = """count(*) AS n, count_if(label = 1)::BIGINT AS n_fake, count_if(label = 0)::BIGINT AS n_real, round(count_if(label = 1) / count(*), 6) AS fake_ratio,
+  round(avg(n_chars), 3) AS mean_chars, round(median(n_chars)::DOUBLE, 3) AS median_chars, round(avg(n_words), 3) AS mean_words, round(median(n_words)::DOUBLE, 3) AS median_words"""
+LABELLED_SQL = "SELECT doc_id AS row_pos, text, source, lang, (1 - quality)::INTEGER AS label FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL"
+MEASURED_SQL = f"""SELECT *, length({sql_collapse("text")}) AS c,
+  length(regexp_replace(' ' || text, '^{S}+|{S}+$', '', 'g')) AS n_chars, len(list_filter(string_split({sql_collapse("text")}, ' '), lambda t: t <> '')) AS n_words"""
+
+
+# --- flagship -----------------------------------------------------------------
+@query(f"""
+WITH c AS (SELECT row_pos, label, {sql_clean("text")} AS text FROM ({LABELLED_SQL})),
+k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY row_pos) = 1),
+m AS ({MEASURED_SQL} FROM k)
+SELECT label, {STATS_SQL} FROM m GROUP BY label
+""")
+def flagship_labelled_profile(spark, d):
+    """Clean, keep the first of each text, profile by class."""
+    cleaned = clean.clean_columns(with_label(spark, d), REGEX_TRACK, ["text"], REGEX_STEPS).select("row_pos", "label", "text")
+    kept = cleaned.join(dedup.exact_keep(cleaned).where("keep"), "row_pos", "left_semi")
+    return profile.profile(kept, ["label"])
+
+
+# --- labels (B3-B8, C1, E4, H6) -------------------------------------------------
+EVENT_MAP = labels.MappingSpec("EVT", ("click", "purchase"), ("view",))
+RAW_EVENT_SQL = "SELECT event_id, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN ' ' || upper(event_type) || ' ' WHEN 2 THEN 'None' ELSE event_type END AS raw, 'EVT' AS dataset_id FROM events"
+TOKEN_SQL = "CASE WHEN lower(trim(raw)) IN ('', 'nan', 'none', 'null') THEN NULL ELSE replace(replace(lower(trim(raw)), '_', '-'), ' ', '-') END"
+MAPPED_SQL = f"SELECT *, CASE WHEN t IN ('click', 'purchase') THEN 1 WHEN t IN ('view') THEN 0 END AS label FROM (SELECT *, {TOKEN_SQL} AS t FROM ({RAW_EVENT_SQL}))"
+
+
+def raw_events(spark, d):
+    e, r = F.col("event_type"), F.col("event_id") % 7
+    raw = F.when(r == 0, None).when(r == 1, F.concat(F.lit(" "), F.upper(e), F.lit(" "))).when(r == 2, "None").otherwise(e)
+    return table(spark, d, "events").select(F.lit("EVT").alias("dataset_id"), "event_id", raw.alias("label_raw"))
+
+
+@query(f"SELECT dataset_id, count(*) AS n_raw, count_if(t IS NULL)::BIGINT AS n_missing, count_if(t IS NOT NULL AND label IS NULL)::BIGINT AS n_ambiguous, count(label) AS n_kept, count_if(label = 1)::BIGINT AS n_fake, count_if(label = 0)::BIGINT AS n_real FROM ({MAPPED_SQL}) GROUP BY dataset_id")
+def label_mapping_report(spark, d):
+    return labels.mapping_report(raw_events(spark, d), EVENT_MAP)
+
+
+@query(f"SELECT event_id, label, row_number() OVER (ORDER BY event_id) - 1 AS row_pos, 'EVT_' || (row_number() OVER (ORDER BY event_id) - 1) AS uid FROM ({MAPPED_SQL}) WHERE label IS NOT NULL")
+def label_binarize(spark, d):
+    return labels.binarize(raw_events(spark, d), EVENT_MAP, "event_id").select("event_id", "label", "row_pos", "uid")
+
+
+@query(f"SELECT bool_and(label IN (0, 1)) AS ok FROM ({MAPPED_SQL}) WHERE label IS NOT NULL")
+def label_domain_check(spark, d):
+    return labels.label_domain_ok(labels.binarize(raw_events(spark, d), EVENT_MAP, "event_id"))
+
+
+@query(f"SELECT event_id, t AS token FROM (SELECT *, {TOKEN_SQL} AS t FROM ({RAW_EVENT_SQL}))")
+def label_tokens(spark, d):
+    return raw_events(spark, d).select("event_id", T.label_token(F.col("label_raw")).alias("token"))
+
+
+# --- cleaning (C2-C17) -----------------------------------------------------------
+@query(f"SELECT doc_id, sha256({sql_clean('text')}) AS cleaned FROM documents")
+def clean_documents(spark, d):
+    return clean.clean_columns(table(spark, d, "documents"), REGEX_TRACK, ["text"], REGEX_STEPS).select("doc_id", hashing.sha256(F.col("text")).alias("cleaned"))
+
+
+@query(f"SELECT page_id, sha256({sql_clean('html')}) AS cleaned FROM pages")
+def clean_pages(spark, d):
+    """Tags and urls, which only pages have."""
+    return clean.clean_columns(table(spark, d, "pages"), REGEX_TRACK, ["html"], REGEX_STEPS).select("page_id", hashing.sha256(F.col("html")).alias("cleaned"))
+
+
+@query("SELECT doc_id, sha256(nfc_normalize(text)) AS nfc FROM documents")
+def clean_nfc(spark, d):
+    return table(spark, d, "documents").select("doc_id", hashing.sha256(T.unicode_nfc(F.col("text"))).alias("nfc"))
+
+
+STOPS = ["the", "of", "and", "to", "in", "is", "der", "die", "de", "la"]
+
+
+@query(f"""SELECT doc_id, sha256(array_to_string(list_filter(string_split({sql_clean('text')}, ' '), lambda t: t <> '' AND t NOT IN ({', '.join(f"'{w}'" for w in STOPS)})), ' ')) AS kept FROM documents""")
+def clean_stopwords(spark, d):
+    cleaned = T.apply_steps(F.col("text"), REGEX_TRACK, REGEX_STEPS)
+    return table(spark, d, "documents").select("doc_id", hashing.sha256(T.remove_stopwords(cleaned, STOPS)).alias("kept"))
+
+
+@query()
+def clean_both_tracks(spark, d):
+    """Both full tracks: entities, stop words and lemmas included."""
+    both = clean.both_tracks(labelled(spark, d).select("row_pos", "title", "text"))
+    return both.select("row_pos", "version", hashing.sha256(F.col("text")).alias("text_sha"))
+
+
+@query(f"SELECT doc_id, length(text) AS n_chars, len(list_filter(string_split({sql_collapse('text')}, ' '), lambda t: t <> ''))::INTEGER AS n_words FROM documents")
+def text_lengths(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.char_length(F.col("text")).cast("long").alias("n_chars"), T.word_count(F.col("text")).alias("n_words"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS id, string_split(url, '/')[1] AS owner, string_split(url, '/')[-1] AS name FROM pages")
+def text_identifiers(spark, d):
+    parts = T.slug_parts(F.col("url"))
+    return table(spark, d, "pages").select("page_id", T.sanitize_id(F.col("url")).alias("id"), parts["owner"].alias("owner"), parts["name"].alias("name"))
+
+
+@query("SELECT event_id, try_cast(raw AS TIMESTAMP) AS ts FROM (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'unknown' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS raw FROM events)")
+def text_timestamps(spark, d):
+    raw = F.when(F.col("event_id") % 11 == 0, "unknown").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return table(spark, d, "events").select("event_id", T.parse_timestamp(raw).cast("timestamp_ntz").alias("ts"))
+
+
+@query(f"SELECT doc_id AS row_pos, length(text) AS n_chars, round(length(regexp_replace(text, '[^\\p{{P}}]', '', 'g')) / greatest(length(text), 1), 6) AS punctuation_rate, round(length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) / greatest(length(text), 1), 6) AS capital_rate FROM documents")
+def text_surface_features(spark, d):
+    out = profile.surface_features(labelled(spark, d))
+    return out.withColumn("n_chars", F.col("n_chars").cast("long"))
+
+
+@query()
+def hash_table(spark, d):
+    return hashing.table_hash(table(spark, d, "documents"), "doc_id")
+
+
+# --- exact and near duplicates (D1, D2, E5, E13, I1-I8) ---------------------------
+@query("SELECT doc_id AS row_pos, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1 AS keep FROM documents")
+def dedup_exact(spark, d):
+    return dedup.exact_keep(table(spark, d, "documents").select(F.col("doc_id").alias("row_pos"), "text"))
+
+
+UNIGRAMS = 1
+TOKENS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
+
+
+def weights_sql(rows: str) -> str:
+    return f"""rows AS ({rows}), tok AS (SELECT pos, unnest({TOKENS_SQL}) AS term FROM rows
+), cnt AS (SELECT pos, term, count(*) AS tf FROM tok GROUP BY ALL
+), voc AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM cnt GROUP BY term ORDER BY cf DESC, term LIMIT 50000
+), w AS (SELECT pos, term, df, tf * (ln((1.0 + (SELECT count(*) FROM rows)) / (1 + df)) + 1) AS w FROM cnt JOIN voc USING (term)
+), x AS (SELECT pos, term, df, w / sqrt(sum(w * w) OVER (PARTITION BY pos)) AS x FROM w)"""
+
+
+KEPT_ROWS_SQL = "SELECT min(doc_id) AS pos, text FROM documents WHERE lang <> 'en' GROUP BY text"
+PAIRS_SQL = f"""WITH RECURSIVE {weights_sql(KEPT_ROWS_SQL)}, e AS (
+  SELECT l.pos AS a, r.pos AS b, sum(l.x * r.x) AS cosine FROM x l JOIN x r ON l.term = r.term AND l.pos < r.pos WHERE l.df > 1 GROUP BY ALL HAVING sum(l.x * r.x) >= 0.9 - 1e-9)"""
+
+
+def distinct_foreign(spark, d):
+    """Distinct texts of the three smaller languages."""
+    docs = table(spark, d, "documents").where("lang <> 'en'")
+    return docs.groupBy("text").agg(F.min("doc_id").alias("row_pos")).select("row_pos", "text")
+
+
+@query(f"{PAIRS_SQL} SELECT a, b, round(cosine, 6) AS cosine FROM e")
+def dedup_similar_pairs(spark, d):
+    return dedup.similar_pairs(distinct_foreign(spark, d), 0.90, largest=UNIGRAMS).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"""{PAIRS_SQL}, n AS (SELECT pos, row_number() OVER (ORDER BY pos) AS i FROM (SELECT DISTINCT b AS pos FROM e)
+), walk(i, gone) AS (
+  SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT n.i, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.b = n.pos AND NOT list_contains(walk.gone, e.a)) THEN list_append(walk.gone, n.pos) ELSE walk.gone END
+  FROM walk JOIN n ON n.i = walk.i + 1)
+SELECT unnest(gone) AS row_pos FROM (SELECT gone FROM walk ORDER BY i DESC LIMIT 1)
+""")
+def dedup_greedy(spark, d):
+    return dedup.greedy_dropped(dedup.similar_pairs(distinct_foreign(spark, d), 0.90, largest=UNIGRAMS))
+
+
+@query()
+def dedup_documents(spark, d):
+    """The whole of it with bigrams: counts of exact and near duplicates."""
+    return dedup.dedup_report(dedup.dedup_flags(labelled(spark, d)), "DOC")
+
+
+CROSS_ROWS_SQL = "SELECT doc_id * 2 AS pos, text FROM documents WHERE lang = 'de' UNION ALL SELECT doc_id * 2 + 1, text FROM documents WHERE lang = 'fr'"
+
+
+@query(f"""WITH {weights_sql(CROSS_ROWS_SQL)}
+SELECT DISTINCT r.pos // 2 AS row_pos FROM (SELECT l.pos AS a, r.pos, sum(l.x * r.x) AS c FROM x l JOIN x r ON l.term = r.term WHERE l.pos % 2 = 0 AND r.pos % 2 = 1 GROUP BY ALL HAVING c >= 0.9 - 1e-9) r""")
+def dedup_across(spark, d):
+    df = labelled(spark, d)
+    return dedup.across_dropped(df.where("lang = 'de'"), df.where("lang = 'fr'"), largest=UNIGRAMS)
+
+
+DATASETS = [("DS1", "transfer", "W"), ("DS2", "transfer", "W"), ("DS3", "transfer", "F"), ("DS4", "probe", "C")]
+
+
+@query("""WITH d(id, role, src) AS (VALUES ('DS1', 'transfer', 'W'), ('DS2', 'transfer', 'W'), ('DS3', 'transfer', 'F'), ('DS4', 'probe', 'C'))
+SELECT a.id AS train_id, b.id AS test_id, CASE WHEN a.src = b.src THEN 'same source family' ELSE '' END AS note FROM d a JOIN d b ON a.id <> b.id WHERE a.role = 'transfer'""")
+def dedup_transfer_pairs(spark, d):
+    return dedup.transfer_pairs(spark.createDataFrame(DATASETS, "dataset_id string, role string, source string"))
+
+
+@query("SELECT doc_id AS pre_dedup_index, row_number() OVER (ORDER BY doc_id) - 1 AS row_pos FROM (SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1)")
+def dedup_lineage(spark, d):
+    """Survivors renumbered, each with its place before."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("row_pos"), "text")
+    kept = rows.join(dedup.exact_keep(rows).where("keep"), "row_pos", "left_semi").withColumnRenamed("row_pos", "pre_dedup_index")
+    return positions(kept.select("pre_dedup_index"), ["pre_dedup_index"], long_bucket("pre_dedup_index"))
+
+
+# --- splits (J1-J7, F1, F3, F4, H4, H5) ---------------------------------------------
+STRATIFIED_SQL = f"""WITH r AS (SELECT row_pos, label, sha256('13:' || row_pos) AS h FROM ({LABELLED_SQL})),
+c AS (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total FROM r GROUP BY label),
+s AS (SELECT *, total - ceil((0.15::DOUBLE + 0.15::DOUBLE) * total) AS s_train, ceil((0.15::DOUBLE + 0.15::DOUBLE) * total) - ceil(0.5 * ceil((0.15::DOUBLE + 0.15::DOUBLE) * total)) AS s_val FROM c),
+t AS (SELECT *, n * s_train / total AS e, floor(n * s_train / total) AS b FROM s),
+u AS (SELECT *, b + CASE WHEN row_number() OVER (ORDER BY round(b - e, 9), label) <= s_train - sum(b) OVER () THEN 1 ELSE 0 END AS q_train FROM t),
+v AS (SELECT *, (n - q_train) * s_val / sum(n - q_train) OVER () AS e2 FROM u),
+y AS (SELECT *, floor(e2) + CASE WHEN row_number() OVER (ORDER BY round(floor(e2) - e2, 9), label) <= s_val - sum(floor(e2)) OVER () THEN 1 ELSE 0 END AS q_val FROM v),
+k AS (SELECT r.row_pos, r.label, row_number() OVER (PARTITION BY r.label ORDER BY h, row_pos) - 1 AS k, q_train, q_val FROM r JOIN y USING (label)),
+split AS (SELECT row_pos, CASE WHEN k < q_train THEN 'train' WHEN k < q_train + q_val THEN 'val' ELSE 'test' END AS part FROM k)"""
+
+
+@query(f"{STRATIFIED_SQL} SELECT * FROM split")
+def split_stratified(spark, d):
+    return splits.stratified(with_label(spark, d), 13, "row_pos")
+
+
+SOURCE_SQL = """WITH g AS (SELECT source AS src, count(*) AS size, sha256('13:' || source) AS h FROM documents GROUP BY source),
+b AS (SELECT *, coalesce(sum(size) OVER (ORDER BY h, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total FROM g),
+t AS (SELECT *, before < floor(total * 0.7) AS tr, sum(CASE WHEN before < floor(total * 0.7) THEN size ELSE 0 END) OVER () AS n_train FROM b),
+split AS (SELECT doc_id AS row_pos, source, CASE WHEN tr THEN 'train' WHEN before - n_train < floor(total * 0.15) THEN 'val' ELSE 'test' END AS part FROM documents JOIN t ON source = src)"""
+
+
+@query(f"{SOURCE_SQL} SELECT row_pos, part FROM split")
+def split_source_disjoint(spark, d):
+    return splits.source_disjoint(labelled(spark, d), 13)
+
+
+@query(f"{SOURCE_SQL} SELECT source AS src, count(DISTINCT part) AS parts FROM split GROUP BY source HAVING count(DISTINCT part) > 1")
+def split_shared_sources(spark, d):
+    df = labelled(spark, d)
+    return splits.shared_sources(splits.source_disjoint(df, 13), df)
+
+
+@query("""WITH e AS (SELECT event_id AS row_pos, CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts END AS ts FROM events),
+k AS (SELECT row_pos, row_number() OVER (ORDER BY ts ASC NULLS LAST, row_pos) - 1 AS k, count(*) OVER () AS n FROM e)
+SELECT row_pos, CASE WHEN k < round(n * 0.7) THEN 'train' WHEN k < round(n * 0.85) THEN 'val' ELSE 'test' END AS part FROM k""")
+def split_temporal(spark, d):
+    ev = table(spark, d, "events").select(F.col("event_id").alias("row_pos"), F.when(F.col("event_id") % 11 != 0, F.col("ts")).alias("ts"))
+    return splits.temporal(ev)
+
+
+@query(f"{STRATIFIED_SQL} SELECT part, count(*) AS n, sum(row_pos)::BIGINT AS ids FROM split GROUP BY part")
+def split_part_sizes(spark, d):
+    return splits.stratified(with_label(spark, d), 13, "row_pos").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("row_pos").alias("ids"))
+
+
+@query("SELECT 'DOC' AS dataset_id, r AS regime, s::INTEGER AS seed, (SELECT count(*) FROM documents) AS n_rows, true AS ok FROM (VALUES ('S-RAND', 13), ('S-RAND', 42), ('S-SRC', 13), ('S-SRC', 42)) v(r, s)")
+def split_partition_check(spark, d):
+    """All regimes of all documents cover every row once."""
+    df = labelled(spark, d).withColumn("label", F.coalesce(F.col("label_raw").cast("int"), F.lit(2))).withColumn("uid", F.col("row_pos").cast("string"))
+    n = df.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
+    return splits.partition_check(splits.all_regimes(df, [13, 42], "source"), n)
+
+
+@query()
+def split_resample(spark, d):
+    return splits.stratified_resample(with_label(spark, d).select("row_pos", "label"), 13)
+
+
+# --- statistics (E1-E3) ---------------------------------------------------------------
+@query(f"WITH m AS ({MEASURED_SQL} FROM documents), j AS (SELECT m.*, (1 - quality)::INTEGER AS label FROM m LEFT JOIN labels USING (doc_id)) SELECT source, {STATS_SQL} FROM j GROUP BY source")
+def profile_sources(spark, d):
+    df = labelled(spark, d).withColumn("label", (1 - F.col("label_raw").cast("int")).cast("int"))
+    return profile.profile(df, ["source"])
+
+
+@query(f"""{STRATIFIED_SQL}, m AS ({MEASURED_SQL} FROM ({LABELLED_SQL})), j AS (
+  SELECT NULL::INTEGER AS seed, 'full' AS part, * FROM m UNION ALL SELECT 13, part, m.* FROM m JOIN split USING (row_pos))
+SELECT 'DOC' AS dataset_id, 'vBIN' AS version, seed, part, {STATS_SQL} FROM j GROUP BY seed, part""")
+def profile_parts(spark, d):
+    full = with_label(spark, d).withColumn("version", F.lit("vBIN"))
+    parts = splits.stratified(full, 13, "row_pos").select(F.lit("DOC").alias("dataset_id"), F.lit(13).alias("seed"), "part", "row_pos")
+    return profile.profile_parts(full, parts)
+
+
+# --- metrics (K1-K8, E6-E9, F5, F6) ------------------------------------------------------
+CORE_SQL = f"""WITH p AS ({PREDICTIONS_SQL}), c AS (SELECT model_id, seed, count_if(y_true = 1 AND y_pred = 1) AS tp, count_if(y_true = 0 AND y_pred = 1) AS fp,
+  count_if(y_true = 1 AND y_pred = 0) AS fn, count_if(y_true = 0 AND y_pred = 0) AS tn FROM p GROUP BY ALL)"""
+
+
+@query(f"""{CORE_SQL} SELECT model_id, seed, (tp + fp + fn + tn)::BIGINT AS n, round((tp + tn) / (tp + fp + fn + tn), 9) AS accuracy,
+  round((2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2, 9) AS macro_f1, round((tp / (tp + fp) + tn / (tn + fn)) / 2, 9) AS macro_precision,
+  round((tp / (tp + fn) + tn / (tn + fp)) / 2, 9) AS macro_recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1_fake, round(2 * tn / (2 * tn + fp + fn), 9) AS f1_real FROM c""")
+def metrics_core(spark, d):
+    out = metrics.core_metrics(predictions(spark, d), ["model_id", "seed"])
+    return out.select("model_id", "seed", "n", *[F.round(c, 9).alias(c) for c in out.columns[3:]])
+
+
+@query(f"""WITH p AS ({PREDICTIONS_SQL}), r AS (SELECT *, rank() OVER (PARTITION BY model_id, seed ORDER BY y_prob) + (count(*) OVER (PARTITION BY model_id, seed, y_prob) - 1) / 2 AS rk FROM p),
+a AS (SELECT model_id, seed, (sum(CASE WHEN y_true = 1 THEN rk END) - count_if(y_true = 1) * (count_if(y_true = 1) + 1) / 2) / (count_if(y_true = 1) * count_if(y_true = 0)) AS auc FROM r GROUP BY ALL),
+s AS (SELECT model_id, seed, y_prob, count_if(y_true = 1) AS pos, count(*) AS k FROM p GROUP BY ALL),
+t AS (SELECT *, sum(pos) OVER w AS tp, sum(k) OVER w AS seen, sum(pos) OVER (PARTITION BY model_id, seed) AS total FROM s WINDOW w AS (PARTITION BY model_id, seed ORDER BY y_prob DESC)),
+v AS (SELECT model_id, seed, sum(pos / total * tp / seen) AS ap FROM t GROUP BY ALL)
+SELECT model_id, seed, round(auc, 9) AS roc_auc, round(ap, 9) AS pr_auc FROM a JOIN v USING (model_id, seed)""")
+def metrics_ranking(spark, d):
+    out = metrics.ranking_metrics(predictions(spark, d), ["model_id", "seed"])
+    return out.select("model_id", "seed", F.round("roc_auc", 9).alias("roc_auc"), F.round("pr_auc", 9).alias("pr_auc"))
+
+
+BINS_SQL = f"""WITH p AS ({PREDICTIONS_SQL}), b AS (SELECT model_id, seed, least(floor(greatest(y_prob, 1 - y_prob) * 15), 14)::INTEGER AS bin,
+  greatest(y_prob, 1 - y_prob) AS conf, ((y_prob >= 0.5)::INTEGER = y_true)::INTEGER::DOUBLE AS hit FROM p),
+g AS (SELECT model_id, seed, bin, count(*) AS n, avg(conf) AS confidence, avg(hit) AS accuracy FROM b GROUP BY ALL)"""
+
+
+@query(f"{BINS_SQL} SELECT model_id, seed, round(sum(n * abs(accuracy - confidence)) / sum(n), 9) AS ece FROM g GROUP BY ALL")
+def metrics_ece(spark, d):
+    return metrics.ece(predictions(spark, d), ["model_id", "seed"]).select("model_id", "seed", F.round("ece", 9).alias("ece"))
+
+
+@query(f"{BINS_SQL} SELECT model_id, seed, bin, n, round(confidence, 9) AS confidence, round(accuracy, 9) AS accuracy FROM g")
+def metrics_calibration_bins(spark, d):
+    out = metrics.calibration_bins(predictions(spark, d), ["model_id", "seed"])
+    return out.select("model_id", "seed", "bin", "n", F.round("confidence", 9).alias("confidence"), F.round("accuracy", 9).alias("accuracy"))
+
+
+@query()
+def metrics_all(spark, d):
+    return metrics.all_metrics(predictions(spark, d), ["model_id", "seed"])
+
+
+@query(f"""{CORE_SQL}, f AS (SELECT model_id, seed, (2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2 AS macro_f1, (tp + tn) / (tp + fp + fn + tn) AS accuracy FROM c),
+l AS (SELECT model_id, 'macro_f1' AS metric, macro_f1 AS v FROM f UNION ALL SELECT model_id, 'accuracy', accuracy FROM f)
+SELECT model_id, metric, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS std, count(*) AS n FROM l GROUP BY ALL""")
+def metrics_over_seeds(spark, d):
+    out = metrics.aggregate_metrics(metrics.core_metrics(predictions(spark, d), ["model_id", "seed"]), ["model_id"], ["macro_f1", "accuracy"])
+    return out.select("model_id", "metric", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), "n")
+
+
+@query(f"""{CORE_SQL}, f AS (SELECT model_id, seed, (2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2 AS f1 FROM c)
+SELECT a.model_id, round(avg(a.f1 - b.f1), 9) AS delta_f1_mean, round(stddev_pop(b.f1), 9) AS cross_f1_std FROM f a JOIN f b ON a.model_id = b.model_id AND a.seed = 0 AND b.seed > 0 GROUP BY ALL""")
+def metrics_transfer(spark, d):
+    """Seed 0 as the home domain, the others as targets."""
+    f1 = metrics.core_metrics(predictions(spark, d), ["model_id", "seed"])
+    home = f1.where("seed = 0").select("model_id", F.col("macro_f1").alias("in_f1"))
+    rows = f1.where("seed > 0").join(home, "model_id").select("model_id", F.col("seed").alias("target"), "in_f1", F.col("macro_f1").alias("cross_f1"))
+    out = metrics.transfer_metrics(rows, ["model_id"])
+    return out.select("model_id", F.round("delta_f1_mean", 9).alias("delta_f1_mean"), F.round("cross_f1_std", 9).alias("cross_f1_std"))
+
+
+PAIRED_SQL = f"WITH p AS ({PREDICTIONS_SQL}), j AS (SELECT a.seed, a.row_pos, a.y_true, a.y_pred AS pa, b.y_pred AS pb, 0.9 + (a.row_pos % 10) / 100.0::DOUBLE AS sim FROM p a JOIN p b ON a.row_pos = b.row_pos AND a.model_id = 'M1' AND b.model_id = 'M2')"
+
+
+def paired(spark, d):
+    p = predictions(spark, d)
+    pairs = inference.model_pairs(spark.createDataFrame([("M1", 0), ("M2", 1)], "model_id string, ord int"))
+    return inference.align(p, pairs)
+
+
+@query(f"""{PAIRED_SQL} SELECT seed, round(avg((pa = y_true)::INTEGER), 9) AS clean_accuracy, round(avg((pb = y_true)::INTEGER), 9) AS attacked_accuracy,
+  round(count_if(pa = y_true AND pb <> y_true) / count_if(pa = y_true), 9) AS attack_success_rate, round(avg(CASE WHEN pa = y_true AND pb <> y_true THEN sim END), 9) AS success_similarity FROM j GROUP BY seed""")
+def metrics_robustness(spark, d):
+    rows = paired(spark, d).withColumnsRenamed({"pred_a": "clean_pred", "pred_b": "attacked_pred"}).withColumn("similarity", 0.9 + (F.col("row_pos") % 10) / 100.0)
+    out = metrics.robustness_metrics(rows, ["seed"])
+    return out.select("seed", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
+
+
+@query("""SELECT p_partkey, p_size, p_retailprice FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE (b.p_size < a.p_size AND b.p_retailprice >= a.p_retailprice)
+  OR (b.p_size = a.p_size AND b.p_retailprice > a.p_retailprice))""")
+def metrics_pareto(spark, d):
+    """Frontier of size against price (ties in both are settled by the key)."""
+    return metrics.pareto(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), "p_size", "p_retailprice")
+
+
+# --- inference (L1-L8, F7, F8, D7, D10) ------------------------------------------------------
+@query(f"{PAIRED_SQL} SELECT seed, count_if(pa = y_true AND pb <> y_true)::BIGINT AS n_b, count_if(pb = y_true AND pa <> y_true)::BIGINT AS n_c, round(power(greatest(abs(n_b - n_c) - 1, 0), 2) / (n_b + n_c), 9) AS statistic, false AS exact FROM j GROUP BY seed")
+def inference_mcnemar(spark, d):
+    return inference.mcnemar(paired(spark, d), ["seed"]).select("seed", "n_b", "n_c", F.round("statistic", 9).alias("statistic"), "exact")
+
+
+@query("""WITH v AS (SELECT p_brand AS g, CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS side, p_size AS value FROM part)
+SELECT x.g AS brand, round(avg(sign(x.value - y.value)), 9) AS cliffs_delta FROM v x JOIN v y ON x.g = y.g AND x.side = 'a' AND y.side = 'b' GROUP BY x.g""")
+def inference_cliffs_delta(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.when(F.col("p_partkey") % 2 == 0, "a").otherwise("b").alias("side"), F.col("p_size").alias("value"))
+    return inference.cliffs_delta(rows, ["brand"]).select("brand", F.round("cliffs_delta", 9).alias("cliffs_delta"))
+
+
+P_VALUES_SQL = "SELECT n_nationkey AS k, n_regionkey AS f, ((n_nationkey * 37 + 11) % 101) / 1000.0::DOUBLE AS p_value FROM nation"
+
+
+@query(f"""WITH p AS ({P_VALUES_SQL}), r AS (SELECT *, p_value * count(*) OVER (PARTITION BY f) / row_number() OVER (PARTITION BY f ORDER BY p_value) AS raw FROM p),
+a AS (SELECT *, least(1.0, min(raw) OVER (PARTITION BY f ORDER BY p_value DESC ROWS UNBOUNDED PRECEDING)) AS adj FROM r)
+SELECT k, f, round(adj, 9) AS p_adjusted, adj < 0.05 AS significant FROM a""")
+def inference_bh_fdr(spark, d):
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("f"), (((F.col("n_nationkey") * 37 + 11) % 101) / 1000.0).alias("p_value"))
+    return inference.bh_fdr(rows, ["f"]).select("k", "f", F.round("p_adjusted", 9).alias("p_adjusted"), "significant")
+
+
+@query("""WITH v AS (SELECT l_orderkey % 40 AS block, l_returnflag AS t, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)
+SELECT block, t, rank() OVER (PARTITION BY block ORDER BY value DESC) + (count(*) OVER (PARTITION BY block, value) - 1) / 2 AS rank FROM v""")
+def inference_ranks(spark, d):
+    v = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 40).alias("block"), F.col("l_returnflag").alias("t")).agg(F.sum("l_quantity").alias("value"))
+    return inference.average_ranks(v, "block", "t", "value")
+
+
+@query()
+def inference_friedman(spark, d):
+    v = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 40).alias("block"), F.col("l_returnflag").alias("t")).agg(F.sum("l_quantity").alias("value"))
+    return inference.friedman(v, "block", "t", "value")
+
+
+@query()
+def inference_nemenyi(spark, d):
+    v = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 40).alias("block"), F.col("l_returnflag").alias("t")).agg(F.sum("l_quantity").alias("value"))
+    return inference.nemenyi(v, "block", "t", "value")
+
+
+@query()
+def inference_bootstrap(spark, d):
+    return inference.paired_bootstrap(paired(spark, d), ["seed"], 2000)
+
+
+@query()
+def inference_pairwise(spark, d):
+    p = predictions(spark, d)
+    scores = metrics.core_metrics(p, ["model_id", "seed"]).select("model_id", "seed", F.col("macro_f1").alias("value"))
+    return inference.pairwise_comparisons(p, spark.createDataFrame([("M1", 0), ("M2", 1)], "model_id string, ord int"), scores, 2000)
+
+
+# --- arrays and windows (N1-N5, E11, M9, D11) ---------------------------------------------------
+@query(f"""WITH t AS (SELECT doc_id, len(list_filter(string_split({sql_collapse('text')}, ' '), lambda t: t <> ''))::INTEGER AS n FROM documents),
+w AS (SELECT doc_id, n, unnest(range(0, 1 + ceil(greatest(n - 510, 0) / 128)::BIGINT)) AS i FROM t)
+SELECT doc_id, i::INTEGER AS window_idx, (i * 128)::INTEGER AS "start", least(i * 128 + 510, n)::INTEGER AS "end" FROM w""")
+def windows_spans(spark, d):
+    p = SequenceParams()
+    n = T.word_count(F.col("text"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(windows.window_spans(n, p.content, p.stride_tokens)).alias("window_idx", "span"))
+    return rows.select("doc_id", "window_idx", F.col("span.start").alias("start"), F.col("span.end").alias("end"))
+
+
+@query()
+def windows_tokens(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc_idx"), F.lit(0).alias("label"), "text")
+    return windows.token_windows(docs).select("doc_idx", "window_idx", F.size("input_ids").alias("width"), F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).alias("used"))
+
+
+@query("""WITH e AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+m AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM e GROUP BY ALL)
+SELECT label, max(n) AS n_windows, round(sum(m * m), 6) AS norm2 FROM m GROUP BY label""")
+def windows_mean_pool(spark, d):
+    e = table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("logits"))
+    return windows.mean_pool(e, "label").select("label", "n_windows", F.round(F.aggregate("logits", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"))
+
+
+@query("""WITH l AS (SELECT vec_id // 4 AS doc_idx, avg(embedding[1]::DOUBLE) AS a, avg(embedding[2]::DOUBLE) AS b, count(*) AS n_windows FROM embeddings GROUP BY ALL)
+SELECT doc_idx, n_windows, round(1 / (1 + exp(a - b)), 9) AS y_prob, (1 / (1 + exp(a - b)) >= 0.5)::INTEGER AS y_pred FROM l""")
+def windows_document_predictions(spark, d):
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("doc_idx"), F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("logits"))
+    return windows.document_predictions(e).withColumn("y_prob", F.round("y_prob", 9))
+
+
+@query("SELECT conv_id AS doc_idx, arg_min(length(text), turn) AS label FROM conversations GROUP BY conv_id")
+def windows_first_label(spark, d):
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_idx"), F.col("turn").alias("window_idx"), F.length("text").cast("long").alias("label"))
+    return windows.first_label(rows)
+
+
+# --- training logic (E10, O3, O4) ------------------------------------------------------------------
+@query("SELECT quality AS label, count(*) AS n, round(sum(count(*)) OVER () / (2 * count(*)), 9) AS weight FROM labels GROUP BY quality")
+def training_class_weights(spark, d):
+    return training.class_weights(table(spark, d, "labels").select(F.col("quality").alias("label"))).select("label", "n", F.round("weight", 9).alias("weight"))
+
+
+@query("""SELECT s AS step, round(CASE WHEN s < 60 THEN s / 60.0 ELSE greatest(0.0, 0.5 * (1 + cos(pi() * least(1.0, (s - 60) / 940.0)))) END, 9) AS factor FROM range(1000) t(s)""")
+def training_schedule(spark, d):
+    return training.schedule(spark, 1000).select("step", F.round("factor", 9).alias("factor"))
+
+
+@query()
+def training_early_stopping(spark, d):
+    rows = table(spark, d, "orders").select((F.col("o_orderkey") % 50).alias("run_id"), F.floor(F.col("o_orderkey") / 50).cast("int").alias("epoch"), F.col("o_totalprice").alias("score"))
+    return training.early_stopping(rows)
+
+
+# --- result rows (E6, E15, G1, D8, D9, H2) ------------------------------------------------------------
+@query(f"""{CORE_SQL}, f AS (SELECT model_id, avg((2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2) AS macro_f1 FROM c GROUP BY model_id)
+SELECT model_id, round(macro_f1, 9) AS macro_f1 FROM f ORDER BY macro_f1 DESC, model_id LIMIT 1""")
+def results_best_model(spark, d):
+    f1 = metrics.core_metrics(predictions(spark, d), ["model_id", "seed"]).withColumns({"ece": F.lit(None).cast("double"), "n_params": F.lit(None).cast("long")})
+    return results.best_model(f1).select("model_id", F.round("macro_f1", 9).alias("macro_f1"))
+
+
+@query(f"""WITH p AS ({PREDICTIONS_SQL}), c AS (SELECT m AS model_id, s::INTEGER AS seed FROM (VALUES ('M1'), ('M2'), ('M3')) a(m), range(6) b(s))
+SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.model_id = c.model_id AND p.seed = c.seed)""")
+def results_missing_cells(spark, d):
+    return results.missing_cells(results.sweep_cells(spark, ["M1", "M2", "M3"], list(range(6))), predictions(spark, d))
+
+
+@query(f"""{CORE_SQL}, f AS (SELECT model_id, seed, (tp + tn) / (tp + fp + fn + tn) AS accuracy FROM c)
+SELECT 'EXP-1' AS experiment_id, model_id, 'LI' AS dataset_id, 'S-RAND' AS split_regime, 'accuracy' AS metric, round(avg(accuracy), 9) AS mean, round(stddev_samp(accuracy), 9) AS std, count(*) AS n FROM f GROUP BY model_id""")
+def results_over_seeds(spark, d):
+    rows = metrics.core_metrics(predictions(spark, d), ["model_id", "seed"]).select("model_id", "seed", "accuracy")
+    built = results.result_rows(rows, experiment_id="EXP-1", run_id="r1", dataset_id="LI", train_version="vDEDUP", test_version="vDEDUP", split_regime="S-RAND")
+    out = results.over_seeds(results.validate(built, same_version=True))
+    return out.select(*results.GROUP, "metric", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), "n")
