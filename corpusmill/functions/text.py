@@ -105,7 +105,7 @@ def lemma_of(word: str, lemmas: frozenset[str]) -> str:
     """The shortest known form among those that detaching an ending gives; a known or unknown word stays."""
     if word in lemmas:
         return word
-    forms = [word[: -len(end)] + new for end, new in NOUN_ENDINGS if word.endswith(end) and len(word) > len(end)]
+    forms = [word[: -len(end)] + new for end, new in NOUN_ENDINGS if word.endswith(end) and word != "s"]
     return min((f for f in forms if f in lemmas), key=len, default=word)
 
 
