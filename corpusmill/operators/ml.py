@@ -52,9 +52,9 @@ def vectorize(model: PipelineModel, df: DataFrame, text: str = "text") -> DataFr
 
 def estimator(model_id: str, params: dict, n: int, seed: int):
     if model_id == "LR":
-        return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=1000, regParam=1 / (params["C"] * n))
+        return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=params.get("maxIter", 1000), regParam=1 / (params["C"] * n))
     if model_id == "SVM":
-        return LinearSVC(featuresCol="features", labelCol="label", weightCol="weight", maxIter=200, regParam=1 / (params["C"] * n))
+        return LinearSVC(featuresCol="features", labelCol="label", weightCol="weight", maxIter=params.get("maxIter", 200), regParam=1 / (params["C"] * n))
     if model_id == "RF":
         return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", seed=seed, **params)
     if model_id == "GBT":

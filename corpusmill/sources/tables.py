@@ -19,7 +19,8 @@ def write_version(df: DataFrame, root: str) -> None:
 
 
 def read_version(spark: SparkSession, root: str, dataset_id: str, version: str) -> DataFrame:
-    return spark.read.parquet(root).where((F.col("dataset_id") == dataset_id) & (F.col("version") == version))
+    """One version with its own columns (versions differ in theirs); only its directory is listed."""
+    return spark.read.option("basePath", root).parquet(f"{root}/dataset_id={dataset_id}/version={version}")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
