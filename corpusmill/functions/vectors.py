@@ -14,7 +14,8 @@ def ngrams(text: Column, largest: int = 2) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
     if largest == 1:
         return words
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))).otherwise(F.array().cast("array<string>"))
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
     return F.concat(words, pairs)
 
 

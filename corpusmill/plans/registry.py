@@ -467,8 +467,8 @@ w AS (SELECT doc_id, n, unnest(range(0, 1 + ceil(greatest(n - 510, 0) / 128)::BI
 SELECT doc_id, i::INTEGER AS window_idx, (i * 128)::INTEGER AS "start", least(i * 128 + 510, n)::INTEGER AS "end" FROM w""")
 def windows_spans(spark, d):
     p = SequenceParams()
-    n = T.word_count(F.col("text"))
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(windows.window_spans(n, p.content, p.stride_tokens)).alias("window_idx", "span"))
+    counted = table(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).alias("n"))
+    rows = counted.select("doc_id", F.posexplode(windows.window_spans(F.col("n"), p.content, p.stride_tokens)).alias("window_idx", "span"))
     return rows.select("doc_id", "window_idx", F.col("span.start").alias("start"), F.col("span.end").alias("end"))
 
 
