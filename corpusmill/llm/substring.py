@@ -178,36 +178,56 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     rows = doc_rows(docs)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Regions; those whose anchor recurs in their batch are known to be shared and are dealt out evenly.
+
+        For each such anchor one more row without a document goes where the anchor's other rows go, so a
+        frequent anchor sends a row per batch there, not one per occurrence.
+        """
         for b in batches:
             found = [regions(words_of(t.as_py()), window, anchor) for t in b.column("text")]
             n = np.array([len(a) for a, _, _ in found], dtype=np.int64)
-            take = pa.array(np.repeat(np.arange(len(n)), n))
             cat = lambda k: np.concatenate([f[k] for f in found] or [np.zeros(0, dtype=np.int64)])
+            key, windows, take = cat(0), cat(1) << 32 | cat(2), np.repeat(np.arange(len(n)), n)
+            values, back, count = np.unique(key, return_inverse=True, return_counts=True)
+            known, signs = count[back] > 1, values[count > 1]
+            even = (key ^ (windows * 31 + b.column("th").to_numpy()[take])) * np.int64(0x9E3779B97F4A7C1)
+            ends = np.zeros(len(signs), dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cat(0)), b.column("doc_id").take(take), b.column("th").take(take), pa.array(cat(1) << 32 | cat(2))],
-                ["anchor", "doc_id", "th", "windows"],
+                [
+                    pa.array(np.r_[np.where(known, even, key), signs]), pa.array(np.r_[known, ends.astype(bool)]), pa.array(np.r_[key, signs]),
+                    pa.concat_arrays([b.column("doc_id").take(pa.array(take)), pa.nulls(len(signs), pa.int64())]),
+                    pa.concat_arrays([b.column("th").take(pa.array(take)), pa.nulls(len(signs), pa.int64())]),
+                    pa.array(np.r_[windows, ends - 1]),
+                ],
+                ["dealt", "known", "anchor", "doc_id", "th", "windows"],
             )
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows, sorted by anchor, whose anchor is also in another row; one row is held between batches."""
+        """Rows, sorted by (known, anchor), that are known or whose anchor is also in another row; one row is held."""
+        out = ["doc_id", "th", "windows"]
         held: pa.RecordBatch | None = None
-        known = False  # the held row's anchor was in the row before it as well
+        again = False  # the held row's anchor was in the row before it as well
+
+        def real(rows: pa.RecordBatch) -> pa.RecordBatch:
+            return rows.filter(pa.array(rows.column("windows").to_numpy() >= 0)).select(out)
+
         for b in batches:
+            known = b.column("known").to_numpy(zero_copy_only=False)
+            if known.any():
+                yield b.filter(pa.array(known)).select(out)
+                b = b.filter(pa.array(~known))
             if not b.num_rows:
                 continue
             key = b.column("anchor").to_numpy()
-            if held is not None:
-                same = held.column("anchor")[0].as_py() == key[0]
-                if same or known:
-                    yield held.select(["doc_id", "th", "windows"])
-            else:
-                same = False
+            same = held is not None and held.column("anchor")[0].as_py() == key[0]
+            if held is not None and (same or again):
+                yield real(held)
             twin = key[1:] == key[:-1]
             pick = np.r_[same, twin] | np.r_[twin, False]
-            yield b.slice(0, len(key) - 1).filter(pa.array(pick[:-1])).select(["doc_id", "th", "windows"])
-            held, known = b.slice(len(key) - 1), bool(np.r_[same, twin][-1])
-        if held is not None and known:
-            yield held.select(["doc_id", "th", "windows"])
+            yield real(b.slice(0, len(key) - 1).filter(pa.array(pick[:-1])))
+            held, again = b.slice(len(key) - 1), bool(np.r_[same, twin][-1])
+        if held is not None and again:
+            yield real(held)
 
     names = ["doc_id", "th", "first", "anchor", "low", "high", "region"]
 
@@ -259,8 +279,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
         if out:
             yield batch()
 
-    found = rows.mapInArrow(anchors, "anchor long, doc_id long, th long, windows long")
-    twice = found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shared, "doc_id long, th long, windows long")
+    found = rows.mapInArrow(anchors, "dealt long, known boolean, anchor long, doc_id long, th long, windows long")
+    twice = found.repartition("dealt").sortWithinPartitions("known", "anchor").mapInArrow(shared, "doc_id long, th long, windows long")
     wanted = durable(twice.groupBy("doc_id", "th").agg(F.collect_set("windows").alias("windows")))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
     cuts = (
