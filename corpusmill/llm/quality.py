@@ -29,7 +29,7 @@ NONZERO = 6
 WINDOW = 2
 HIDDEN = 32
 SAMPLE = 12_000
-CACHED = 400_000
+CACHED = 150_000
 TOKENS = regex.compile(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]+")
 PARTS = 8
 STEP = 1 << 16

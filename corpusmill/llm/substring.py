@@ -28,7 +28,7 @@ from corpusmill.llm.common import doc_rows, durable, words_of
 WINDOW = 35
 ANCHOR = 10
 SEED_WORD, SEED_LOW, SEED_HIGH = 3, 17, 18
-CACHED = 500_000
+CACHED = 100_000
 STEP = 1 << 16
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))  # fixed values: a 64-bit finaliser
 BASE = np.uint64(0x9E3779B97F4A7C15)  # fixed value: an odd 64-bit multiplier

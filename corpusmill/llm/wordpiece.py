@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.bpe import byte_of_char, read_spec
 from corpusmill.llm.common import words_of
 
-CACHED = 500_000
+CACHED = 250_000
 STUCK = -1
 
 
