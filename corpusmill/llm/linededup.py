@@ -74,11 +74,13 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFram
     one document and come back alike. A null text stays null, with 0 lines; an empty one is a single empty
     line. Nothing is dropped but lines: a document may end up empty.
     """
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "__th", "__gone")]
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "__th", "__gone", "__lines")]
     rows = docs.select(*columns, F.xxhash64(F.col("text").cast("string")).alias("__th"))
     gone = later_copies(docs, min_lines).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th2"), F.col("gone").alias("__gone"))
     joined = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__th2")), "left")
-    lines = F.split("text", "\n", -1)
+    # a column of its own: inside a lambda the split would be done again for every line
+    joined = joined.withColumn("__lines", F.split("text", "\n", -1))
+    lines = F.col("__lines")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
