@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import linededup, packing, quality, simhash, substring
+from corpusmill.llm import linededup, nearcopies, packing, quality, substring
 from corpusmill.llm.common import DEFAULT_SCRATCH, table
 from corpusmill.llm.queries import vocabulary
 
@@ -35,8 +35,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies stays, the one with the smallest id."""
-    return simhash.keep_one(docs.select(*COLUMNS))
+    """One document of each group of near-copies (five-word Jaccard 0.8 or more) stays, the one with the smallest id.
+
+    The stage keeps its name; fingerprints 3 bits apart, which it used before, are the contract of op1_simhash only.
+    """
+    return nearcopies.keep_one(docs.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
