@@ -194,7 +194,8 @@ def distinct_foreign(spark, d):
 
 
 @query(f"{PAIRS_SQL} SELECT a, b, round(cosine, 6) AS cosine FROM e")
-def dedup_similar_pairs(spark, d):
+def dedup_similar_pairs_foreign(spark, d):
+    """Unigrams of the three smaller languages, as SQL can follow."""
     return dedup.similar_pairs(distinct_foreign(spark, d), 0.90, largest=UNIGRAMS).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
@@ -205,10 +206,27 @@ def dedup_similar_pairs(spark, d):
   FROM walk JOIN n ON n.i = walk.i + 1)
 SELECT unnest(gone) AS row_pos FROM (SELECT gone FROM walk ORDER BY i DESC LIMIT 1)
 """)
-def dedup_greedy(spark, d):
+def dedup_greedy_foreign(spark, d):
+    """Unigrams of the three smaller languages, as SQL can follow."""
     return dedup.greedy_dropped(dedup.similar_pairs(distinct_foreign(spark, d), 0.90, largest=UNIGRAMS))
 
 
+def distinct_texts(spark, d):
+    return table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("row_pos")).select("row_pos", "text")
+
+
+@query()
+def dedup_similar_pairs(spark, d):
+    """All distinct documents, with bigrams."""
+    return dedup.similar_pairs(distinct_texts(spark, d), 0.90).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@query()
+def dedup_greedy(spark, d):
+    """All distinct documents, with bigrams."""
+    return dedup.greedy_dropped(dedup.similar_pairs(distinct_texts(spark, d), 0.90))
+
+
 @query()
 def dedup_documents(spark, d):
     """The whole of it with bigrams: counts of exact and near duplicates."""
