@@ -238,11 +238,19 @@ CROSS_ROWS_SQL = "SELECT doc_id * 2 AS pos, text FROM documents WHERE lang = 'de
 
 @query(f"""WITH {weights_sql(CROSS_ROWS_SQL)}
 SELECT DISTINCT r.pos // 2 AS row_pos FROM (SELECT l.pos AS a, r.pos, sum(l.x * r.x) AS c FROM x l JOIN x r ON l.term = r.term WHERE l.pos % 2 = 0 AND r.pos % 2 = 1 GROUP BY ALL HAVING c >= 0.9 - 1e-9) r""")
-def dedup_across(spark, d):
+def dedup_across_de_fr(spark, d):
+    """Unigrams of two languages, as SQL can follow."""
     df = labelled(spark, d)
     return dedup.across_dropped(df.where("lang = 'de'"), df.where("lang = 'fr'"), largest=UNIGRAMS)
 
 
+@query()
+def dedup_across(spark, d):
+    """Odd documents too close to an even one, with bigrams; the two sides hold all rows."""
+    df = labelled(spark, d).withColumn("odd", F.coalesce(F.col("row_pos") % 2 != 0, F.lit(False)))
+    return dedup.across_dropped(df.where("NOT odd").drop("odd"), df.where("odd").drop("odd"))
+
+
 DATASETS = [("DS1", "transfer", "W"), ("DS2", "transfer", "W"), ("DS3", "transfer", "F"), ("DS4", "probe", "C")]
 
 
