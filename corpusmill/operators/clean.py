@@ -18,19 +18,24 @@ def clean_columns(df: DataFrame, steps: Sequence[str], columns: Sequence[str] =
     return df.withColumns({c: T.apply_steps(F.col(c), steps, registry) for c in have})
 
 
-def preprocess(df: DataFrame, track: str, steps: Sequence[str] | None = None, registry: dict | None = None) -> DataFrame:
-    """``df`` cleaned for a track; the neural one may neither drop stop words nor lemmatise."""
+def preprocess(df: DataFrame, track: str, steps: Sequence[str] | None = None, registry: dict | None = None, lemmas: Sequence[str] = ()) -> DataFrame:
+    """``df`` cleaned for a track; the neural one may neither drop stop words nor lemmatise.
+
+    Nouns are lemmatised against ``lemmas``; without a list that step changes nothing.
+    """
     if track not in TRACKS:
         raise ValueError(f"unknown track {track!r}")
     steps = TRACKS[track][1] if steps is None else list(steps)
     if track == "neural" and (wrong := T.CLASSICAL_ONLY & set(steps)):
         raise ValueError(f"not for the neural track: {sorted(wrong)}")
+    if lemmas:
+        registry = {**(T.STEPS if registry is None else registry), "noun_lemmatization": lambda c: T.lemmatize(c, lemmas)}
     return clean_columns(df, steps, registry=registry).withColumn("version", F.lit(TRACKS[track][0]))
 
 
-def both_tracks(df: DataFrame) -> DataFrame:
-    """Classical and neural versions of every row, told apart by version."""
-    return preprocess(df, "classical").unionByName(preprocess(df, "neural"))
+def both_tracks(df: DataFrame, lemmas: Sequence[str] = ()) -> DataFrame:
+    """Classical and neural versions of every row, told apart by version; ``lemmas`` as in ``preprocess``."""
+    return preprocess(df, "classical", lemmas=lemmas).unionByName(preprocess(df, "neural"))
 
 
 def resource_fingerprints(spark: SparkSession, stopwords: Sequence[str] | None = None, lemmas: Sequence[str] = ()) -> DataFrame:

@@ -46,6 +46,7 @@ class PipelineConfig:
     seeds: tuple[int, ...] = tuple(splits.SEEDS)
     max_features: int = 50_000
     smote: bool = False
+    lemmas: tuple[str, ...] = ()
     extra: dict = field(default_factory=dict)
 
     @staticmethod
@@ -54,7 +55,7 @@ class PipelineConfig:
         if unknown := set(value) - known:
             raise ValueError(f"unknown settings {sorted(unknown)}")
         datasets = tuple(DatasetConfig(**d) for d in value.get("datasets", ()))
-        made = PipelineConfig(**{**value, "datasets": datasets, "seeds": tuple(value.get("seeds", splits.SEEDS))})
+        made = PipelineConfig(**{**value, "datasets": datasets, "seeds": tuple(value.get("seeds", splits.SEEDS)), "lemmas": tuple(value.get("lemmas", ()))})
         if made.smote or not 0 < made.near_threshold <= 1 or not 0 < made.across_threshold <= 1 or not made.seeds:
             raise ValueError("thresholds lie in (0, 1], seeds are needed, and SMOTE is prohibited")
         return made
@@ -164,7 +165,7 @@ def clean_stage(spark: SparkSession, config: PipelineConfig, out: str) -> None:
     for d in config.datasets:
         df = tables.read_version(spark, out, d.dataset_id, "vBIN").drop("version")
         for track in clean.TRACKS:
-            tables.write_version(clean.preprocess(df, track), out)
+            tables.write_version(clean.preprocess(df, track, lemmas=config.lemmas if track == "classical" else ()), out)
 
 
 def dedup_stage(spark: SparkSession, config: PipelineConfig, out: str) -> DataFrame:

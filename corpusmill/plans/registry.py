@@ -131,7 +131,7 @@ def clean_stopwords(spark, d):
 
 @query()
 def clean_both_tracks(spark, d):
-    """Both full tracks: entities, stop words and lemmas included."""
+    """Both full tracks: entities and stop words included; no lemma list is given, so no noun is lemmatised."""
     both = clean.both_tracks(labelled(spark, d).select("row_pos", "title", "text"))
     return both.select("row_pos", "version", hashing.sha256(F.col("text")).alias("text_sha"))
 
