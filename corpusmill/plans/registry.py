@@ -477,14 +477,14 @@ def inference_nemenyi(spark, d):
 
 @query()
 def inference_bootstrap(spark, d):
-    return inference.paired_bootstrap(paired(spark, d), ["seed"], 2000)
+    return inference.paired_bootstrap(paired(spark, d), ["seed"])
 
 
 @query()
 def inference_pairwise(spark, d):
     p = predictions(spark, d)
     scores = metrics.core_metrics(p, ["model_id", "seed"]).select("model_id", "seed", F.col("macro_f1").alias("value"))
-    return inference.pairwise_comparisons(p, spark.createDataFrame([("M1", 0), ("M2", 1)], "model_id string, ord int"), scores, 2000)
+    return inference.pairwise_comparisons(p, spark.createDataFrame([("M1", 0), ("M2", 1)], "model_id string, ord int"), scores)
 
 
 # --- arrays and windows (N1-N5, E11, M9, D11) ---------------------------------------------------
