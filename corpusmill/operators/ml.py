@@ -25,7 +25,7 @@ GRIDS: dict[str, dict[str, list]] = {
     "LR": {"C": [0.01, 0.1, 1.0, 10.0]},
     "SVM": {"C": [0.01, 0.1, 1.0, 10.0]},
     "RF": {"numTrees": [200, 500], "maxDepth": [30], "minInstancesPerNode": [1, 2]},
-    "GBT": {"maxIter": [50, 100], "maxDepth": [5, 6], "stepSize": [0.05, 0.1]},
+    "GBT": {"maxIter": [200, 500], "maxDepth": [5, 6], "stepSize": [0.05, 0.1]},
 }
 
 
@@ -54,7 +54,7 @@ def estimator(model_id: str, params: dict, n: int, seed: int):
     if model_id == "LR":
         return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=params.get("maxIter", 1000), regParam=1 / (params["C"] * n))
     if model_id == "SVM":
-        return LinearSVC(featuresCol="features", labelCol="label", weightCol="weight", maxIter=params.get("maxIter", 200), regParam=1 / (params["C"] * n))
+        return LinearSVC(featuresCol="features", labelCol="label", weightCol="weight", maxIter=params.get("maxIter", 5000), regParam=1 / (params["C"] * n))
     if model_id == "RF":
         return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", seed=seed, **params)
     if model_id == "GBT":
