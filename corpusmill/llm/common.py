@@ -6,19 +6,25 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_SCRATCH = "/tmp/checkpoints/corpusmill"
+from corpusmill.functions.lineage import cut as durable  # noqa: F401  (the operators' name for it)
 
+#: At most so many keys of a join are sent by broadcast.
+HOT_KEYS = 1000
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the folder that the session names.
 
-    The files live in ``spark.checkpoint.dir``, which every executor can read, so losing executors
-    later costs nothing. Only where that setting is absent (tests) is a folder chosen here.
+def attach(rows: DataFrame, keyed: DataFrame, keys: list[str], n_rows: int) -> DataFrame:
+    """The inner join of ``rows`` and ``keyed`` on ``keys``, without one task for all rows of a frequent key.
+
+    ``keyed`` has each key once, with the number ``n`` of its rows; ``n_rows`` is what these numbers add up to.
+    A key with more than a HOT_KEYS-th of all rows is joined by broadcast: there are fewer than HOT_KEYS such
+    keys, whatever the size of the table. The others are shuffled. Both inputs are read twice, so they should
+    be cheap to read.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or DEFAULT_SCRATCH)
-    return df.checkpoint()
+    many = F.col("n") > max(n_rows // HOT_KEYS, 16)
+    hot = keyed.where(many)
+    crowded = rows.join(F.broadcast(hot), keys)
+    calm = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(keyed.where(~many), keys)
+    return crowded.unionByName(calm)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,17 +1,20 @@
 """Line dedup by a suffix array over line ids, built with DataFrame operations only.
 
-Every line is a symbol (two 64-bit hashes name its text), every document a sequence of symbols. Prefix
-doubling ranks the suffixes that start at each line: the rank at depth 2h is the rank of the pair of
-ranks at depth h of a suffix and of the one h lines further on. Sorted by rank, suffixes that agree in
-their first d lines lie side by side; such a group is an interval of the suffix array whose longest
-common prefix is at least d, and a group of one cannot hold a repeat, so it is dropped from the next
-round. Doubling stops at the depth of the shortest run that counts, ``min_lines``: deeper ranks would
-only reorder suffixes inside intervals, and a longer run shows as intervals at consecutive lines, whose
-union is the maximal run. In each interval the copy that comes first by (doc_id, line) stays and the
-lines of all later ones are deleted.
-
-Ranks are assigned by range partitioning on the pairs that repeat, a running count in each partition and
-the partitions' offsets, so no key and no task ever holds all suffixes.
+Every line is a symbol (two 64-bit hashes name its text). The distinct texts are laid end to end, by their
+smallest doc_id, with one free place between them, so a line has one global place: a suffix. Prefix doubling
+ranks the suffixes: the rank at depth 2h is the rank of the pair of ranks at depth h of a suffix and of the
+one h lines on. Sorted by rank, suffixes that agree in their first d lines lie side by side: an interval of
+the suffix array whose longest common prefix is at least d. An interval of one holds no repeat and is left
+behind; doubling goes on until no interval holds two suffixes.
+
+A suffix repeats its elders at the deepest interval in which it is not the first. Its longest common prefix
+with that first is found exactly by walking the depths back down, comparing the ranks of the two places
+reached so far. Suffixes that only continue the run of the line above are folded into it, which leaves the
+maximal repeated runs; the later copy of each is deleted, but for lines that belong to the copy that stays.
+
+Ranks come from range partitioning, a running count in each partition and the partitions' offsets. Joins
+send the few keys that hold a thousandth of all rows or more by broadcast (``common.attach``), so neither a
+line nor a document that makes up a third of all rows ends up in one task.
 """
 
 from __future__ import annotations
@@ -19,72 +22,139 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import doc_rows, durable
+from corpusmill.llm.common import attach, durable, shuffle_partitions
 
 MIN_LINES = 3
+_LAST = (1 << 63) - 1
+
+
+def _starts(placed: DataFrame, amount: str) -> DataFrame:
+    """(part, start): what the range partitions before each one hold; one row a partition, so the window is small."""
+    total = placed.groupBy("part").agg(F.sum(amount).alias("total"))
+    return total.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("start"))
+
+
+def _laid_out(texts: DataFrame) -> DataFrame:
+    """``texts`` with ``doc``, the place of a text's first line among all."""
+    order = [F.coalesce("owner", F.lit(_LAST)), F.col("h1"), F.col("h2")]
+    placed = texts.withColumn("taken", F.size("symbols").cast("long") + 1)
+    placed = durable(placed.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    inside = F.sum("taken").over(Window.partitionBy("part").orderBy(*order)) - F.col("taken")
+    numbered = placed.withColumn("inside", inside).join(F.broadcast(_starts(placed, "taken")), "part")
+    return numbered.select("h1", "h2", "owner", "n", "symbols", (F.col("start") + F.col("inside")).alias("doc"))
 
 
 def _ranked(pairs: DataFrame) -> DataFrame:
-    """(a, b, rank) for the pairs (a, b) of ``pairs`` that occur more than once: where they stand in sorted order."""
-    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    """(a, b, n, first, rank) of the pairs that occur more than once: how often, at which place first, and the rank."""
+    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("doc") + F.col("line")).alias("first")).where(F.col("n") > 1)
     placed = durable(counted.repartitionByRange("a", "b").withColumn("part", F.spark_partition_id()))
-    before = placed.groupBy("part").agg(F.sum("n").alias("total"))
-    # one row for each range partition, so this window sees no more rows than there are partitions
-    starts = before.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("start"))
     inside = F.sum("n").over(Window.partitionBy("part").orderBy("a", "b")) - F.col("n")
-    return placed.select("a", "b", "part", inside.alias("inside")).join(F.broadcast(starts), "part").select("a", "b", (F.col("start") + F.col("inside")).alias("rank"))
+    numbered = placed.withColumn("inside", inside).join(F.broadcast(_starts(placed, "n")), "part")
+    return numbered.select("a", "b", "n", "first", (F.col("start") + F.col("inside")).alias("rank"))
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    """(doc, line, rank, first) of the suffixes in intervals of two or more."""
+    return durable(attach(pairs, _ranked(pairs), ["a", "b"], pairs.count()).select("doc", "line", "rank", "first"))
 
 
 def _deeper(now: DataFrame, ahead: int) -> DataFrame:
-    """Suffixes (doc_id, th, line, rank) one round deeper: ranked by their rank and that of the suffix ``ahead`` lines on."""
-    by_line = Window.partitionBy("doc_id", "th").orderBy(F.col("line").cast("long")).rangeBetween(ahead, ahead)
-    pairs = now.select("doc_id", "th", "line", F.col("rank").alias("a"), F.first("rank").over(by_line).alias("b")).where("b is not null")
-    pairs = durable(pairs)
-    return durable(pairs.join(_ranked(pairs), ["a", "b"]).select("doc_id", "th", "line", "rank"))
+    """Suffixes ranked by their own rank and that of the suffix ``ahead`` lines on in the same text."""
+    by_line = Window.partitionBy("doc").orderBy(F.col("line").cast("long")).rangeBetween(ahead, ahead)
+    pairs = now.select("doc", "line", F.col("rank").alias("a"), F.first("rank").over(by_line).alias("b"))
+    return _named(durable(pairs.where(F.col("b").isNotNull())))
 
 
-def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, th, gone): for each document with repeats the lines, from 0, that a later copy of a run covers."""
+def _levels(lines: DataFrame, min_lines: int) -> list[tuple[int, DataFrame]]:
+    """Ranks at every depth, up to the last at which an interval holds two suffixes."""
+    depth, levels = 1, [(1, _named(lines))]
+    while not levels[-1][1].isEmpty():
+        ahead = min(depth, min_lines - depth) if depth < min_lines else depth
+        depth += ahead
+        levels.append((depth, _deeper(levels[-1][1], ahead)))
+    return levels[:-1]
+
+
+def _runs(levels: list[tuple[int, DataFrame]], min_lines: int) -> DataFrame | None:
+    """(doc, line, first, length): maximal runs that repeat what starts at the place ``first``; None if there is none."""
+    deep = [level.where(F.col("doc") + F.col("line") != F.col("first")).select("doc", "line", "first", F.lit(d).alias("depth")) for d, level in levels if d >= min_lines]
+    if not deep:
+        return None
+    later = deep[0]
+    for level in deep[1:]:
+        later = later.unionByName(level)
+    later = later.groupBy("doc", "line").agg(F.max_by("first", "depth").alias("first"), F.max("depth").alias("depth"))
+    above = Window.partitionBy("doc").orderBy(F.col("line").cast("long")).rangeBetween(-1, -1)
+    later = later.withColumn("above", F.first("first").over(above))
+    heads = F.col("above").isNull() | (F.col("above") + 1 != F.col("first"))
+    runs = durable(later.where(heads).select("doc", "line", "first", "depth", F.col("depth").alias("length")))
+    n = runs.count()
+    for d, level in reversed(levels[:-1]):
+        own = level.select("doc", F.col("line").alias("at"), F.col("rank").alias("own"))
+        asked = runs.withColumns({"at": F.col("line") + F.col("length"), "place": F.col("first") + F.col("length")}).join(own, ["doc", "at"], "left")
+        there = level.select((F.col("doc") + F.col("line")).alias("place"), F.col("rank").alias("there"))
+        wanted = runs.groupBy((F.col("first") + F.col("length")).alias("place")).agg(F.count(F.lit(1)).alias("n")).join(there, "place", "left")
+        more = F.when((F.col("depth") > d) & (F.col("own") == F.col("there")), d).otherwise(0)
+        longer = attach(asked, wanted, ["place"], n).select("doc", "line", "first", "depth", (F.col("length") + more).alias("length"))
+        runs = durable(longer.coalesce(shuffle_partitions(longer)))  # the two ways of a join add up their partitions
+    return runs.select("doc", "line", "first", "length")
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFrame, DataFrame]:
+    """(owners, gone) for the texts of ``docs`` (doc_id, text).
+
+    ``owners`` has a row per distinct text: its hashes h1 and h2, the smallest doc_id that has it (``owner``),
+    the number of its rows (n) and its place (doc). ``gone`` has (doc, gone): lines, from 0, that a later copy
+    of a run covers, for the texts that have any.
+    """
     if min_lines < 1:
         raise ValueError("a run has at least one line")
-    rows = doc_rows(docs).where(F.col("text").isNotNull())
-    lines = rows.select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line", "symbol"))
-    named = lines.select("doc_id", "th", "line", F.xxhash64("symbol").alias("a"), F.xxhash64(F.lit(1), "symbol").alias("b"))
-    # rows that repeat a document give each line twice; one of each is the sequence
-    named = durable(named.repartition("doc_id", "th").dropDuplicates(["doc_id", "th", "line"]))
-    now = durable(named.join(_ranked(named), ["a", "b"]).select("doc_id", "th", "line", "rank"))
-    depth = 1
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)
-        now = _deeper(now, step)
-        depth += step
-    place = F.struct("doc_id", "th", "line")
-    first = now.groupBy("rank").agg(F.min(place).alias("first"))
-    later = now.join(first, "rank").where(~place.eqNullSafe(F.col("first")))
-    covered = later.select("doc_id", "th", F.explode(F.sequence(F.col("line"), F.col("line") + (min_lines - 1))).alias("gone"))
-    return covered.groupBy("doc_id", "th").agg(F.collect_set("gone").alias("gone"))
+    text = F.col("text").cast("string")
+    symbols = F.transform(F.split(text, "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
+    given = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), *_hashes(text), symbols.alias("symbols"))
+    texts = given.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n"), F.first("symbols").alias("symbols"))
+    placed = _laid_out(texts)
+    lines = durable(placed.select("doc", F.posexplode("symbols").alias("line", "s")).select("doc", "line", F.col("s.a").alias("a"), F.col("s.b").alias("b")))
+    owners = placed.select("h1", "h2", "owner", "n", "doc")
+    runs = _runs(_levels(lines, min_lines), min_lines)
+    if runs is None:
+        return owners, lines.where("false").select("doc", F.array("line").alias("gone"))
+    # the copy that stays may overlap the later one, in the same text only: its own lines are left alone
+    kept = F.when(F.col("first") >= F.col("doc"), F.greatest("line", (F.col("first") + F.col("length") - F.col("doc")).cast("int"))).otherwise(F.col("line"))
+    spans = runs.select("doc", kept.alias("from"), (F.col("line") + F.col("length") - 1).alias("to")).where(F.col("from") <= F.col("to"))
+    return owners, spans.select("doc", F.explode(F.sequence("from", "to")).alias("gone")).groupBy("doc").agg(F.collect_set("gone").alias("gone"))
+
+
+def _hashes(text):
+    """Two 64-bit hashes that name a text."""
+    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")
 
 
 def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """``docs`` with two more columns, n_lines and n_removed, and without later copies in its text.
 
     Lines end at U+000A. A run of ``min_lines`` lines or more that already occurred in a document with a
-    smaller doc_id (null first), or further up in the same one, is deleted; runs are judged on the input.
+    smaller doc_id (null last), or further up in the same one, is deleted, but for lines of the copy that stays
+    where the two overlap; runs are judged on the input, and of nested intervals the deepest counts in which
+    an earlier copy is found. A text that is the whole of an earlier document is a run whatever its length.
     Different texts with one doc_id are ordered by a hash of the text; rows that repeat doc_id and text are
     one document and come back alike. A null text stays null, with 0 lines; an empty one is a single empty
-    line. Nothing is dropped but lines: a document may end up empty.
+    line, which goes where an earlier document is empty too. Texts of any length are taken whole; a text is one
+    row throughout. Nothing is dropped but lines: a document may end up empty. Columns named n_lines or
+    n_removed are replaced; all others, whatever their names, come back. An empty table gives an empty one.
     """
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "__th", "__gone", "__lines")]
-    rows = docs.select(*columns, F.xxhash64(F.col("text").cast("string")).alias("__th"))
-    gone = later_copies(docs, min_lines).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th2"), F.col("gone").alias("__gone"))
-    joined = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__th2")), "left")
+    owners, gone = repeated_runs(docs, min_lines)
+    known = durable(owners.join(gone, "doc", "left").select("h1", "h2", "owner", "n", "gone"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), text.alias("own"), *_hashes(text))
+    n = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # a column of its own: inside a lambda the split would be done again for every line
-    joined = joined.withColumn("__lines", F.split("text", "\n", -1))
-    lines = F.col("__lines")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    return joined.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in columns],
-        n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    told = attach(rows.where(F.col("own").isNotNull()), known, ["h1", "h2"], n).select("row", "own", F.split("own", "\n", -1).alias("lines"), "gone", F.col("id").eqNullSafe(F.col("owner")).alias("first"))
+    lines = F.col("lines")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    left = F.when(~F.col("first"), "").when(F.col("gone").isNull(), F.col("own")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
+    removed = F.when(~F.col("first"), F.size(lines)).otherwise(F.coalesce(F.size("gone"), F.lit(0)))
+    cut = told.select("row", left.alias("own"), F.size(lines).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+    empty = rows.where(F.col("own").isNull()).select("row", "own", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return cut.unionByName(empty).select(*[F.col("own").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns], "n_lines", "n_removed")

@@ -1,13 +1,11 @@
-"""Line and substring dedup, top-k, pivots, url rules, classifier and pipeline against brute force and odd tables."""
+"""Substring dedup, top-k, pivots, url rules, classifier and pipeline against brute force and odd tables."""
 
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
-from corpusmill.llm import graph, linededup, pivots, quality, queries, substring, topk, urlrules
+from corpusmill.llm import graph, pivots, quality, queries, substring, topk, urlrules
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,35 +25,6 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, anchor string, rank int")
 
 
-@pytest.mark.parametrize("least", [1, 2, 3, 5])
-def test_line_dedup(spark, docs, least):
-    table = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    order = spark.createDataFrame([(t,) for _, t in table], "t string").select("t", F.xxhash64("t").alias("h")).collect()
-    h = {r["t"]: r["h"] for r in order}
-    seen, gone = set(), defaultdict(set)
-    for i, t in sorted(table, key=lambda r: (r[0] is not None, r[0] or 0, h[r[1]])):
-        lines = [] if t is None else t.split("\n")
-        for s in range(len(lines) - least + 1):
-            run = tuple(lines[s : s + least])
-            if run in seen:
-                gone[i, t] |= set(range(s, s + least))
-            seen.add(run)
-    want = Counter()
-    for i, t in table:
-        lines = [] if t is None else t.split("\n")
-        kept = None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone[i, t])
-        want[i, kept, len(lines), len(gone[i, t])] += 1
-    out = linededup.drop_repeated_lines(docs, least)
-    assert out.columns == docs.columns + ["n_lines", "n_removed"]
-    assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in out.collect()) == want
-
-
-def test_line_dedup_of_repeated_rows_and_nothing(spark, docs):
-    once = docs.where("doc_id = 3")
-    assert [r["n_removed"] for r in linededup.drop_repeated_lines(once.union(once)).collect()] == [0, 0]
-    assert linededup.drop_repeated_lines(docs.limit(0)).count() == 0
-
-
 def slow_removed(rows, window):
     starts = Counter()
     for _, words in rows:
