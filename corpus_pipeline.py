@@ -12,8 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions.lineage import release, scratch
 from corpusmill.llm import linededup, nearcopies, packing, quality, substring
-from corpusmill.llm.common import DEFAULT_SCRATCH, table
+from corpusmill.llm.common import table
 from corpusmill.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -66,10 +67,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or DEFAULT_SCRATCH
-    folder = f"{base}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark)
         docs = spark.read.parquet(path)
     return docs
