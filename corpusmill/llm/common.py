@@ -12,18 +12,29 @@ from corpusmill.functions.lineage import cut as durable  # noqa: F401  (the oper
 HOT_KEYS = 1000
 
 
-def attach(rows: DataFrame, keyed: DataFrame, keys: list[str], n_rows: int) -> DataFrame:
+def frequent(keyed: DataFrame) -> int | None:
+    """How many rows a key of ``keyed`` may have before a join should treat it apart; None if no key has more (an action).
+
+    ``keyed`` has the number ``n`` of its rows with each key. The limit is a HOT_KEYS-th of all rows, so fewer
+    than HOT_KEYS keys pass it, whatever the size of the table.
+    """
+    total, most = keyed.agg(F.sum("n"), F.max("n")).first()
+    limit = max((total or 0) // HOT_KEYS, 16)
+    return limit if (most or 0) > limit else None
+
+
+def attach(rows: DataFrame, keyed: DataFrame, keys: list[str], limit: int | None) -> DataFrame:
     """The inner join of ``rows`` and ``keyed`` on ``keys``, without one task for all rows of a frequent key.
 
-    ``keyed`` has each key once, with the number ``n`` of its rows; ``n_rows`` is what these numbers add up to.
-    A key with more than a HOT_KEYS-th of all rows is joined by broadcast: there are fewer than HOT_KEYS such
-    keys, whatever the size of the table. The others are shuffled. Both inputs are read twice, so they should
-    be cheap to read.
+    ``keyed`` has each key once, with the number ``n`` of its rows. Keys with more than ``limit`` rows (see
+    ``frequent``) are joined by broadcast, the others are shuffled; without a limit this is a plain join. Both
+    inputs are read twice, so they should be cheap to read.
     """
-    many = F.col("n") > max(n_rows // HOT_KEYS, 16)
-    hot = keyed.where(many)
+    if limit is None:
+        return rows.join(keyed, keys)
+    hot = keyed.where(F.col("n") > limit)
     crowded = rows.join(F.broadcast(hot), keys)
-    calm = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(keyed.where(~many), keys)
+    calm = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(keyed.where(F.col("n") <= limit), keys)
     return crowded.unionByName(calm)
 
 
@@ -40,6 +51,19 @@ def doc_rows(docs: DataFrame) -> DataFrame:
     )
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, text) with rows that repeat both doc_id and text folded to one.
+
+    Only rows that repeat are shuffled. The table of what repeats is written first, so the planner knows its
+    size when it picks a join.
+    """
+    rows = doc_rows(docs)
+    again = durable(rows.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("id"), F.col("th").alias("own")))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("own"))
+    folded = rows.join(again, same, "left_semi").groupBy("doc_id", "th").agg(F.first("text").alias("text"))
+    return rows.join(again, same, "left_anti").unionByName(folded)
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

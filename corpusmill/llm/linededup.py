@@ -12,9 +12,9 @@ with that first is found exactly by walking the depths back down, comparing the
 reached so far. Suffixes that only continue the run of the line above are folded into it, which leaves the
 maximal repeated runs; the later copy of each is deleted, but for lines that belong to the copy that stays.
 
-Ranks come from range partitioning, a running count in each partition and the partitions' offsets. Joins
-send the few keys that hold a thousandth of all rows or more by broadcast (``common.attach``), so neither a
-line nor a document that makes up a third of all rows ends up in one task.
+Ranks come from range partitioning and sorting the pairs that repeat. Joins send the few keys that hold a
+thousandth of all rows or more by broadcast (``common.attach``), so neither a line nor a document that makes up
+a third of all rows ends up in one task.
 """
 
 from __future__ import annotations
@@ -22,43 +22,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import attach, durable, shuffle_partitions
+from corpusmill.llm.common import attach, durable, frequent, shuffle_partitions
 
 MIN_LINES = 3
 _LAST = (1 << 63) - 1
 
 
-def _starts(placed: DataFrame, amount: str) -> DataFrame:
-    """(part, start): what the range partitions before each one hold; one row a partition, so the window is small."""
-    total = placed.groupBy("part").agg(F.sum(amount).alias("total"))
-    return total.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("start"))
-
-
 def _laid_out(texts: DataFrame) -> DataFrame:
     """``texts`` with ``doc``, the place of a text's first line among all."""
     order = [F.coalesce("owner", F.lit(_LAST)), F.col("h1"), F.col("h2")]
     placed = texts.withColumn("taken", F.size("symbols").cast("long") + 1)
     placed = durable(placed.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    total = placed.groupBy("part").agg(F.sum("taken").alias("total"))
+    # a row for each range partition, so this window is small
+    starts = total.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("start"))
     inside = F.sum("taken").over(Window.partitionBy("part").orderBy(*order)) - F.col("taken")
-    numbered = placed.withColumn("inside", inside).join(F.broadcast(_starts(placed, "taken")), "part")
+    numbered = placed.withColumn("inside", inside).join(F.broadcast(starts), "part")
     return numbered.select("h1", "h2", "owner", "n", "symbols", (F.col("start") + F.col("inside")).alias("doc"))
 
 
-def _ranked(pairs: DataFrame) -> DataFrame:
-    """(a, b, n, first, rank) of the pairs that occur more than once: how often, at which place first, and the rank."""
-    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("doc") + F.col("line")).alias("first")).where(F.col("n") > 1)
-    placed = durable(counted.repartitionByRange("a", "b").withColumn("part", F.spark_partition_id()))
-    inside = F.sum("n").over(Window.partitionBy("part").orderBy("a", "b")) - F.col("n")
-    numbered = placed.withColumn("inside", inside).join(F.broadcast(_starts(placed, "n")), "part")
-    return numbered.select("a", "b", "n", "first", (F.col("start") + F.col("inside")).alias("rank"))
-
+def _named(pairs: DataFrame) -> DataFrame | None:
+    """(doc, line, rank, first) of the suffixes in intervals of two or more; None if there are none.
 
-def _named(pairs: DataFrame) -> DataFrame:
-    """(doc, line, rank, first) of the suffixes in intervals of two or more."""
-    return durable(attach(pairs, _ranked(pairs), ["a", "b"], pairs.count()).select("doc", "line", "rank", "first"))
+    rank grows with the pair (a, b): range partitions follow each other and each is sorted. first is the place
+    of the first suffix that has the pair.
+    """
+    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("doc") + F.col("line")).alias("first")).where(F.col("n") > 1)
+    ranked = durable(counted.repartitionByRange("a", "b").sortWithinPartitions("a", "b").withColumn("rank", F.monotonically_increasing_id()))
+    if ranked.isEmpty():
+        return None
+    return durable(attach(pairs, ranked, ["a", "b"], frequent(ranked)).select("doc", "line", "rank", "first"))
 
 
-def _deeper(now: DataFrame, ahead: int) -> DataFrame:
+def _deeper(now: DataFrame, ahead: int) -> DataFrame | None:
     """Suffixes ranked by their own rank and that of the suffix ``ahead`` lines on in the same text."""
     by_line = Window.partitionBy("doc").orderBy(F.col("line").cast("long")).rangeBetween(ahead, ahead)
     pairs = now.select("doc", "line", F.col("rank").alias("a"), F.first("rank").over(by_line).alias("b"))
@@ -67,12 +63,12 @@ def _deeper(now: DataFrame, ahead: int) -> DataFrame:
 
 def _levels(lines: DataFrame, min_lines: int) -> list[tuple[int, DataFrame]]:
     """Ranks at every depth, up to the last at which an interval holds two suffixes."""
-    depth, levels = 1, [(1, _named(lines))]
-    while not levels[-1][1].isEmpty():
+    depth, level, levels = 1, _named(lines), []
+    while level is not None:
+        levels.append((depth, level))
         ahead = min(depth, min_lines - depth) if depth < min_lines else depth
-        depth += ahead
-        levels.append((depth, _deeper(levels[-1][1], ahead)))
-    return levels[:-1]
+        depth, level = depth + ahead, _deeper(level, ahead)
+    return levels
 
 
 def _runs(levels: list[tuple[int, DataFrame]], min_lines: int) -> DataFrame | None:
@@ -88,14 +84,15 @@ def _runs(levels: list[tuple[int, DataFrame]], min_lines: int) -> DataFrame | No
     later = later.withColumn("above", F.first("first").over(above))
     heads = F.col("above").isNull() | (F.col("above") + 1 != F.col("first"))
     runs = durable(later.where(heads).select("doc", "line", "first", "depth", F.col("depth").alias("length")))
-    n = runs.count()
+    # the places that are compared with: one for each run that starts alike, or fewer
+    limit = frequent(runs.groupBy("first").agg(F.count(F.lit(1)).alias("n")))
     for d, level in reversed(levels[:-1]):
         own = level.select("doc", F.col("line").alias("at"), F.col("rank").alias("own"))
         asked = runs.withColumns({"at": F.col("line") + F.col("length"), "place": F.col("first") + F.col("length")}).join(own, ["doc", "at"], "left")
         there = level.select((F.col("doc") + F.col("line")).alias("place"), F.col("rank").alias("there"))
         wanted = runs.groupBy((F.col("first") + F.col("length")).alias("place")).agg(F.count(F.lit(1)).alias("n")).join(there, "place", "left")
         more = F.when((F.col("depth") > d) & (F.col("own") == F.col("there")), d).otherwise(0)
-        longer = attach(asked, wanted, ["place"], n).select("doc", "line", "first", "depth", (F.col("length") + more).alias("length"))
+        longer = attach(asked, wanted, ["place"], limit).select("doc", "line", "first", "depth", (F.col("length") + more).alias("length"))
         runs = durable(longer.coalesce(shuffle_partitions(longer)))  # the two ways of a join add up their partitions
     return runs.select("doc", "line", "first", "length")
 
@@ -147,9 +144,8 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFram
     known = durable(owners.join(gone, "doc", "left").select("h1", "h2", "owner", "n", "gone"))
     text = F.col("text").cast("string")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), text.alias("own"), *_hashes(text))
-    n = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # a column of its own: inside a lambda the split would be done again for every line
-    told = attach(rows.where(F.col("own").isNotNull()), known, ["h1", "h2"], n).select("row", "own", F.split("own", "\n", -1).alias("lines"), "gone", F.col("id").eqNullSafe(F.col("owner")).alias("first"))
+    told = attach(rows.where(F.col("own").isNotNull()), known, ["h1", "h2"], frequent(known)).select("row", "own", F.split("own", "\n", -1).alias("lines"), "gone", F.col("id").eqNullSafe(F.col("owner")).alias("first"))
     lines = F.col("lines")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     left = F.when(~F.col("first"), "").when(F.col("gone").isNull(), F.col("own")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
