@@ -2,20 +2,22 @@
 
 Reference shards are found first, so that no text is compared with the whole corpus. Each window of
 ``window`` words picks the smallest hash among its runs of ``ANCHOR`` words (the leftmost of equals), so
-equal windows pick equal anchors at the same place. Consecutive windows with one anchor form a region,
-and every window lies in exactly one region. Anchors that occur once are done with. The regions of a
-repeated anchor are a reference shard: folded where equal, they are built into a suffix automaton that
-knows how often each substring occurs, and are then streamed through it for matching statistics. Where
-the longest suffix that occurs twice reaches the threshold, its span is removed.
-
-A shard's automaton lives in the task that its regions are shuffled to; nothing is broadcast, as shards
-grow with the corpus. Equal regions are counted before that shuffle, so a passage in a third of all
-documents sends one row per task.
+equal windows pick equal anchors at the same place. Consecutive windows with one anchor form a region, every
+window lies in exactly one region, and the regions of one anchor are a reference shard. Anchors that occur
+once are done with. Regions are named by a hash of their words; of a region that occurs twice or more every
+window does, which needs no more than a count. What is left are shards with a region that occurs once beside
+others. One copy of each of their regions is built into the shard's suffix automaton, which knows how often
+each substring occurs, and the single regions are streamed through it for matching statistics: where the
+longest suffix that occurs twice reaches the threshold, its span is removed.
+
+A shard's automaton lives in the task that its regions are shuffled to and is not broadcast: all automata
+together grow with the corpus (README has figures). A shard of more than ``CROWDED`` different regions is not
+built; its regions are taken apart into their windows, which are counted by hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import doc_rows, durable, words_of
+from corpusmill.llm.common import attach, doc_rows, durable, frequent, words_of
 
 WINDOW = 35
 ANCHOR = 10
+CROWDED = 1024
 SEED_WORD, SEED_LOW, SEED_HIGH = 3, 17, 18
 CACHED = 100_000
 STEP = 1 << 16
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))  # fixed values: a 64-bit finaliser
 BASE = np.uint64(0x9E3779B97F4A7C15)  # fixed value: an odd 64-bit multiplier
+UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
 S33 = np.uint64(33)
 
 
@@ -59,25 +63,50 @@ class WordHashes:
 _HASHES = WordHashes()
 
 
-def regions(words: list[bytes], window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window start, last window start) of the regions of one text, in order."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    for m in MIX:
+        x = (x ^ (x >> S33)) * m
+    return x ^ (x >> S33)
+
+
+class Powers:
+    """Powers of BASE and of its inverse, modulo 2**64, up to the longest text so far."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n >= len(self.up):
+            size = max(2 * len(self.up), n + 1)
+            self.up = np.cumprod(np.r_[np.ones(1, dtype=np.uint64), np.full(size - 1, BASE)])
+            self.down = np.cumprod(np.r_[np.ones(1, dtype=np.uint64), np.full(size - 1, UNBASE)])
+        return self.up[:n], self.down[: n + 1]
+
+
+_POWERS = Powers()
+
+
+def regions(words: list[bytes], window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first window start, last window start, hash of all words) of the regions of one text, in order."""
     n = len(words)
     if n < window:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return (np.zeros(0, dtype=np.int64),) * 4
     h = _HASHES.of(words)
     runs = np.zeros(n - anchor + 1, dtype=np.uint64)
     for k in range(anchor):
         runs = runs * BASE + h[k : n - anchor + 1 + k]
-    for m in MIX:
-        runs = (runs ^ (runs >> S33)) * m
-    runs ^= runs >> S33
+    runs = mixed(runs)
     span = window - anchor + 1
     picked = np.empty(n - window + 1, dtype=np.int64)
     for at in range(0, len(picked), STEP):
         part = np.lib.stride_tricks.sliding_window_view(runs[at : at + STEP + span - 1], span)
         picked[at : at + len(part)] = part.argmin(axis=1) + np.arange(at, at + len(part))
     first = np.flatnonzero(np.r_[True, picked[1:] != picked[:-1]])
-    return runs[picked[first]].view(np.int64), first, np.r_[first[1:], len(picked)] - 1
+    last = np.r_[first[1:], len(picked)] - 1
+    up, down = _POWERS.of(n)
+    before = np.r_[np.zeros(1, dtype=np.uint64), np.cumsum(h * up)]
+    whole = (before[last + window] - before[first]) * down[first] + (last - first).astype(np.uint64) * MIX[0]
+    return runs[picked[first]].view(np.int64), first, last, mixed(whole).view(np.int64)
 
 
 class SuffixAutomaton:
@@ -149,19 +178,6 @@ class SuffixAutomaton:
         return spans
 
 
-def _solve(window: int) -> Callable[[list[tuple[bytes, int]]], Iterator[tuple[int, list[tuple[int, int]]]]]:
-    def solve(shard: list[tuple[bytes, int]]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-        automaton = SuffixAutomaton()
-        split = [r.split() for r, _ in shard]
-        for words, (_, times) in zip(split, shard):
-            automaton.add(words, times)
-        automaton.close()
-        for i, words in enumerate(split):
-            yield i, automaton.repeated(words, window)
-
-    return solve
-
-
 def keep(words: list[bytes], spans: list[int]) -> list[bytes]:
     """``words`` without the spans, packed as ``start << 32 | end``."""
     at, kept = 0, []
@@ -171,21 +187,18 @@ def keep(words: list[bytes], spans: list[int]) -> list[bytes]:
     return kept + words[at:]
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, th, spans): per document with repeats, its removed spans as longs ``start << 32 | end``, in words."""
-    if not 0 < anchor <= window:
-        raise ValueError("the anchor must fit into the window")
-    rows = doc_rows(docs)
+def _regions_of(window: int, anchor: int):
+    """(dealt, known, anchor, doc_id, th, windows, whole) of all regions; windows is ``first << 32 | last``.
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Regions; those whose anchor recurs in their batch are known to be shared and are dealt out evenly.
+    Regions whose anchor recurs in their batch are known to be shared and are dealt out evenly. For each such
+    anchor one more row without a document goes where the anchor's other rows go, so a frequent anchor sends a
+    row per batch there, not one per occurrence.
+    """
 
-        For each such anchor one more row without a document goes where the anchor's other rows go, so a
-        frequent anchor sends a row per batch there, not one per occurrence.
-        """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [regions(words_of(t.as_py()), window, anchor) for t in b.column("text")]
-            n = np.array([len(a) for a, _, _ in found], dtype=np.int64)
+            n = np.array([len(f[0]) for f in found], dtype=np.int64)
             cat = lambda k: np.concatenate([f[k] for f in found] or [np.zeros(0, dtype=np.int64)])
             key, windows, take = cat(0), cat(1) << 32 | cat(2), np.repeat(np.arange(len(n)), n)
             values, back, count = np.unique(key, return_inverse=True, return_counts=True)
@@ -197,102 +210,142 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                     pa.array(np.r_[np.where(known, even, key), signs]), pa.array(np.r_[known, ends.astype(bool)]), pa.array(np.r_[key, signs]),
                     pa.concat_arrays([b.column("doc_id").take(pa.array(take)), pa.nulls(len(signs), pa.int64())]),
                     pa.concat_arrays([b.column("th").take(pa.array(take)), pa.nulls(len(signs), pa.int64())]),
-                    pa.array(np.r_[windows, ends - 1]),
+                    pa.array(np.r_[windows, ends - 1]), pa.array(np.r_[cat(3), ends]),
                 ],
-                ["dealt", "known", "anchor", "doc_id", "th", "windows"],
+                ["dealt", "known", "anchor", "doc_id", "th", "windows", "whole"],
             )
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows, sorted by (known, anchor), that are known or whose anchor is also in another row; one row is held."""
-        out = ["doc_id", "th", "windows"]
-        held: pa.RecordBatch | None = None
-        again = False  # the held row's anchor was in the row before it as well
+    return run
 
-        def real(rows: pa.RecordBatch) -> pa.RecordBatch:
-            return rows.filter(pa.array(rows.column("windows").to_numpy() >= 0)).select(out)
 
-        for b in batches:
-            known = b.column("known").to_numpy(zero_copy_only=False)
-            if known.any():
-                yield b.filter(pa.array(known)).select(out)
-                b = b.filter(pa.array(~known))
-            if not b.num_rows:
-                continue
-            key = b.column("anchor").to_numpy()
-            same = held is not None and held.column("anchor")[0].as_py() == key[0]
-            if held is not None and (same or again):
-                yield real(held)
-            twin = key[1:] == key[:-1]
-            pick = np.r_[same, twin] | np.r_[twin, False]
-            yield real(b.slice(0, len(key) - 1).filter(pa.array(pick[:-1])))
-            held, again = b.slice(len(key) - 1), bool(np.r_[same, twin][-1])
-        if held is not None and again:
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, sorted by (known, anchor), that are known or whose anchor is also in another row; one row is held."""
+    out = ["anchor", "doc_id", "th", "windows", "whole"]
+    held: pa.RecordBatch | None = None
+    again = False  # the held row's anchor was in the row before it as well
+
+    def real(rows: pa.RecordBatch) -> pa.RecordBatch:
+        return rows.filter(pa.array(rows.column("windows").to_numpy() >= 0)).select(out)
+
+    for b in batches:
+        known = b.column("known").to_numpy(zero_copy_only=False)
+        if known.any():
+            yield b.filter(pa.array(known)).select(out)
+            b = b.filter(pa.array(~known))
+        if not b.num_rows:
+            continue
+        key = b.column("anchor").to_numpy()
+        same = held is not None and held.column("anchor")[0].as_py() == key[0]
+        if held is not None and (same or again):
             yield real(held)
+        twin = key[1:] == key[:-1]
+        pick = np.r_[same, twin] | np.r_[twin, False]
+        yield real(b.slice(0, len(key) - 1).filter(pa.array(pick[:-1])))
+        held, again = b.slice(len(key) - 1), bool(np.r_[same, twin][-1])
+    if held is not None and again:
+        yield real(held)
+
+
+def _texts_of_regions(window: int):
+    """(anchor, doc_id, th, first, times, region) of the regions wanted of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, th, text, wanted in zip(*(b.column(c) for c in ("doc_id", "th", "text", "wanted"))):
+                doc, th, words = doc.as_py(), th.as_py(), words_of(text.as_py())
+                for w in wanted.as_py():
+                    x = w["windows"]
+                    out.append((w["anchor"], doc, th, x >> 32, w["times"], b" ".join(words[x >> 32 : (x & 0xFFFFFFFF) + window])))
+            kinds = [pa.int64()] * 5 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], ["anchor", "doc_id", "th", "first", "times", "region"])
 
-    names = ["doc_id", "th", "first", "anchor", "low", "high", "region"]
+    return run
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _windows_of_regions(window: int):
+    """(doc_id, th, first, times, low, high) of each window of the regions wanted: low and high name its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                words, out = words_of(b.column("text")[i].as_py()), []
-                known = {int(f): int(a) for a, f in zip(*regions(words, window, anchor)[:2])}
-                for x in b.column("windows")[i].as_py():
-                    region = b" ".join(words[x >> 32 : (x & 0xFFFFFFFF) + window])
-                    low, high = (xxhash.xxh64_intdigest(region, s) - (1 << 63) for s in (SEED_LOW, SEED_HIGH))
-                    out.append((x >> 32, known[x >> 32], low, high, region))
-                doc = [b.column(c)[i].as_py() for c in ("doc_id", "th")]
-                columns = [pa.array([v] * len(out), pa.int64()) for v in doc]
-                columns += [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 4 + [pa.binary()])]
-                if out:
-                    yield pa.RecordBatch.from_arrays(columns, names)
-
-    solve = _solve(window)
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per partition, sorted by anchor: spans of each distinct region; holds one shard."""
-        anchor_now, shard, ids, out = None, [], [], []
-
-        def flush() -> None:
-            for i, spans in solve(shard):
-                if spans:
-                    out.append((anchor_now, *ids[i], [s << 32 | e for s, e in spans]))
-
-        def batch() -> pa.RecordBatch:
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["anchor", "low", "high", "spans"])
-            out.clear()
-            return made
+            out = []
+            for doc, th, text, wanted in zip(*(b.column(c) for c in ("doc_id", "th", "text", "wanted"))):
+                doc, th, words = doc.as_py(), th.as_py(), words_of(text.as_py())
+                for w in wanted.as_py():
+                    for s in range(w["windows"] >> 32, (w["windows"] & 0xFFFFFFFF) + 1):
+                        run_of = b" ".join(words[s : s + window])
+                        out.append((doc, th, s, w["times"], *(xxhash.xxh64_intdigest(run_of, k) - (1 << 63) for k in (SEED_LOW, SEED_HIGH))))
+            kinds = [pa.int64()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], ["doc_id", "th", "first", "times", "low", "high"])
+
+    return run
+
+
+def _matched(window: int):
+    """Per partition, sorted by anchor: (doc_id, th, span) of what recurs in the single regions; holds one shard of at most CROWDED regions."""
 
+    def solve(shard: Iterable[list]) -> Iterator[tuple[int | None, int, int]]:
+        automaton = SuffixAutomaton()
+        split = [r[4].split() for r in shard]
+        for words, r in zip(split, shard):
+            automaton.add(words, r[3])
+        automaton.close()
+        for words, (doc, th, first, times, _) in zip(split, shard):
+            if times == 1:
+                for start, end in automaton.repeated(words, window):
+                    yield doc, th, (first + start) << 32 | (first + end)
+
+    def batch(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "th", "span"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shard, out = None, {}, []
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("anchor", "low", "high", "region", "times")]
-            for a, low, high, region, times in zip(*columns):
-                if a != anchor_now:
-                    if shard:
-                        flush()
-                    anchor_now, shard, ids = a, [], []
-                shard.append((region, times))
-                ids.append((low, high))
+            for a, *r in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc_id", "th", "first", "times", "region"))):
+                if a != now:
+                    out += solve(shard.values())
+                    now, shard = a, {}
+                shard[tuple(r[:3])] = r  # rows that repeat a document give its regions again
             if len(out) > 4096:
-                yield batch()
-        if shard:
-            flush()
+                yield batch(out)
+                out = []
+        out += solve(shard.values())
         if out:
-            yield batch()
-
-    found = rows.mapInArrow(anchors, "dealt long, known boolean, anchor long, doc_id long, th long, windows long")
-    twice = found.repartition("dealt").sortWithinPartitions("known", "anchor").mapInArrow(shared, "doc_id long, th long, windows long")
-    wanted = durable(twice.groupBy("doc_id", "th").agg(F.collect_set("windows").alias("windows")))
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
-    cuts = (
-        rows.join(wanted, same(rows, wanted)).select(rows["doc_id"], rows["th"], "text", "windows")
-        .mapInArrow(cut, "doc_id long, th long, first long, anchor long, low long, high long, region binary")
-    )
-    distinct = cuts.groupBy("anchor", "low", "high").agg(F.count(F.lit(1)).alias("times"), F.first("region").alias("region"))
-    spans = distinct.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(match, "anchor long, low long, high long, spans array<long>")
-    places = cuts.select("doc_id", "th", "first", "anchor", "low", "high").join(spans, ["anchor", "low", "high"])
-    placed = places.select("doc_id", "th", F.explode("spans").alias("span"), "first")
-    offset = F.col("first") + F.shiftleft(F.col("first"), 32)
-    return placed.groupBy("doc_id", "th").agg(F.collect_set(F.col("span") + offset).alias("spans"))
+            yield batch(out)
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, crowded: int = CROWDED) -> DataFrame:
+    """(doc_id, th, spans): per document with repeats, its removed spans as longs ``start << 32 | end``, in words."""
+    if not 0 < anchor <= window:
+        raise ValueError("the anchor must fit into the window")
+    rows = doc_rows(docs)
+    found = rows.mapInArrow(_regions_of(window, anchor), "dealt long, known boolean, anchor long, doc_id long, th long, windows long, whole long")
+    places = durable(found.repartition("dealt").sortWithinPartitions("known", "anchor").mapInArrow(_shared, "anchor long, doc_id long, th long, windows long, whole long"))
+    # of a region's places any will do: its words are the same everywhere
+    some = [F.first(c).alias(c) for c in ("doc_id", "th", "windows")]
+    classes = durable(places.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("times"), *some))
+    shards = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("times") == 1).alias("single"))
+    open_ones = durable(attach(classes.select("anchor", "times", "doc_id", "th", "windows"), shards, ["anchor"], frequent(shards)).where("n > 1 AND single > 0"))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        """The texts that hold the regions ``wanted``, each with a list of them."""
+        wanted = durable(wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "times", "windows")).alias("wanted")))
+        return rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["th"] == wanted["th"])).select(rows["doc_id"], rows["th"], "text", "wanted")
+
+    built = texts(open_ones.where(F.col("n") <= crowded)).mapInArrow(_texts_of_regions(window), "anchor long, doc_id long, th long, first long, times long, region binary")
+    matched = built.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_matched(window), "doc_id long, th long, span long")
+    apart = texts(open_ones.where(F.col("n") > crowded)).mapInArrow(_windows_of_regions(window), "doc_id long, th long, first long, times long, low long, high long")
+    apart = durable(apart.dropDuplicates())
+    counted = apart.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("total"))
+    single = attach(apart, counted, ["low", "high"], frequent(counted)).where("times = 1 AND total > 1")
+    span = lambda first, last: F.shiftleft(first, 32) + last + window
+    alone = single.select("doc_id", "th", span(F.col("first"), F.col("first")).alias("span"))
+    twice = classes.where("times > 1").select("anchor", "whole", F.col("times").alias("n"))
+    whole = attach(places, twice, ["anchor", "whole"], frequent(twice))
+    whole = whole.select("doc_id", "th", (F.col("windows") + window).alias("span"))
+    return whole.unionByName(matched).unionByName(alone).groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -301,7 +354,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     Words are runs of anything but ASCII white space, unchanged. Removed is each word covered by a window
     of ``window`` words of one document whose words also start anywhere else, in the same document or in
     another row; windows are judged on the input. Repeated rows are two documents, so their windows repeat.
-    A null text has no words and gives an empty one; a document shorter than a window keeps every word.
+    A null text has no words and gives an empty one; a document shorter than a window keeps every word. Texts
+    of any length are taken whole; arrays of a number per word are what a long one costs. An empty table gives
+    an empty one; other columns are not read.
     """
     rows = doc_rows(docs)
     spans = repeated_spans(docs, window, anchor)
@@ -329,20 +384,20 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     """``docs`` with repeated passages cut out of ``text``: see remove_repeats.
 
     Only texts that lose words change (their words are joined by one space); all other rows, null texts
-    too, stay as they are, with all their columns.
+    too, stay as they are, with all their columns, whatever their names.
     """
-    keyed = docs.withColumn("__th", F.xxhash64(F.col("text").cast("string")))
-    spans = repeated_spans(docs, window, anchor).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th2"), F.col("spans").alias("__spans"))
-    joined = keyed.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__th2")), "left").select(*docs.columns, "__spans")
+    others = [c for c in docs.columns if c != "text"]
+    keyed = docs.select(F.struct(*others).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("own"), F.col("text").cast("string").alias("text"))
+    spans = repeated_spans(docs, window, anchor)
+    joined = keyed.join(spans, keyed["id"].eqNullSafe(spans["doc_id"]) & (keyed["own"] == spans["th"]), "left").select("row", "text", "spans")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, spans = b.schema.get_field_index("text"), b.column("__spans")
             texts = [
                 t.as_py() if not x.is_valid else b" ".join(keep(words_of(t.as_py()), x.as_py())).decode("utf-8", "replace")
-                for t, x in zip(b.column("text"), spans)
+                for t, x in zip(b.column("text"), b.column("spans"))
             ]
-            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    return joined.mapInArrow(apply, docs.withColumn("text", F.col("text").cast("string")).schema)
+    made = joined.mapInArrow(apply, joined.select("row", "text").schema)
+    return made.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
