@@ -1,14 +1,14 @@
 """Quality classifier: random-indexing word vectors, pooled per document, under a two-layer network.
 
-Every word hashes to one of ``BUCKETS`` buckets, and every bucket has a fixed sparse index vector of a
-few +1 and -1. A word's vector is the sum of the index vectors of the words around it (random indexing),
-scaled to unit length. A document is the mean and the spread of its words' vectors, its length, and how concentrated its words are. A
-network of two layers in numpy turns that into a logit, which a temperature fitted on documents kept
-aside from training calibrates.
-
-Vectors and network are fitted on a bounded sample: at most ``sample`` labelled documents, chosen by
-hash. Documents beyond the sample only get scores. What reaches the driver is bounded by BUCKETS, DIM
-and ``sample``, never by the length or number of texts.
+Every word hashes to one of ``BUCKETS`` buckets, and every bucket has a fixed sparse index vector of a few +1
+and -1. A word's vector is the sum of the index vectors of the words around it (random indexing) over all
+documents, scaled to unit length. A document is the mean and the spread of its words' vectors and the mean
+product of neighbouring ones, which says how well its words go together. A network of two layers in numpy turns
+that into a logit, which a temperature fitted on documents kept aside from training calibrates.
+
+The word vectors come from every document; rows that repeat doc_id and text count once. The sums of a task are
+added up by ranges of buckets, so the driver gets BUCKETS x DIM numbers whatever the number of tasks. The
+network is fitted on at most ``sample`` labelled documents, chosen by hash.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import once
+
 BUCKETS = 1 << 14
 DIM = 48
 NONZERO = 6
@@ -31,10 +33,11 @@ HIDDEN = 32
 SAMPLE = 12_000
 CACHED = 150_000
 TOKENS = regex.compile(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]+")
-PARTS = 8
+SLICE = 256
 STEP = 1 << 16
 HELD_TOKENS = 1_000_000
-FEATURES = 2 * DIM + 5
+SENT_TOKENS = 1 << 27
+FEATURES = 3 * DIM
 SEED_WORD, SEED_INDEX = 7, 11
 
 
@@ -73,20 +76,20 @@ _BUCKETS = Buckets()
 
 
 def pooled(words: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of the words' vectors, length, and how much the words repeat; zeros for no words."""
+    """Mean and spread of the words' vectors and the mean product of neighbours; zeros for no words."""
     n = len(words)
     if not n:
         return np.zeros(FEATURES, dtype=np.float32)
-    total, square = np.zeros(DIM), np.zeros(DIM)
+    total, square, beside = np.zeros(DIM), np.zeros(DIM), np.zeros(DIM)
     for at in range(0, n, STEP):
-        v = vectors[words[at : at + STEP]]
-        total += v.sum(axis=0, dtype=np.float64)
-        square += np.einsum("ij,ij->j", v, v, dtype=np.float64)
+        v = vectors[words[at : at + STEP + 1]]
+        own = v[:STEP]
+        total += own.sum(axis=0, dtype=np.float64)
+        square += np.einsum("ij,ij->j", own, own, dtype=np.float64)
+        beside += np.einsum("ij,ij->j", v[:-1], v[1:], dtype=np.float64)
     mean = total / n
     spread = np.sqrt(np.maximum(square / n - mean**2, 0))
-    share = np.bincount(words) / n
-    again = [float((words[gap:] == words[:-gap]).mean()) if n > gap else 0.0 for gap in (1, 2)]
-    return np.r_[mean, spread, np.log1p(n) / 10, np.linalg.norm(mean), np.log1p(n * (share @ share)), again].astype(np.float32)
+    return np.r_[mean, spread, beside / max(n - 1, 1)].astype(np.float32)
 
 
 @dataclass
@@ -171,52 +174,94 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
-    """Word vectors and network from at most ``sample`` labelled documents (an action)."""
-    chosen = training_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(F.broadcast(chosen), "doc_id").repartition(PARTS, "doc_id")  # at most ``sample`` ids
-    )
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, sums = index_vectors(), np.zeros((BUCKETS, DIM), dtype=np.int64)
-        held: list[np.ndarray] = []
+def context_sums(sequences: list[np.ndarray]) -> np.ndarray:
+    """For each bucket the sum of the index vectors of the words up to WINDOW places away, over all sequences."""
+    index = index_vectors()
+    at = np.argsort(index == 0, axis=1, kind="stable")[:, :NONZERO]
+    sign = np.take_along_axis(index, at, axis=1).astype(np.float64)
+    apart = np.full(WINDOW, -1, dtype=np.int64)  # no context reaches into another text
+    w = np.concatenate([x for s in sequences for x in (s.astype(np.int64), apart)])
+    sums = np.zeros(BUCKETS * DIM)
+    for gap in range(1, WINDOW + 1):
+        a, b = w[:-gap], w[gap:]
+        real = (a >= 0) & (b >= 0)
+        pairs, times = np.unique(a[real] * BUCKETS + b[real], return_counts=True)
+        a, b = pairs // BUCKETS, pairs % BUCKETS
+        for own, other in ((a, b), (b, a)):
+            for k in range(NONZERO):
+                sums += np.bincount(own * DIM + at[other, k], times * sign[other, k], BUCKETS * DIM)
+    return sums.reshape(BUCKETS, DIM).astype(np.int64)
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slice, buckets, sums) of a task, for the buckets that its texts have."""
+    sums, held, size, sent = np.zeros((BUCKETS, DIM), dtype=np.int64), [], 0, 0
+
+    def rows() -> pa.RecordBatch:
+        out = []
+        for k in range(0, BUCKETS, SLICE):
+            some = np.flatnonzero(sums[k : k + SLICE].any(axis=1))
+            if len(some):
+                out.append((k // SLICE, some.astype("<u2").tobytes(), sums[k + some].astype("<i4").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], ["slice", "buckets", "sums"])
+
+    for b in batches:
+        for text in b.column("text"):
+            words = _BUCKETS.of(text.as_py())
+            # a long text is taken in stretches that overlap by what a window reaches, less what was counted
+            for at in range(0, len(words), HELD_TOKENS):
+                held.append(words[max(0, at - WINDOW) : at + HELD_TOKENS])
+                size += len(held[-1])
+                if size >= HELD_TOKENS:
+                    sums += context_sums(held)
+                    sent, size, held = sent + size, 0, []
+                if at:
+                    sums -= context_sums([words[at - WINDOW : at]])
+        if sent > SENT_TOKENS and sums.any():
+            yield rows()
+            sums, sent = np.zeros((BUCKETS, DIM), dtype=np.int64), 0
+    if held:
+        sums += context_sums(held)
+    if sums.any():
+        yield rows()
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, some, sums in zip(*(b.column(c).to_pylist() for c in ("slice", "buckets", "sums"))):
+            some = np.frombuffer(some, dtype="<u2")
+            total.setdefault(k, np.zeros((SLICE, DIM), dtype=np.int64))[some] += np.frombuffer(sums, dtype="<i4").reshape(-1, DIM)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "sums"])
+
+
+def word_vectors(docs: DataFrame) -> np.ndarray:
+    """One unit vector a bucket, or zeros, from all rows of ``docs`` (an action)."""
+    slices = BUCKETS // SLICE
+    parts = docs.select("text").mapInArrow(_contexts, "slice int, buckets binary, sums binary").repartition(slices, "slice").mapInArrow(_added, "slice int, sums binary")
+    sums = np.zeros((slices, SLICE, DIM))
+    for r in parts.collect():  # at most a row per slice
+        sums[r["slice"]] = np.frombuffer(r["sums"], dtype=np.int64).reshape(SLICE, DIM)
+    sums = sums.reshape(BUCKETS, DIM)
+    return (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
-        def add() -> None:
-            w = np.concatenate(held)
-            for gap in range(1, WINDOW + 1):
-                pairs = np.stack([w[:-gap], w[gap:]], 1)
-                pairs = pairs[(pairs >= 0).all(axis=1)]
-                for left, right in ((pairs[:, 0], pairs[:, 1]), (pairs[:, 1], pairs[:, 0])):
-                    for d in range(DIM):
-                        sums[:, d] += np.bincount(left, index[right, d], BUCKETS).astype(np.int64)
-            held.clear()
 
-        for b in batches:
-            for text in b.column("text"):
-                words = _BUCKETS.of(text.as_py()).astype(np.int32)
-                for at in range(0, len(words), STEP):
-                    if sum(map(len, held)) > HELD_TOKENS:
-                        add()
-                    held.append(words[at : at + STEP])
-                held.append(np.full(WINDOW, -1, dtype=np.int32))  # no context reaches into another text
-        if held:
-            add()
-        yield pa.RecordBatch.from_arrays([pa.array([sums.astype("<i4").tobytes()], pa.binary())], ["sums"])
-
-    sums = np.zeros((BUCKETS, DIM), dtype=np.int64)
-    for part in rows.select("text").mapInArrow(contexts, "sums binary").toLocalIterator():
-        sums += np.frombuffer(part["sums"], dtype="<i4").reshape(BUCKETS, DIM)
-    vectors = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
+    """Word vectors of all documents, and a network from at most ``sample`` labelled ones (an action)."""
+    rows = once(docs)
+    vectors = word_vectors(rows)
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
+    chosen = training_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [pooled(_BUCKETS.of(t.as_py()), sent.value).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(x, pa.binary())], ["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("th"), pa.array(x, pa.binary())], ["doc_id", "y", "th", "x"])
 
-    got = sorted(rows.mapInArrow(features, "doc_id long, y int, x binary").limit(2 * sample).collect())
+    labelled = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "th", "text")  # at most ``sample`` ids
+    made = labelled.mapInArrow(features, "doc_id long, y int, th long, x binary")
+    # of different texts with one id the one with the smallest hash is learnt from
+    got = sorted(made.groupBy("doc_id").agg(F.min_by("y", "th").alias("y"), F.min_by("x", "th").alias("x")).collect())
     x = np.array([np.frombuffer(r["x"], dtype=np.float32) for r in got]).reshape(-1, FEATURES)
     return vectors, fit_network(x, np.array([r["y"] for r in got], dtype=int))
 
@@ -226,7 +271,10 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
     score is the calibrated probability of label 1 from the whole text alone; predicted is 1 from 0.5 on.
     held_out marks the ids whose labels were never looked at. Null and empty texts are scored as texts
-    without words. Without labels of both kinds every score is the share of label 1, or one half.
+    without words. Texts of any length are scored whole, in stretches. Rows that repeat doc_id and text count
+    once in all that is learnt, so repeating them changes no score; different texts with one id are scored each
+    by itself. Without labels of both kinds every score is the share of label 1, or one half. An empty table
+    gives an empty one; only doc_id and text are read.
     """
     vectors, network = fit(docs, labels, sample)
     sent = docs.sparkSession.sparkContext.broadcast((vectors, network))
