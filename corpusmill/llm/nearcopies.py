@@ -1,9 +1,15 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands find what may meet, exact sets decide.
-
-A text is the set of its five-word shingles. ``BANDS`` bands of ``ROWS`` minima each deal the texts into
-buckets; two texts of similarity s share one with probability 1 - (1 - s^ROWS)^BANDS, which at 0.8 is all but
-3 in a million. Equal sets are folded before. Of buckets with the same members one is looked at, and inside a
-bucket the true similarity of whole sets is computed, so nothing is linked that is less alike than asked.
+"""Near copies by the Jaccard similarity of word shingles: wide SimHash fingerprints over the Gray-order index.
+
+``simhash`` links fingerprints up to 3 bits apart, which texts of similarity 0.8 seldom are. Here a text is the
+set of its five-word shingles and has ``WIDE`` fingerprints of 64 bits, each of other hashes. Every 16-bit block
+of each is a shard, as in ``simhash``: two texts of similarity 0.8 differ in some 15 % of the bits, so they agree
+in a given block with probability 0.07 and in one of all 64 with 0.99 (0.85: 0.999). Inside a shard the
+fingerprints lie in a Gray-order hierarchical index, which is searched with a wider radius (``NEAR``), and the
+fingerprint beside must be near as well (``BESIDE``). What meets this way is a coarse cluster.
+
+Inside a coarse cluster the similarity of whole sets decides, so nothing is linked that is less alike than
+asked. Equal sets are folded before. A cluster too large for a task meets in pairs of parts, and from a unit a
+spanning forest of its links is sent on.
 """
 
 from __future__ import annotations
@@ -16,16 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import durable
+from corpusmill.llm.common import Components, doc_rows, durable
 from corpusmill.llm.graph import components
+from corpusmill.llm.simhash import GrayIndex, in_parts
+from corpusmill.llm.substring import MIX, mixed  # noqa: F401
 
 SEED = 42
-BANDS, ROWS = 32, 5
 SHINGLE, SIMILARITY = 5, 0.8
-CHUNK = 4096
-_random = np.random.default_rng(SEED)
-FACTORS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-MASKS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
+WIDE, BLOCKS = 16, 4
+NEAR, BESIDE = 14, 28
+CHUNK = 1024
+HELD_SHINGLES, HELD_TEXTS = 1 << 20, 2048
+SALTS = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # fixed value: an odd 64-bit multiplier
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -38,14 +46,14 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(s, SEED) for s in joined), dtype=np.uint64, count=len(words) - shingle + 1))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One key a band: a hash of its minima and its number."""
-    least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """WIDE words of 64 bits; a bit is 1 if it is in more than half of the shingles' hashes."""
+    counts = np.zeros(WIDE * 64, dtype=np.int64)
     for at in range(0, len(shingles), CHUNK):
-        part = shingles[at : at + CHUNK]
-        np.minimum(least, ((part[None, :] ^ MASKS[:, None]) * FACTORS[:, None]).min(axis=1), out=least)
-    bands = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(bands)], dtype=np.uint64).view(np.int64)
+        hashes = mixed(shingles[at : at + CHUNK, None] + SALTS)
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.uint16)
+    return np.packbits(counts * 2 > len(shingles), bitorder="little").view(np.int64)
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -53,36 +61,84 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def _marks(shingle: int):
-    """(doc_id, node, bands): node is a hash of the whole set."""
+    """(doc_id, th, node, size, codes): node is a hash of the whole set, size the number of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = (shingle_set(t.as_py(), shingle) for t in b.column("text"))
-            made = [(_node(s), band_keys(s)) for s in sets]
-            keys = pa.array(np.concatenate([k for _, k in made]) if made else np.zeros(0, np.int64))
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * BANDS, pa.int32()), keys)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for n, _ in made], pa.int64()), bands], ["doc_id", "node", "bands"])
+            nodes, sizes, codes = [], [], []
+            for t in b.column("text"):
+                s = shingle_set(t.as_py(), shingle)
+                nodes.append(_node(s))
+                sizes.append(len(s))
+                codes.append(wide_fingerprint(s))
+            flat = pa.array(np.concatenate(codes) if codes else np.zeros(0, dtype=np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1) * WIDE, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "th", "node", "size", "codes"])
 
     return run
 
 
 def _sets(shingle: int):
-    """(node, shingles) of the rows whose text has the node they are wanted for."""
+    """(node, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sets = [], []
-            for node, text in zip(b.column("node").to_pylist(), b.column("text")):
-                s = shingle_set(text.as_py(), shingle)
-                if _node(s) == node:
-                    nodes.append(node)
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+            sets = [shingle_set(t.as_py(), shingle).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     return run
 
 
-def bucket_links(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([u for u, _ in pairs], pa.int64()), pa.array([v for _, v in pairs], pa.int64())], ["u", "v"])
+
+
+def near_positions(keys: np.ndarray, codes: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """For each position (sorted by shard) the smallest one that it reaches over near fingerprints of its shard."""
+    groups, index = Components(len(keys)), GrayIndex(keys, codes)
+
+    def link(a: np.ndarray, b: np.ndarray) -> None:
+        far = np.bitwise_count(codes[a] ^ codes[b])
+        near = (far <= NEAR) & (far + np.bitwise_count(beside[a] ^ beside[b]) <= BESIDE)
+        groups.link(a[near], b[near])
+
+    link(*index.neighbours())
+    for a, b in index.links(NEAR, groups):
+        link(a, b)
+    return groups.root
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per partition, sorted by shard: links (u, v) of what is near in a shard; holds one batch and one open shard."""
+    names = ("shard", "node", "code", "beside")
+
+    def solve(keys: np.ndarray, nodes: np.ndarray, codes: np.ndarray, beside: np.ndarray) -> Iterator[pa.RecordBatch]:
+        same = keys[1:] == keys[:-1]
+        pick = np.r_[False, same] | np.r_[same, False]
+        keys, nodes = keys[pick], nodes[pick]
+        if len(keys):
+            root = near_positions(keys, codes[pick].view(np.uint64), beside[pick].view(np.uint64))
+            u = np.flatnonzero(root != np.arange(len(root)))
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[root[u]])], ["u", "v"])
+
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(c).to_numpy() for c in names]
+        keys = columns[0]
+        cut = int(np.searchsorted(keys == keys[-1], True))
+        if cut or (held and held[-1][0][-1] != keys[0]):
+            held.append([c[:cut] for c in columns])
+            yield from solve(*(np.concatenate(c) for c in zip(*held)))
+            held = []
+        held.append([c[cut:] for c in columns])
+    if held:
+        yield from solve(*(np.concatenate(c) for c in zip(*held)))
+
+
+def unit_links(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
     """A spanning forest of the positions that are at least so alike: breadth first, against what is not reached yet."""
     sizes = np.array([len(s) for s in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -109,60 +165,90 @@ def bucket_links(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[in
 
 
 def _links(similarity: float):
-    """Per partition, sorted by bucket: links (u, v) of each bucket; holds one batch and one open bucket."""
+    """Per partition, sorted by unit: links (u, v) of each unit; holds one batch and one open unit."""
 
     def solve(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        return [(nodes[x], nodes[y]) for x, y in bucket_links(sets, similarity)]
+        return [(nodes[x], nodes[y]) for x, y in unit_links(sets, similarity)] if len(nodes) > 1 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, sets, out = None, [], [], []
         for b in batches:
-            for k, node, s in zip(b.column("bucket").to_pylist(), b.column("node").to_pylist(), b.column("shingles")):
+            for k, node, s in zip(b.column("shard").to_pylist(), b.column("node").to_pylist(), b.column("shingles")):
                 if k != key:
-                    if len(nodes) > 1:
-                        out += solve(nodes, sets)
+                    out += solve(nodes, sets)
                     key, nodes, sets = k, [], []
                 nodes.append(node)
                 sets.append(np.frombuffer(s.as_py(), dtype=np.uint64))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
+                yield _edges(out)
                 out = []
-        if len(nodes) > 1 and (out := solve(nodes, sets)):
-            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
+        if out := solve(nodes, sets):
+            yield _edges(out)
 
     return run
 
 
+def _in_units(clustered: DataFrame) -> DataFrame:
+    """(node, shard) of (node, label, size): one unit a cluster, or one for each pair of parts of a large one."""
+    n, total = F.count(F.lit(1)), F.sum("size")
+    parts = F.greatest(F.ceil(total / HELD_SHINGLES), F.ceil(n / HELD_TEXTS)).cast("int")
+    large = durable(clustered.groupBy("label").agg(parts.alias("parts")).where("parts > 1").withColumnRenamed("label", "whole"))
+    told = clustered.join(large, F.col("label") == F.col("whole"), "left").withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int"))
+    dealt = told.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    pair = F.xxhash64("label", F.least("part", "other"), F.greatest("part", "other"))
+    return dealt.select("node", F.when(F.col("parts").isNull(), F.col("label")).otherwise(pair).alias("shard"))
+
+
+def _found(texts: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, node) per row of ``texts`` (doc_id, th, text), and (node, first) with the smallest
+    (doc_id, th) that the node can reach over texts so alike; null if that holds null doc_ids only.
+
+    ``texts`` is read twice, the second time only for texts in a coarse cluster of two or more.
+    """
+    marked = durable(texts.mapInArrow(_marks(shingle), "doc_id long, th long, node long, size long, codes array<long>"))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th")))
+    same = [F.first(c).alias(c) for c in ("doc_id", "th", "size", "codes")]  # of one row; any will do
+    rows = durable(marked.groupBy("node").agg(first.alias("first"), *same))
+    posts = []
+    for w in range(WIDE):
+        code, beside = F.col("codes")[w], F.col("codes")[(w + 1) % WIDE]
+        for j in range(BLOCKS):
+            bits = F.shiftrightunsigned(code, 16 * j).bitwiseAND(F.lit(0xFFFF))
+            posts.append(F.struct((bits + F.lit((w * BLOCKS + j) << 16)).alias("shard"), code.alias("code"), beside.alias("beside")))
+    posted = rows.select("node", F.explode(F.array(*posts)).alias("p")).select(F.col("p.shard").alias("shard"), "node", F.col("p.code").alias("code"), F.col("p.beside").alias("beside"))
+    coarse = in_parts(posted, "node").repartition("shard").sortWithinPartitions("shard").mapInArrow(_near, "u long, v long")
+    clustered = durable(components(coarse).join(rows.select("node", "doc_id", "th", "size"), "node"))
+    wanted = clustered.select("node", F.col("doc_id").alias("id"), F.col("th").alias("own"))
+    held = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("own"))).select("node", "text")
+    sets = held.mapInArrow(_sets(shingle), "node long, shingles binary").dropDuplicates(["node"])  # rows may repeat
+    units = _in_units(clustered).join(sets, "node").select("shard", "node", "shingles")
+    edges = units.repartition("shard").sortWithinPartitions("shard").mapInArrow(_links(similarity), "u long, v long")
+    labelled = rows.select("node", "first").join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups = labelled.groupBy("label").agg(F.min("first").alias("least"))
+    return marked.select("doc_id", "th", "node"), durable(labelled.join(groups, "label").select("node", F.col("least").alias("first")))
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) per row of ``docs``: the smallest doc_id that can be reached over texts so alike.
 
-    Texts without words are alike. ``docs`` is read twice; the second time only texts that share a bucket are used.
+    Texts without words, null ones too, are alike. Whole texts are compared, whatever their length. Repeated
+    rows come back as often as they are given; a null doc_id is never the smallest. An empty table gives an
+    empty one; only doc_id and text are read.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = durable(texts.mapInArrow(_marks(shingle), "doc_id long, node long, bands array<long>"))
-    distinct = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
-    rows = durable(distinct)
-    dealt = rows.select("node", F.explode("bands").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("m"))
-    looked_at = shared.where("n > 1").groupBy("n", "x", "m").agg(F.min("bucket").alias("bucket"))
-    members = durable(dealt.join(looked_at.select("bucket"), "bucket"))
-    wanted = rows.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("doc_id"))
-    sets = texts.join(wanted, "doc_id").select("node", "text").mapInArrow(_sets(shingle), "node long, shingles binary")
-    held = members.join(sets.dropDuplicates(["node"]), "node").select("bucket", "node", "shingles")
-    edges = held.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(similarity), "u long, v long")
-    labelled = rows.select("node", "least").join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    groups = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    owner = durable(labelled.join(groups, "label").select("node", "component_id"))
-    return marked.select("doc_id", "node").join(owner, "node").select("doc_id", "component_id")
+    marked, owner = _found(doc_rows(docs), shingle, similarity)
+    return marked.join(owner, "node").select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without near copies: of each component the row with the smallest doc_id stays.
 
-    Of rows that share a doc_id one stays. Rows without a doc_id cannot be told apart, so they all stay.
+    Different texts with one doc_id are told apart by a hash of the text, which also orders them: unlike ones
+    all stay. Rows that repeat doc_id and text are folded to one. Rows without a doc_id cannot be told apart,
+    so they all stay. All columns come back, whatever their names; an empty table gives an empty one.
     """
     named = docs.where(F.col("doc_id").isNotNull())
-    found = near_copies(named, shingle, similarity)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    _, owner = _found(doc_rows(named), shingle, similarity)
+    keep = owner.select("first.*").distinct().select(F.col("doc_id").alias("id"), F.col("th").alias("own"))
+    rows = named.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("key"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    kept = rows.join(keep, (F.col("key") == F.col("id")) & (F.col("hash") == F.col("own")), "left_semi").dropDuplicates(["key", "hash"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]).unionByName(docs.where(F.col("doc_id").isNull()))

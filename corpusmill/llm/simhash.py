@@ -8,8 +8,9 @@ down from the top, adds the differences against the bits a node has beyond its p
 node with all below it once the sum passes the threshold.
 
 A shard with more than ``SPLIT_ABOVE`` fingerprints is split once more by four 12-bit blocks of its
-other 48 bits, again without losing a pair. Equal fingerprints are folded before any comparison, and
-a shard sends on a spanning forest of its links, never all pairs.
+other 48 bits, again without losing a pair, and what is still larger than a task should hold meets in pairs
+of parts. Equal fingerprints are folded before any comparison, nodes all of whose fingerprints are linked with
+the one that is searched for are skipped, and a shard sends on a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from corpusmill.llm.graph import components
 
 SEED = 42
 SPLIT_ABOVE = 4096
+HELD = 1 << 17
 FANOUT = 8
 FRONTIER = 2_000_000
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -95,8 +97,18 @@ class GrayIndex:
             shards = shards[first]
         self.root_of = np.repeat(np.arange(len(shards)), np.diff(np.r_[-1, self.last[-1]]))
 
-    def links(self, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of positions (before sorting) of one shard within ``distance``, in blocks."""
+    def neighbours(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions (before sorting) that follow each other in Gray order inside a shard."""
+        last = np.r_[self.root_of[1:] != self.root_of[:-1], True]
+        at = np.flatnonzero(~last)
+        return self.order[at], self.order[at + 1]
+
+    def links(self, distance: int, groups: Components | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of positions (before sorting) of one shard within ``distance``, in blocks.
+
+        With ``groups``, nodes whose leaves all are in the query's own group are left out: what is linked
+        already need not be found again.
+        """
         size = np.diff(np.r_[-1, self.last[-1]])[self.root_of]
         ends = np.searchsorted(np.cumsum(size), np.arange(FRONTIER, size.sum() + FRONTIER, FRONTIER), "right")
         at = 0
@@ -105,11 +117,21 @@ class GrayIndex:
                 continue
             for lo in range(at, max(end, at + 1), max(1, FRONTIER // int(size[at : max(end, at + 1)].max()))):
                 hi = min(max(end, at + 1), lo + max(1, FRONTIER // int(size[at : max(end, at + 1)].max())))
-                yield from self._search(np.arange(lo, hi), distance)
+                yield from self._search(np.arange(lo, hi), distance, groups)
             at = max(end, at + 1)
 
-    def _search(self, query: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _common_group(self, groups: Components) -> list[np.ndarray]:
+        """For each level and node the group that all its leaves are in, or -1."""
+        group = groups.root[self.order]
+        levels = [group]
+        for first, _ in self.children:
+            low, high = np.minimum.reduceat(levels[-1], first), np.maximum.reduceat(levels[-1], first)
+            levels.append(np.where(low == high, low, -1))
+        return levels
+
+    def _search(self, query: np.ndarray, distance: int, groups: Components | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         node, far = self.root_of[query], np.zeros(len(query), dtype=np.int64)
+        same = None if groups is None else self._common_group(groups)
         for level in range(len(self.children) - 1, -1, -1):
             first, end = self.children[level]
             n = end[node] - first[node]
@@ -119,6 +141,8 @@ class GrayIndex:
             value, mask = self.levels[level]
             far = far + np.bitwise_count((self.codes[query] ^ value[child]) & (mask[child] & ~parent_mask))
             keep = (far <= distance) & (self.last[level][child] > query)
+            if same is not None:
+                keep &= same[level][child] != same[0][query]
             query, node, far = query[keep], child[keep], far[keep]
         if self.children:
             yield self.order[query], self.order[node]
@@ -133,8 +157,12 @@ def _shard_links(distance: int):
         keys, fps = keys[pick], fps[pick]
         if not len(keys):
             return
-        groups, index = Components(len(fps)), GrayIndex(keys, fps.view(np.uint64))
-        for a, b in index.links(distance):
+        codes = fps.view(np.uint64)
+        groups, index = Components(len(fps)), GrayIndex(keys, codes)
+        a, b = index.neighbours()
+        near = np.bitwise_count(codes[a] ^ codes[b]) <= distance
+        groups.link(a[near], b[near])
+        for a, b in index.links(distance, groups):
             groups.link(a, b)
         u = np.flatnonzero(groups.root != np.arange(len(fps)))
         if len(u):
@@ -176,7 +204,20 @@ def _shards(distinct: DataFrame) -> DataFrame:
         pieces.append(F.when(F.col("i") == i, below + F.shiftleft(above, 16 * i)))
     rest = F.coalesce(*pieces)
     sub = F.array(*[F.shiftleft(F.shiftleft(F.shiftrightunsigned(rest, 12 * j).bitwiseAND(F.lit(4095)), 2) + j, 18) + F.col("shard") + F.lit(1 << 40) for j in range(4)])
-    return marked.select(F.explode(F.when(F.col("crowded"), sub).otherwise(F.array("shard"))).alias("shard"), "fp")
+    return in_parts(marked.select(F.explode(F.when(F.col("crowded"), sub).otherwise(F.array("shard"))).alias("shard"), "fp"), "fp")
+
+
+def in_parts(posted: DataFrame, node: str) -> DataFrame:
+    """``posted`` with each shard of more than HELD rows dealt into parts, and one shard for each pair of parts.
+
+    Every two rows of a shard still meet, and none has more than about 2 * HELD. The table of such shards is
+    written first, so the planner knows its size when it picks the join.
+    """
+    large = durable(posted.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HELD).select(F.col("shard").alias("whole"), F.ceil(F.col("n") / HELD).cast("int").alias("parts")))
+    told = posted.join(large, F.col("shard") == F.col("whole"), "left").withColumn("part", F.pmod(F.xxhash64(node, F.lit(5)), F.col("parts")).cast("int"))
+    dealt = told.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    pair = F.xxhash64("shard", F.least("part", "other"), F.greatest("part", "other"))
+    return dealt.withColumn("shard", F.when(F.col("parts").isNull(), F.col("shard")).otherwise(pair)).select(*posted.columns)
 
 
 def linked_fingerprints(distinct: DataFrame, distance: int = 3) -> DataFrame:
@@ -194,7 +235,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     Returns (doc_id, fingerprint, component_id) per row of ``docs``: 16 hex digits, and the smallest
     doc_id that can be reached. Texts without words, null ones too, have fingerprint zero and link
     like any other. A null doc_id is never the smallest (a component of nulls only has a null id).
-    Repeated rows come back as often as they are given; an empty table gives an empty result.
+    Repeated rows come back as often as they are given; an empty table gives an empty result. Texts of any
+    length are taken whole, in stretches of shingles; only doc_id and text are read.
     """
     marked = durable(fingerprints(docs, shingle))
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -205,15 +247,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     return marked.join(owner, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """``docs`` without near-copies: of each component the row with the smallest doc_id stays.
-
-    Of rows that share a doc_id one stays. Rows without a doc_id cannot be told apart, so they all stay.
-    """
-    named = docs.where(F.col("doc_id").isNotNull())
-    found = near_duplicates(named, shingle, distance)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
