@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusmill.llm import nearcopies
+from corpusmill.llm import nearcopies, simhash
 
 
 def slow_jaccard(a, b):
@@ -61,10 +62,70 @@ def test_components_equal_brute_force(spark, case):
     assert nearcopies.near_copies(docs.limit(0)).count() == 0
 
 
-def test_links_of_a_bucket_join_what_is_alike_and_nothing_else():
+def test_links_of_a_unit_join_what_is_alike_and_nothing_else():
     sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 10, 20, 400, 1000, 405)]
     root = list(range(len(sets)))
-    for a, b in nearcopies.bucket_links(sets, 0.8):
+    for a, b in nearcopies.unit_links(sets, 0.8):
         assert len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
         root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
     assert root == [0, 0, 0, 3, 4, 3]
+
+
+def test_large_clusters_and_shards_meet_in_parts(spark, case, monkeypatch):
+    texts, ids, root = case
+    monkeypatch.setattr(nearcopies, "HELD_TEXTS", 2)
+    monkeypatch.setattr(simhash, "HELD", 3)
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs).collect()} == root
+
+
+def test_fingerprint_bits_are_majorities_of_hashes():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 3000):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        got = nearcopies.wide_fingerprint(x).view(np.uint64)
+        for w, salt in enumerate(nearcopies.SALTS.tolist()):
+            ones = [0] * 64
+            for v in x.tolist():
+                h = (v + salt) % 2**64
+                for m in nearcopies.MIX:
+                    h = (h ^ h >> 33) * int(m) % 2**64
+                h ^= h >> 33
+                ones = [o + (h >> k & 1) for k, o in enumerate(ones)]
+            assert int(got[w]) == sum(1 << k for k, o in enumerate(ones) if 2 * o > n)
+
+
+def test_recall_by_similarity():
+    """Pairs of sets of a given Jaccard similarity that meet in a shard and are near there."""
+    rng = np.random.default_rng(8)
+    found = {}
+    for similarity in (0.8, 0.85, 0.9):
+        hits = 0
+        for _ in range(120):
+            both = round(300 * 2 * similarity / (1 + similarity))
+            x = rng.integers(0, 1 << 63, 600 - both, dtype=np.uint64)
+            codes = np.stack([nearcopies.wide_fingerprint(np.unique(s)).view(np.uint64) for s in (x[:300], x[300 - both :])])
+            for w in range(nearcopies.WIDE):
+                pair = np.ascontiguousarray(codes[:, w])
+                blocks = (pair[0] ^ pair[1]) >> np.arange(0, 64, 16, dtype=np.uint64) & np.uint64(0xFFFF)
+                if (blocks == 0).any() and nearcopies.near_positions(np.zeros(2, dtype=np.int64), pair, np.ascontiguousarray(codes[:, (w + 1) % nearcopies.WIDE]))[1] == 0:
+                    hits += 1
+                    break
+        found[similarity] = hits / 120
+    assert found[0.8] >= 0.95 and found[0.85] >= 0.98 and found[0.9] >= 0.99, found
+
+
+def test_unlike_texts_of_one_id_both_stay(spark):
+    rows = [(1, "one two three four five six", "a"), (1, "quite another text with other words", "b"), (2, "One two three four five six", "c"), (None, "one two three four five six", "d"), (2, "One two three four five six", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hash string")
+    assert sorted(r["hash"] for r in nearcopies.keep_one(docs).collect()) in (["a", "b", "d"],)
+    names = ["key", "row", "own", "id", "th", "node", "__id"]
+    clashing = docs.select("doc_id", "text", *[F.lit(k).alias(k) for k in names])
+    assert nearcopies.keep_one(clashing).columns == ["doc_id", "text", *names]
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i * 7919 % 70_001}" for i in range(70_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:35_000], "new", *words[35_000:]])), (3, " ".join(words[:35_000]))]
+    got = nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3}

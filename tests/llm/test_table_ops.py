@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from corpusmill.llm import graph, pivots, quality, queries, substring, topk, urlrules
 
 SF = "/root/testdata/sf0.001"
@@ -79,36 +80,59 @@ def usable(r):
     return r["embedding"] and all(x is not None and np.isfinite(x) for x in r["embedding"])
 
 
-def test_embedding_links(spark, embeddings, monkeypatch):
+@pytest.mark.parametrize("block,shared", [(1024, 4), (3, 4), (1024, 1), (3, 1)])
+def test_embedding_links(embeddings, block, shared):
     rows = embeddings.collect()
-    for block in (1024, 3):
-        monkeypatch.setattr(pivots, "BLOCK", block)
-        got = sorted(pivots.near_duplicates(embeddings).collect(), key=str)
-        n, root = [0] * len(rows), list(range(len(rows)))
-        for i, a in enumerate(rows):
-            for j, b in enumerate(rows[:i]):
-                if not (usable(a) and usable(b)) or a["label"] is None or a["label"] != b["label"] or len(a["embedding"]) != len(b["embedding"]):
-                    continue
-                x, y = np.array(a["embedding"], dtype=float), np.array(b["embedding"], dtype=float)
-                if x.any() and y.any() and x @ y / np.sqrt(x @ x) / np.sqrt(y @ y) >= 0.98:
-                    n[i] += 1
-                    n[j] += 1
-                    old, new = max(root[i], root[j]), min(root[i], root[j])
-                    root = [new if r == old else r for r in root]
-        found = sum(r["n_links"] for r in got)
-        assert 0.9 * sum(n) <= found <= sum(n)  # recall of the index, and nothing below the threshold
-        least = {r: min((rows[k]["vec_id"] for k in range(len(rows)) if root[k] == r and rows[k]["vec_id"] is not None), default=None) for r in set(root)}
-        if found == sum(n):
-            want = sorted(((r["vec_id"], n[i], least[root[i]], r["vec_id"] is not None and least[root[i]] == r["vec_id"]) for i, r in enumerate(rows)), key=str)
-            assert sorted(map(tuple, got), key=str) == want
-    assert pivots.near_duplicates(embeddings.limit(0)).count() == 0
-
-
-def test_top_k(embeddings, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 50)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    got = sorted(pivots.near_duplicates(embeddings, shared=shared, block=block).collect(), key=str)
+    n, root = [0] * len(rows), list(range(len(rows)))
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows[:i]):
+            if not (usable(a) and usable(b)) or a["label"] is None or a["label"] != b["label"] or len(a["embedding"]) != len(b["embedding"]):
+                continue
+            x, y = np.array(a["embedding"], dtype=float), np.array(b["embedding"], dtype=float)
+            if x.any() and y.any() and x @ y / np.sqrt(x @ x) / np.sqrt(y @ y) >= 0.98:
+                n[i] += 1
+                n[j] += 1
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    least = {r: min((rows[k]["vec_id"] for k in range(len(rows)) if root[k] == r and rows[k]["vec_id"] is not None), default=None) for r in set(root)}
+    want = sorted(((r["vec_id"], n[i], least[root[i]], r["vec_id"] is not None and least[root[i]] == r["vec_id"]) for i, r in enumerate(rows)), key=str)
+    assert len(got) == len(want)
+    if shared == 1:  # everything that is near meets
+        assert [tuple(r) for r in got] == want
+    assert 0.9 * sum(n) <= sum(r["n_links"] for r in got) <= sum(n)  # recall of the index, and nothing below the threshold
+    whole = {w[0]: w[2] for w in want}
+    assert all(whole.get(r["component_id"]) == whole[r["vec_id"]] for r in got if r["vec_id"] is not None)
+
+
+def test_recall_of_64_dimensions(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(150, 64)) / 8
+    size = rng.integers(1, 40, 150)
+    x = np.repeat(base, size, axis=0) + rng.normal(size=(size.sum(), 64)) / 8 * np.repeat(rng.uniform(0, 0.16, 150), size)[:, None]
+    x = x.astype(np.float32)
+    e = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    same = np.arange(len(x))[:, None] % 2 == np.arange(len(x))[None, :] % 2
+    links = (u @ u.T >= 0.98) & same & ~np.eye(len(x), dtype=bool)
+    found = pivots.near_duplicates(e).agg({"n_links": "sum"}).first()[0]
+    assert links.sum() > 10_000 and 0.9 * links.sum() <= found <= links.sum()
+
+
+def test_embeddings_of_odd_and_long_vectors(spark):
+    long = [float(i % 13 - 6) for i in range(20_000)]
+    rows = [(1, long, 0, "x"), (2, [v * 2 for v in long], 0, "x"), (3, [1.0, 0.0], 0, "x"), (4, [1.0, 0.01], 0, "x"), (5, [1e300, 0.0], 0, "x"), (6, [1.0, 0.0], None, "x"), (6, [1.0, 0.0], None, "x")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, fold string")
+    got = {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in pivots.near_duplicates(table).collect()}
+    assert got == {(1, 1, 1, True), (2, 1, 1, False), (3, 2, 3, True), (4, 2, 3, False), (5, 2, 3, False), (6, 0, 6, True)}
+    assert pivots.near_duplicates(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("lists", [1, 2, 3])
+def test_top_k(embeddings, lists, monkeypatch):
+    monkeypatch.setattr(topk, "AT_ONCE", 500)
     rows = [(r["vec_id"], [int(np.floor(1024 * float(x))) for x in r["embedding"]]) for r in embeddings.collect() if usable(r) and r["vec_id"] is not None]
-    got = topk.top_k(embeddings, F.col("vec_id") % 10 == 0, k=5).collect()
+    got = topk.top_k_counted(embeddings, F.col("vec_id") % 10 == 0, k=5, lists=lists, query_block=7).drop("resolved").collect()
     want = []
     for q, v in {i: v for i, v in rows if i % 10 == 0}.items():
         scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q and len(w) == len(v))
@@ -118,6 +142,22 @@ def test_top_k(embeddings, monkeypatch):
     assert topk.top_k(embeddings.limit(0), F.col("vec_id") == 1).count() == 0
 
 
+def test_few_entries_are_resolved(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = topk.top_k_counted(e, F.col("vec_id") % 100 == 0).agg(F.max("resolved"), F.avg("resolved")).first()
+    assert got[0] < 0.3 * 2000 and got[1] < 0.1 * 2000
+
+
+def test_top_k_of_long_vectors_and_clashing_names(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(30, 20_000))
+    docs = spark.createDataFrame([(i, v.tolist(), "a", 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, v string, rank int")
+    q = np.floor(1024 * x).astype(np.int64)
+    scores = q[7] @ q.T
+    want = sorted((-int(s), i) for i, s in enumerate(scores) if i != 7)[:10]
+    assert [(r["vec_id"], r["score"]) for r in sorted(topk.top_k(docs, F.col("vec_id") == 7).collect(), key=lambda r: r["rank"])] == [(i, -s) for s, i in want]
+
+
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", ""), ("allow", "a.net", ""), ("block", "b.a.net", "/x"), ("block", "", "/zz"), ("allow", "com", "/en/"), (None, None, "/none")]
 URLS = [
     None, "", "no scheme/en/", "http://", "HTTP://WWW.Example.COM/en/7?x=/en/", "https://example.com/en/8#top", "http://xcom/en/1", "http://com/en/1", "http://a.net", "http://c.b.a.net/x/y",
@@ -175,6 +215,62 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), labels).count() == 0
 
 
+def test_context_sums_and_pooling_by_hand(monkeypatch):
+    rng = np.random.default_rng(3)
+    index = quality.index_vectors().astype(int)
+    texts = [rng.integers(0, 40, n).astype("<u2") for n in (0, 1, 2, 9, 200)]
+    want = np.zeros((quality.BUCKETS, quality.DIM), dtype=int)
+    for t in texts:
+        for i, a in enumerate(t):
+            for j, b in enumerate(t):
+                if 0 < abs(i - j) <= quality.WINDOW:
+                    want[a] += index[b]
+    assert (quality.context_sums(texts) == want).all()
+    vectors = (want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    monkeypatch.setattr(quality, "STEP", 7)  # stretches join without a seam
+    for t in texts:
+        v = [vectors[w].astype(float) for w in t]
+        mean = sum(v) / len(v) if v else np.zeros(quality.DIM)
+        spread = np.sqrt(sum((x - mean) ** 2 for x in v) / len(v)) if v else mean
+        beside = sum(x * y for x, y in zip(v, v[1:])) / (len(v) - 1) if len(v) > 1 else np.zeros(quality.DIM)
+        assert np.allclose(quality.pooled(t, vectors), np.r_[mean, spread, beside], atol=2e-4)
+
+
+def test_long_texts_are_counted_in_stretches(monkeypatch):
+    import pyarrow as pa
+
+    texts = [" ".join(random.Random(5).choices(["alpha", "beta", "gamma", "delta"], k=500)), "alpha beta", None]
+    monkeypatch.setattr(quality, "HELD_TOKENS", 64)
+    sums = np.zeros((quality.BUCKETS, quality.DIM), dtype=int)
+    for b in quality._contexts(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])):
+        for k, some, got in zip(*(b.column(c).to_pylist() for c in ("slice", "buckets", "sums"))):
+            sums[k * quality.SLICE + np.frombuffer(some, "<u2")] += np.frombuffer(got, "<i4").reshape(-1, quality.DIM)
+    assert (sums == quality.context_sums([quality._BUCKETS.of(t) for t in texts])).all()
+
+
+def test_network_and_temperature():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(900, quality.FEATURES)).astype(np.float32)
+    y = (x[:, 0] + 0.5 * rng.normal(size=900) > 0).astype(int)
+    net = quality.fit_network(x, y)
+    for row in x[:5].astype(float):
+        hidden = [max(0.0, sum((row - net.centre) / net.scale * net.w1[:, k]) + net.b1[k]) for k in range(quality.HIDDEN)]
+        logit = sum(h * w for h, w in zip(hidden, net.w2)) + net.b2
+        assert np.isclose(net.probability(row[None])[0], 1 / (1 + np.exp(-logit / net.temperature)))
+    aside = np.random.default_rng(5).permutation(900)[:180]
+    loss = lambda t: np.mean(np.logaddexp(0, np.where(y[aside] == 1, -1, 1) * net.logit(x[aside]) / t))
+    assert all(loss(net.temperature) <= loss(t) + 1e-12 for t in np.geomspace(0.25, 8, 121))
+
+
+def test_repeated_rows_change_no_score(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    even = docs.where("doc_id % 2 = 0")
+    once = {r["doc_id"]: r["score"] for r in quality.score(docs, labels).collect()}
+    thrice = quality.score(docs.union(even).union(even), labels.union(labels)).collect()
+    assert len(thrice) > len(once) and all(r["score"] == once[r["doc_id"]] for r in thrice)
+
+
 def test_labels_of_held_out_documents_change_nothing(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
     used = {r["doc_id"] for r in quality.training_labels(labels).collect()}
