@@ -36,10 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies (five-word Jaccard 0.8 or more) stays, the one with the smallest id.
-
-    The stage keeps its name; fingerprints 3 bits apart, which it used before, are the contract of op1_simhash only.
-    """
+    """One document of each group of near copies (five-word Jaccard 0.8 or more) stays, the one with the smallest id."""
     return nearcopies.keep_one(docs.select(*COLUMNS))
 
 
