@@ -15,15 +15,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import once
+from corpusmill.llm.substring import POWERS, mixed
 
 BUCKETS = 1 << 14
 DIM = 48
@@ -31,16 +31,16 @@ NONZERO = 6
 WINDOW = 2
 HIDDEN = 32
 SAMPLE = 12_000
-CACHED = 150_000
-TOKENS = regex.compile(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]+")
+BYTES_AT_ONCE = 1 << 20
 SLICE = 256
 STEP = 1 << 16
-HELD_TOKENS = 1_000_000
+HELD_TOKENS = 500_000
 SENT_TOKENS = 1 << 27
 FEATURES = 3 * DIM
-SEED_WORD, SEED_INDEX = 7, 11
+SEED_WORD, SEED_INDEX = np.uint64(7), 11
 
 
+@cache
 def index_vectors() -> np.ndarray:
     """One sparse ternary vector for each bucket, the same wherever it is computed."""
     rng = np.random.default_rng(SEED_INDEX)
@@ -50,29 +50,36 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-class Buckets:
-    """Bucket numbers of a text's tokens, kept by white-space chunk."""
+#: Class of each byte: 0 white space, 1 part of a word (letters, digits, underscore, all beyond ASCII), 2 anything else.
+CLASS = np.array([0 if c == 32 or 9 <= c <= 13 else 1 if c >= 128 or chr(c).isalnum() or c == 95 else 2 for c in range(256)], dtype=np.uint8)
 
-    def __init__(self) -> None:
-        self.known: dict[str, bytes] = {}
 
-    def of(self, text: str | None) -> np.ndarray:
-        chunks = [] if text is None else text.split()
-        known = self.known
-        if len(known) > CACHED:
-            known.clear()
-        out = []
-        for c in chunks:
-            if (got := known.get(c)) is None:
-                numbers = [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), SEED_WORD) % BUCKETS for t in TOKENS.findall(c)]
-                got = np.array(numbers, dtype="<u2").tobytes()
-                if len(c) < 64:
-                    known[c] = got
-            out.append(got)
-        return np.frombuffer(b"".join(out), dtype="<u2")
+def _stretch(b: np.ndarray) -> np.ndarray:
+    kind = CLASS[b]
+    edge = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
+    end = np.r_[edge[1:], len(b)]
+    real = kind[edge] > 0
+    start, end = edge[real], end[real]
+    up, down = POWERS.of(len(b))
+    before = np.r_[np.zeros(1, dtype=np.uint64), np.cumsum((b.astype(np.uint64) + SEED_WORD) * up)]
+    named = mixed((before[end] - before[start]) * down[start] + (end - start).astype(np.uint64))
+    return (named % np.uint64(BUCKETS)).astype("<u2")
+
 
+def word_buckets(text: str | None) -> np.ndarray:
+    """The bucket of each token, in order: runs of word characters and runs of other signs, by a hash of their bytes.
 
-_BUCKETS = Buckets()
+    A long text is taken in stretches of at most BYTES_AT_ONCE that end at white space where there is any.
+    """
+    b = np.frombuffer(b"" if text is None else text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    out, at = [], 0
+    while at < len(b):
+        end = min(at + BYTES_AT_ONCE, len(b))
+        if end < len(b) and len(space := np.flatnonzero(CLASS[b[at:end]] == 0)):
+            end = at + int(space[-1]) + 1
+        out.append(_stretch(b[at:end]))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, dtype="<u2")
 
 
 def pooled(words: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -207,7 +214,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for text in b.column("text"):
-            words = _BUCKETS.of(text.as_py())
+            words = word_buckets(text.as_py())
             # a long text is taken in stretches that overlap by what a window reaches, less what was counted
             for at in range(0, len(words), HELD_TOKENS):
                 held.append(words[max(0, at - WINDOW) : at + HELD_TOKENS])
@@ -255,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [pooled(_BUCKETS.of(t.as_py()), sent.value).tobytes() for t in b.column("text")]
+            x = [pooled(word_buckets(t.as_py()), sent.value).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("th"), pa.array(x, pa.binary())], ["doc_id", "y", "th", "x"])
 
     labelled = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "th", "text")  # at most ``sample`` ids
@@ -282,7 +289,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = sent.value
         for b in batches:
-            x = np.array([pooled(_BUCKETS.of(t.as_py()), vectors) for t in b.column("text")]).reshape(-1, FEATURES)
+            x = np.array([pooled(word_buckets(t.as_py()), vectors) for t in b.column("text")]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(network.probability(x))], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
@@ -297,7 +304,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = sent.value
         for b in batches:
-            x = np.array([pooled(_BUCKETS.of(t.as_py()), vectors) for t in b.column("text")]).reshape(-1, FEATURES)
+            x = np.array([pooled(word_buckets(t.as_py()), vectors) for t in b.column("text")]).reshape(-1, FEATURES)
             yield b.filter(pa.array(network.probability(x) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)
