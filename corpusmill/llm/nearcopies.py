@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Components, doc_rows, durable
+from corpusmill.llm.common import Components, doc_rows, durable, once
 from corpusmill.llm.graph import components
 from corpusmill.llm.simhash import GrayIndex, in_parts
 from corpusmill.llm.substring import MIX, mixed  # noqa: F401
@@ -32,7 +32,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 WIDE, BLOCKS = 16, 4
 NEAR, BESIDE = 14, 28
 CHUNK = 1024
-HELD_SHINGLES, HELD_TEXTS = 1 << 20, 2048
+HELD_SHINGLES, HELD_TEXTS = 1 << 19, 2048
+SENT_BYTES = 1 << 22
+FRONTIER = 250_000
 SALTS = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # fixed value: an odd 64-bit multiplier
 
 
@@ -79,12 +81,25 @@ def _marks(shingle: int):
 
 
 def _sets(shingle: int):
-    """(node, shingles)."""
+    """(shard, node, shingles) for each unit that a text is wanted in."""
+    kinds = (pa.int64(), pa.int64(), pa.binary())
+
+    def batch(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["shard", "node", "shingles"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
         for b in batches:
-            sets = [shingle_set(t.as_py(), shingle).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+            for node, shards, text in zip(b.column("node").to_pylist(), b.column("shards"), b.column("text")):
+                made = shingle_set(text.as_py(), shingle).tobytes()
+                for k in shards.as_py():
+                    out.append((k, node, made))
+                    size += len(made)
+                    if size > SENT_BYTES:
+                        yield batch(out)
+                        out, size = [], 0
+        if out:
+            yield batch(out)
 
     return run
 
@@ -103,7 +118,7 @@ def near_positions(keys: np.ndarray, codes: np.ndarray, beside: np.ndarray) -> n
         groups.link(a[near], b[near])
 
     link(*index.neighbours())
-    for a, b in index.links(NEAR, groups):
+    for a, b in index.links(NEAR, groups, FRONTIER):
         link(a, b)
     return groups.root
 
@@ -218,10 +233,10 @@ def _found(texts: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame
     posted = rows.select("node", F.explode(F.array(*posts)).alias("p")).select(F.col("p.shard").alias("shard"), "node", F.col("p.code").alias("code"), F.col("p.beside").alias("beside"))
     coarse = in_parts(posted, "node").repartition("shard").sortWithinPartitions("shard").mapInArrow(_near, "u long, v long")
     clustered = durable(components(coarse).join(rows.select("node", "doc_id", "th", "size"), "node"))
-    wanted = clustered.select("node", F.col("doc_id").alias("id"), F.col("th").alias("own"))
-    held = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("own"))).select("node", "text")
-    sets = held.mapInArrow(_sets(shingle), "node long, shingles binary").dropDuplicates(["node"])  # rows may repeat
-    units = _in_units(clustered).join(sets, "node").select("shard", "node", "shingles")
+    wanted = _in_units(clustered).groupBy("node").agg(F.collect_list("shard").alias("shards")).join(clustered.select("node", "doc_id", "th"), "node")
+    wanted = durable(wanted.select("node", "shards", F.col("doc_id").alias("id"), F.col("th").alias("own")))
+    held = once(texts).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("own"))).select("node", "shards", "text")
+    units = held.mapInArrow(_sets(shingle), "shard long, node long, shingles binary")
     edges = units.repartition("shard").sortWithinPartitions("shard").mapInArrow(_links(similarity), "u long, v long")
     labelled = rows.select("node", "first").join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = labelled.groupBy("label").agg(F.min("first").alias("least"))

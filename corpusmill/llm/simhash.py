@@ -30,7 +30,7 @@ SEED = 42
 SPLIT_ABOVE = 4096
 HELD = 1 << 17
 FANOUT = 8
-FRONTIER = 2_000_000
+FRONTIER = 500_000
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -103,20 +103,21 @@ class GrayIndex:
         at = np.flatnonzero(~last)
         return self.order[at], self.order[at + 1]
 
-    def links(self, distance: int, groups: Components | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def links(self, distance: int, groups: Components | None = None, frontier: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of positions (before sorting) of one shard within ``distance``, in blocks.
 
         With ``groups``, nodes whose leaves all are in the query's own group are left out: what is linked
         already need not be found again.
         """
+        most = FRONTIER if frontier is None else frontier
         size = np.diff(np.r_[-1, self.last[-1]])[self.root_of]
-        ends = np.searchsorted(np.cumsum(size), np.arange(FRONTIER, size.sum() + FRONTIER, FRONTIER), "right")
+        ends = np.searchsorted(np.cumsum(size), np.arange(most, size.sum() + most, most), "right")
         at = 0
         for end in np.unique(np.r_[ends, len(size)]):
-            if end == at and size[at] <= FRONTIER:
+            if end == at and size[at] <= most:
                 continue
-            for lo in range(at, max(end, at + 1), max(1, FRONTIER // int(size[at : max(end, at + 1)].max()))):
-                hi = min(max(end, at + 1), lo + max(1, FRONTIER // int(size[at : max(end, at + 1)].max())))
+            for lo in range(at, max(end, at + 1), max(1, most // int(size[at : max(end, at + 1)].max()))):
+                hi = min(max(end, at + 1), lo + max(1, most // int(size[at : max(end, at + 1)].max())))
                 yield from self._search(np.arange(lo, hi), distance, groups)
             at = max(end, at + 1)
 

@@ -83,7 +83,7 @@ class Powers:
         return self.up[:n], self.down[: n + 1]
 
 
-_POWERS = Powers()
+POWERS = Powers()
 
 
 def regions(words: list[bytes], window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,7 +103,7 @@ def regions(words: list[bytes], window: int = WINDOW, anchor: int = ANCHOR) -> t
         picked[at : at + len(part)] = part.argmin(axis=1) + np.arange(at, at + len(part))
     first = np.flatnonzero(np.r_[True, picked[1:] != picked[:-1]])
     last = np.r_[first[1:], len(picked)] - 1
-    up, down = _POWERS.of(n)
+    up, down = POWERS.of(n)
     before = np.r_[np.zeros(1, dtype=np.uint64), np.cumsum(h * up)]
     whole = (before[last + window] - before[first]) * down[first] + (last - first).astype(np.uint64) * MIX[0]
     return runs[picked[first]].view(np.int64), first, last, mixed(whole).view(np.int64)
