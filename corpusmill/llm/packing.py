@@ -12,6 +12,7 @@ cut at the capacity, and the very last stretch is cut into sequences whose lengt
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,8 +60,9 @@ class WordBpe:
         for a, b in dict.fromkeys(map(tuple, merges)):
             order.append(raw(a + b))
             ids.append(vocab[a + b])
-        self.ids = np.array(ids, dtype="<u4")
+        self.ids = ids
         self.core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks={t: i for i, t in enumerate(order)}, special_tokens={})
+        self.encode_piece = self.core._core_bpe.encode_single_piece
         self.pieces = regex.compile(PATTERN)
         self.added = tuple(t["content"] for t in json.loads(spec)["added_tokens"])
         self.known: dict[bytes, bytes] = {}
@@ -68,30 +70,19 @@ class WordBpe:
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8", "replace")
         if PLAIN.fullmatch(text) and not any(t in text for t in self.added):
-            parts = self.pieces.findall(text.lower())
-            encode = self.core._encode_single_piece
-            if len(parts) == 1:
-                return self.ids[encode(parts[0].encode() + WORD_END)].tobytes()
-            return self.ids[[i for p in parts for i in encode(p.encode() + WORD_END)]].tobytes() if parts else b""
+            parts, encode, ids = self.pieces.findall(text.lower()), self.encode_piece, self.ids
+            return array("I", [ids[i] for p in parts for i in encode(p.encode() + WORD_END)]).tobytes()
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null and empty: none."""
         chunks = [] if text is None else text.encode("utf-8", "surrogatepass").split()
-        known = self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            if len(known) > CACHED:
-                known.clear()
-            out = []
-            for c in chunks:
-                if (got := known.get(c)) is None:
-                    got = self._chunk(c)
-                    if len(c) < 64:
-                        known[c] = got
-                out.append(got)
-            return b"".join(out)
+        known, long = self.known, {}
+        if len(known) > CACHED:
+            known.clear()
+        for c in set(chunks).difference(known):
+            (known if len(c) < 64 else long)[c] = self._chunk(c)
+        return b"".join(map(known.__getitem__, chunks) if not long else [known[c] if c in known else long[c] for c in chunks])
 
 
 _LOADED: dict[int, WordBpe] = {}
