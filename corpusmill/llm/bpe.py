@@ -74,10 +74,11 @@ class ByteBpe:
         count = np.diff(np.r_[0, np.searchsorted(ends, at, "right")])
         return [text[s:e] for s, e in zip(starts.tolist(), ends.tolist())], count.tolist()
 
-    def _learn(self, pieces: Iterable[str]) -> None:
+    def _learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """Ids of ``pieces``; those of short ones are kept."""
         new = list(pieces)
         if not new:
-            return
+            return {}
         if len(self.fragment_ids) > CACHED:
             self.fragment_ids.clear()
         parts, count = self.fragments([p.encode("utf-8", "surrogatepass") for p in new])
@@ -89,21 +90,19 @@ class ByteBpe:
                 if len(f) < 64 and len(parts) > len(new):  # else pieces and fragments are the same
                     known[f] = got
             out.append(got)
-        at = 0
+        at, long = 0, {}
         for p, n in zip(new, count):
-            self.piece_ids[p] = out[at] if n == 1 else b"".join(out[at : at + n])
+            (self.piece_ids if len(p) < 64 else long)[p] = out[at] if n == 1 else b"".join(out[at : at + n])
             at += n
+        return long
 
     def _encode_plain(self, text: str) -> list[bytes]:
         pieces = self.pieces.findall(text)
         known = self.piece_ids
-        try:
-            return [known[p] for p in pieces]
-        except KeyError:
-            if len(known) > CACHED:
-                known.clear()
-            self._learn({p for p in pieces if p not in known})
-            return [known[p] for p in pieces]
+        if len(known) > CACHED:
+            known.clear()
+        long = self._learn(set(pieces).difference(known))
+        return list(map(known.__getitem__, pieces)) if not long else [known[p] if p in known else long[p] for p in pieces]
 
     def encode(self, text: str | None) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers; null and empty: none."""
