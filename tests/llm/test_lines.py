@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm import common, linededup
-from tests.llm.test_table_ops import texts_with_repeats
+from test_table_ops import texts_with_repeats
 
 
 @pytest.fixture(scope="module")

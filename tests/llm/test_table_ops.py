@@ -236,6 +236,20 @@ def test_context_sums_and_pooling_by_hand(monkeypatch):
         assert np.allclose(quality.pooled(t, vectors), np.r_[mean, spread, beside], atol=2e-4)
 
 
+def test_buckets_tell_tokens_apart(monkeypatch):
+    import re
+
+    texts = ["The cat, the CAT -- 3 été_x!? " * 3, "", None, "a" * 50, " \t\n", "x  y\u2026z"]
+    names = {}
+    for size in (1 << 20, 16):
+        monkeypatch.setattr(quality, "BYTES_AT_ONCE", size)
+        for t in texts if size > 16 else texts[:1]:
+            tokens = re.findall(rb"[A-Za-z0-9_\x80-\xff]+|[^A-Za-z0-9_\x80-\xff\x20\x09-\x0d]+", (t or "").encode())
+            got = quality.word_buckets(t).tolist()
+            assert len(got) == len(tokens) and all(names.setdefault(w, k) == k for w, k in zip(tokens, got))
+    assert len(set(names.values())) == len(names)
+
+
 def test_long_texts_are_counted_in_stretches(monkeypatch):
     import pyarrow as pa
 
@@ -245,7 +259,7 @@ def test_long_texts_are_counted_in_stretches(monkeypatch):
     for b in quality._contexts(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])):
         for k, some, got in zip(*(b.column(c).to_pylist() for c in ("slice", "buckets", "sums"))):
             sums[k * quality.SLICE + np.frombuffer(some, "<u2")] += np.frombuffer(got, "<i4").reshape(-1, quality.DIM)
-    assert (sums == quality.context_sums([quality._BUCKETS.of(t) for t in texts])).all()
+    assert (sums == quality.context_sums([quality.word_buckets(t) for t in texts])).all()
 
 
 def test_network_and_temperature():
