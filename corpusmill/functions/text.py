@@ -86,9 +86,21 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(collapse(c), " "), lambda t: t != "")
 
 
+# Spark's own English stop words, in its order.
+ENGLISH_STOPWORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs
+themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or
+because as until while of at by for with about against between into through during before after above below to from up down in out on off over under
+again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t
+can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've
+we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't
+cannot could here's how's let's ought that's there's what's when's where's who's why's would
+""".split()
+
+
 def default_stopwords(language: str = "english") -> list[str]:
     """Spark's own list; pass another where a different one is wanted."""
-    return StopWordsRemover.loadDefaultStopWords(language)
+    return ENGLISH_STOPWORDS if language == "english" else StopWordsRemover.loadDefaultStopWords(language)
 
 
 def remove_stopwords(c: Column, stopwords: Iterable[str] | None = None) -> Column:
@@ -102,16 +114,16 @@ NOUN_ENDINGS = [("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches",
 
 
 def lemma_of(word: str, lemmas: frozenset[str]) -> str:
-    """The shortest known form among those that detaching an ending gives; a known or unknown word stays."""
-    if word in lemmas:
-        return word
-    forms = [word[: -len(end)] + new for end, new in NOUN_ENDINGS if word.endswith(end) and word != "s"]
+    """The shortest listed form among the word itself and those that detaching an ending gives; without any, the word."""
+    forms = [word, *(word[: -len(end)] + new for end, new in NOUN_ENDINGS if word.endswith(end) and word != "s")]
     return min((f for f in forms if f in lemmas), key=len, default=word)
 
 
 def lemmatize(c: Column, lemmas: Iterable[str]) -> Column:
-    """Noun lemmas by rule, accepted only if ``lemmas`` lists the result (an approximation of a dictionary)."""
+    """Noun lemmas by rule, accepted only if ``lemmas`` lists the result; an empty list raises, as nothing would change."""
     known = frozenset(lemmas)
+    if not known:
+        raise ValueError("noun lemmas need a list of accepted forms")
     return _by_text(lambda x: " ".join(lemma_of(w, known) for w in x.split()))(c)
 
 

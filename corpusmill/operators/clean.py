@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 
+MAX_LEMMAS = 50_000
 TRACKS = {"classical": ("vCLEAN-C", T.CLASSICAL), "neural": ("vCLEAN-N", T.NEURAL)}
 
 
@@ -18,22 +19,36 @@ def clean_columns(df: DataFrame, steps: Sequence[str], columns: Sequence[str] =
     return df.withColumns({c: T.apply_steps(F.col(c), steps, registry) for c in have})
 
 
-def preprocess(df: DataFrame, track: str, steps: Sequence[str] | None = None, registry: dict | None = None, lemmas: Sequence[str] = ()) -> DataFrame:
+def corpus_lemmas(df: DataFrame, columns: Sequence[str] = ("title", "text"), limit: int = MAX_LEMMAS) -> list[str]:
+    """Forms that a noun may be reduced to: the corpus' own most frequent words, stop words aside (an action).
+
+    At most ``limit`` words of three characters or more, ties by word. It stands for a dictionary: *cats* becomes
+    *cat* where *cat* is a word of the corpus.
+    """
+    steps = [n for n in T.CLASSICAL if n != "noun_lemmatization"]
+    texts = F.array(*[T.apply_steps(F.col(c), steps) for c in columns if c in df.columns])
+    words = df.select(F.explode(texts).alias("t")).select(F.explode(T.tokens(F.col("t"))).alias("w")).where(F.length("w") >= 3)
+    return [r["w"] for r in words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(limit).collect()]
+
+
+def preprocess(df: DataFrame, track: str, steps: Sequence[str] | None = None, registry: dict | None = None, lemmas: Sequence[str] | None = None) -> DataFrame:
     """``df`` cleaned for a track; the neural one may neither drop stop words nor lemmatise.
 
-    Nouns are lemmatised against ``lemmas``; without a list that step changes nothing.
+    Nouns are reduced to what ``lemmas`` lists, by default the words of ``df`` itself (``corpus_lemmas``).
     """
     if track not in TRACKS:
         raise ValueError(f"unknown track {track!r}")
     steps = TRACKS[track][1] if steps is None else list(steps)
     if track == "neural" and (wrong := T.CLASSICAL_ONLY & set(steps)):
         raise ValueError(f"not for the neural track: {sorted(wrong)}")
-    if lemmas:
-        registry = {**(T.STEPS if registry is None else registry), "noun_lemmatization": lambda c: T.lemmatize(c, lemmas)}
+    if "noun_lemmatization" in steps and (registry is None or "noun_lemmatization" not in registry):
+        listed = list(lemmas) if lemmas else corpus_lemmas(df)
+        change = (lambda c: T.lemmatize(c, listed)) if listed else T.identity  # a table without words has none
+        registry = {**(T.STEPS if registry is None else registry), "noun_lemmatization": change}
     return clean_columns(df, steps, registry=registry).withColumn("version", F.lit(TRACKS[track][0]))
 
 
-def both_tracks(df: DataFrame, lemmas: Sequence[str] = ()) -> DataFrame:
+def both_tracks(df: DataFrame, lemmas: Sequence[str] | None = None) -> DataFrame:
     """Classical and neural versions of every row, told apart by version; ``lemmas`` as in ``preprocess``."""
     return preprocess(df, "classical", lemmas=lemmas).unionByName(preprocess(df, "neural"))
 

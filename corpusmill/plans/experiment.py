@@ -165,7 +165,7 @@ def clean_stage(spark: SparkSession, config: PipelineConfig, out: str) -> None:
     for d in config.datasets:
         df = tables.read_version(spark, out, d.dataset_id, "vBIN").drop("version")
         for track in clean.TRACKS:
-            tables.write_version(clean.preprocess(df, track, lemmas=config.lemmas if track == "classical" else ()), out)
+            tables.write_version(clean.preprocess(df, track, lemmas=config.lemmas or None), out)
 
 
 def dedup_stage(spark: SparkSession, config: PipelineConfig, out: str) -> DataFrame:

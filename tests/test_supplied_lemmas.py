@@ -1,3 +1,6 @@
+import pytest
+
+from corpusmill.functions import text as T
 from corpusmill.operators import clean
 from corpusmill.plans.experiment import PipelineConfig
 
@@ -7,4 +10,14 @@ def test_a_supplied_list_reaches_the_classical_track(spark):
     config = PipelineConfig.load({"lemmas": ["cat", "box"]})
     got = {r["version"]: r["text"] for r in clean.both_tracks(df, config.lemmas).collect()}
     assert got == {"vCLEAN-C": "cat chase box", "vCLEAN-N": "Cats chase boxes"}
-    assert clean.preprocess(df, "classical").first()["text"] == "cats chase boxes"
+    assert clean.preprocess(df, "classical").first()["text"] == "cats chase boxes"  # no shorter word in the corpus
+
+
+def test_the_corpus_is_the_default_list(spark):
+    df = spark.createDataFrame([(0, "Cats chase a cat"), (1, "boxes glasses glass news"), (2, None)], "row_pos long, text string")
+    assert set(clean.corpus_lemmas(df)) == {"cats", "chase", "cat", "boxes", "glasses", "glass", "news"}
+    got = {r["row_pos"]: r["text"] for r in clean.preprocess(df, "classical").collect()}
+    assert got == {0: "cat chase cat", 1: "boxes glass glass news", 2: ""}
+    assert clean.preprocess(df.where("row_pos = 2"), "classical").first()["text"] == ""
+    with pytest.raises(ValueError):
+        T.lemmatize(df["text"], ())
