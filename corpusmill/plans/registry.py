@@ -1,10 +1,7 @@
-"""Registered queries and their oracle SQL: one for each group of operators, over whole tables."""
+"""Registered queries of the analytic operators and their oracle SQL, over whole tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import hashing
@@ -12,41 +9,9 @@ from corpusmill.functions import text as T
 from corpusmill.functions.numbering import long_bucket, positions
 from corpusmill.operators import clean, dedup, inference, labels, metrics, profile, results, splits, training, windows
 from corpusmill.plans.inputs import PREDICTIONS_SQL, labelled, predictions, table, with_label
+from corpusmill.plans.registered import ORACLE, QUERIES, S, query, sql_clean, sql_collapse, sql_marks, sql_tags, sql_tokens, sql_unescape, sql_urls  # noqa: F401
 from corpusmill.schema import SequenceParams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-# Shared pieces of oracle SQL, spelt with the classes that corpusmill.functions.text uses.
-S = r"[\s\x1c-\x1f\x{85}\p{Z}]"
-W = r"[\p{L}\p{N}_]"
-
-
-def sql_collapse(x: str) -> str:
-    return f"trim(regexp_replace({x}, '{S}+', ' ', 'g'))"
-
-
-def sql_clean(x: str) -> str:
-    x = f"lower({x})"
-    x = f"regexp_replace({x}, '(?i)\\b(?:https?://|www\\.)[^\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g')"
-    x = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
-    x = f"regexp_replace({x}, '@{W}+', ' ', 'g')"
-    x = f"regexp_replace({x}, '#{W}+', ' ', 'g')"
-    x = f"regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g')"
-    return sql_collapse(x)
-
-
 REGEX_STEPS = {**T.STEPS, "remove_html": T.remove_tags}
 REGEX_TRACK = ["lowercase", "remove_urls", "remove_html", "remove_mentions", "remove_hashtags", "remove_symbols"]
 STATS_SQL = """count(*) AS n, count_if(label = 1)::BIGINT AS n_fake, count_if(label = 0)::BIGINT AS n_real, round(count_if(label = 1) / count(*), 6) AS fake_ratio,
@@ -129,11 +94,38 @@ def clean_stopwords(spark, d):
     return table(spark, d, "documents").select("doc_id", hashing.sha256(T.remove_stopwords(cleaned, STOPS)).alias("kept"))
 
 
-@query()
+# Nouns: endings and what replaces them, in the order of the Python list; a lexicon of the table's own words.
+ENDINGS_SQL = ", ".join(f"('{end}', '{new}')" for end, new in T.NOUN_ENDINGS)
+
+
+def tracks_sql(rows: str) -> str:
+    """(key, version, text_sha) of both tracks for ``rows`` (key, text)."""
+    classical = sql_tokens(sql_marks(sql_unescape(sql_tags(sql_urls("lower(nfc_normalize(coalesce(text, '')))")))))
+    stops = ", ".join(f"'{w.replace(chr(39), chr(39) * 2)}'" for w in T.ENGLISH_STOPWORDS)
+    neural = sql_collapse(sql_unescape(sql_tags(sql_urls("nfc_normalize(coalesce(text, ''))"))))
+    return f"""WITH r AS ({rows}), w AS (SELECT key, list_filter({classical}, lambda t: t NOT IN ({stops})) AS ws FROM r
+), each AS (SELECT unnest(ws) AS t FROM w), lex AS (SELECT t FROM each WHERE length(t) >= 3 GROUP BY t ORDER BY count(*) DESC, t LIMIT 50000
+), forms AS (SELECT DISTINCT t, t AS f FROM each UNION SELECT t, t[:-len(e) - 1] || n FROM (SELECT DISTINCT t FROM each), (VALUES {ENDINGS_SQL}) v(e, n) WHERE ends_with(t, e) AND t <> 's'
+), best AS (SELECT forms.t, arg_min(f, length(f) * 2 + (f <> forms.t)::INTEGER) AS lemma FROM forms JOIN lex ON f = lex.t GROUP BY forms.t
+), m AS (SELECT map(list(t), list(lemma)) AS m FROM best WHERE t <> lemma)
+SELECT key, 'vCLEAN-C' AS version, sha256(array_to_string(list_transform(ws, lambda t: coalesce(m[t], t)), ' ')) AS text_sha FROM w, m
+UNION ALL SELECT key, 'vCLEAN-N', sha256({neural}) FROM r"""
+
+
+def tracks(df):
+    return clean.both_tracks(df).select("key", "version", hashing.sha256(F.col("text")).alias("text_sha"))
+
+
+@query(tracks_sql("SELECT doc_id AS key, text FROM documents"))
 def clean_both_tracks(spark, d):
-    """Both full tracks: entities and stop words included; no lemma list is given, so no noun is lemmatised."""
-    both = clean.both_tracks(labelled(spark, d).select("row_pos", "title", "text"))
-    return both.select("row_pos", "version", hashing.sha256(F.col("text")).alias("text_sha"))
+    """Both full tracks: NFC, entities, stop words and noun lemmas included."""
+    return tracks(table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"))
+
+
+@query(tracks_sql("SELECT page_id AS key, html AS text FROM pages"))
+def clean_page_tracks(spark, d):
+    """Both full tracks of raw pages, which have tags, entities and urls."""
+    return tracks(table(spark, d, "pages").select(F.col("page_id").alias("key"), F.col("html").alias("text")))
 
 
 @query(f"SELECT doc_id, length(text) AS n_chars, len(list_filter(string_split({sql_collapse('text')}, ' '), lambda t: t <> ''))::INTEGER AS n_words FROM documents")
@@ -170,87 +162,89 @@ def dedup_exact(spark, d):
     return dedup.exact_keep(table(spark, d, "documents").select(F.col("doc_id").alias("row_pos"), "text"))
 
 
-UNIGRAMS = 1
 TOKENS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
+TERMS_SQL = TOKENS_SQL.replace("lower(text)", "lower(coalesce(text, ''))")
+
 
+def near_sql(rows: str, threshold: float, sides: str = "l.pos < r.pos") -> str:
+    """CTEs up to e (a, b, cosine) of ``rows`` (pos, text) with 1- and 2-grams.
 
-def weights_sql(rows: str) -> str:
-    return f"""rows AS ({rows}), tok AS (SELECT pos, unnest({TOKENS_SQL}) AS term FROM rows
+    Two unit vectors of that cosine share a term out of any set that holds more than 1 - threshold^2 of the
+    square of one of them, so it is enough to look at each row's rarest terms up to that share.
+    """
+    return f"""WITH RECURSIVE rows AS ({rows}), wl AS (SELECT pos, {TERMS_SQL} AS ws FROM rows
+), tok AS (SELECT pos, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS term FROM wl
 ), cnt AS (SELECT pos, term, count(*) AS tf FROM tok GROUP BY ALL
 ), voc AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM cnt GROUP BY term ORDER BY cf DESC, term LIMIT 50000
 ), w AS (SELECT pos, term, df, tf * (ln((1.0 + (SELECT count(*) FROM rows)) / (1 + df)) + 1) AS w FROM cnt JOIN voc USING (term)
-), x AS (SELECT pos, term, df, w / sqrt(sum(w * w) OVER (PARTITION BY pos)) AS x FROM w)"""
-
-
-KEPT_ROWS_SQL = "SELECT min(doc_id) AS pos, text FROM documents WHERE lang <> 'en' GROUP BY text"
-PAIRS_SQL = f"""WITH RECURSIVE {weights_sql(KEPT_ROWS_SQL)}, e AS (
-  SELECT l.pos AS a, r.pos AS b, sum(l.x * r.x) AS cosine FROM x l JOIN x r ON l.term = r.term AND l.pos < r.pos WHERE l.df > 1 GROUP BY ALL HAVING sum(l.x * r.x) >= 0.9 - 1e-9)"""
-
-
-def distinct_foreign(spark, d):
-    """Distinct texts of the three smaller languages."""
-    docs = table(spark, d, "documents").where("lang <> 'en'")
-    return docs.groupBy("text").agg(F.min("doc_id").alias("row_pos")).select("row_pos", "text")
-
-
-@query(f"{PAIRS_SQL} SELECT a, b, round(cosine, 6) AS cosine FROM e")
-def dedup_similar_pairs_foreign(spark, d):
-    """Unigrams of the three smaller languages, as SQL can follow."""
-    return dedup.similar_pairs(distinct_foreign(spark, d), 0.90, largest=UNIGRAMS).select("a", "b", F.round("cosine", 6).alias("cosine"))
+), x AS MATERIALIZED (SELECT pos, term, df, w / sqrt(sum(w * w) OVER (PARTITION BY pos)) AS x FROM w
+), rare AS (SELECT pos, term FROM (SELECT *, sum(x * x) OVER (PARTITION BY pos ORDER BY df, term ROWS UNBOUNDED PRECEDING) - x * x AS before FROM x) WHERE before <= {1 - threshold**2 + 1e-6}
+), c AS (SELECT DISTINCT l.pos AS a, r.pos AS b FROM rare l JOIN x r ON l.term = r.term AND {sides}
+), e AS (SELECT a, b, sum(l.x * r.x) AS cosine FROM c JOIN x l ON l.pos = a JOIN x r ON r.pos = b AND l.term = r.term GROUP BY ALL HAVING sum(l.x * r.x) >= {threshold} - 1e-9)"""
 
 
-@query(f"""{PAIRS_SQL}, n AS (SELECT pos, row_number() OVER (ORDER BY pos) AS i FROM (SELECT DISTINCT b AS pos FROM e)
+GREEDY_SQL = """, n AS (SELECT pos, row_number() OVER (ORDER BY pos) AS i FROM (SELECT DISTINCT b AS pos FROM e)
 ), walk(i, gone) AS (
   SELECT 0::BIGINT, []::BIGINT[] UNION ALL
   SELECT n.i, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.b = n.pos AND NOT list_contains(walk.gone, e.a)) THEN list_append(walk.gone, n.pos) ELSE walk.gone END
-  FROM walk JOIN n ON n.i = walk.i + 1)
-SELECT unnest(gone) AS row_pos FROM (SELECT gone FROM walk ORDER BY i DESC LIMIT 1)
-""")
-def dedup_greedy_foreign(spark, d):
-    """Unigrams of the three smaller languages, as SQL can follow."""
-    return dedup.greedy_dropped(dedup.similar_pairs(distinct_foreign(spark, d), 0.90, largest=UNIGRAMS))
+  FROM walk JOIN n ON n.i = walk.i + 1), dropped AS (SELECT unnest(gone) AS row_pos FROM (SELECT gone FROM walk ORDER BY i DESC LIMIT 1))"""
+DISTINCT_SQL = "SELECT min(doc_id) AS pos, text FROM documents GROUP BY text"
 
 
 def distinct_texts(spark, d):
     return table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("row_pos")).select("row_pos", "text")
 
 
-@query()
+@query(f"{near_sql(DISTINCT_SQL, 0.90)} SELECT a, b, round(cosine, 6) AS cosine FROM e")
 def dedup_similar_pairs(spark, d):
     """All distinct documents, with bigrams."""
     return dedup.similar_pairs(distinct_texts(spark, d), 0.90).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-@query()
+@query(f"{near_sql(DISTINCT_SQL, 0.90)}{GREEDY_SQL} SELECT row_pos FROM dropped")
 def dedup_greedy(spark, d):
     """All distinct documents, with bigrams."""
     return dedup.greedy_dropped(dedup.similar_pairs(distinct_texts(spark, d), 0.90))
 
 
-@query()
+# what with_text makes of a document without a title
+BODY_SQL = f"regexp_replace(' ' || coalesce(text, ''), '^{S}+|{S}+$', '', 'g')"
+FIRST_SQL = f"SELECT min(doc_id) AS pos, t AS text FROM (SELECT doc_id, {BODY_SQL} AS t FROM documents) GROUP BY t"
+
+
+@query(f"""{near_sql(FIRST_SQL, 0.95)}{GREEDY_SQL}, n0 AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM rows) AS k, (SELECT count(*) FROM dropped) AS g)
+SELECT 'DOC' AS dataset_id, n AS n_before, n - k AS n_exact_removed, g AS n_near_removed, k - g AS n_kept, round(100 * (n - k + g) / n, 4) AS pct_removed FROM n0""")
 def dedup_documents(spark, d):
-    """The whole of it with bigrams: counts of exact and near duplicates."""
+    """The whole of it with bigrams at 0.95: counts of exact and near duplicates."""
     return dedup.dedup_report(dedup.dedup_flags(labelled(spark, d)), "DOC")
 
 
-CROSS_ROWS_SQL = "SELECT doc_id * 2 AS pos, text FROM documents WHERE lang = 'de' UNION ALL SELECT doc_id * 2 + 1, text FROM documents WHERE lang = 'fr'"
+@query(f"""{near_sql(FIRST_SQL, 0.95)}{GREEDY_SQL}
+SELECT pos AS pre_dedup_index, row_number() OVER (ORDER BY pos) - 1 AS row_pos FROM rows WHERE pos NOT IN (SELECT row_pos FROM dropped)""")
+def dedup_survivors(spark, d):
+    """Rows that exact and near dedup keep, renumbered, each with its place before."""
+    return dedup.deduplicate(labelled(spark, d)).select("pre_dedup_index", "row_pos")
 
 
-@query(f"""WITH {weights_sql(CROSS_ROWS_SQL)}
-SELECT DISTINCT r.pos // 2 AS row_pos FROM (SELECT l.pos AS a, r.pos, sum(l.x * r.x) AS c FROM x l JOIN x r ON l.term = r.term WHERE l.pos % 2 = 0 AND r.pos % 2 = 1 GROUP BY ALL HAVING c >= 0.9 - 1e-9) r""")
-def dedup_across_de_fr(spark, d):
-    """Unigrams of two languages, as SQL can follow."""
-    df = labelled(spark, d)
-    return dedup.across_dropped(df.where("lang = 'de'"), df.where("lang = 'fr'"), largest=UNIGRAMS)
+ODD_SQL = f"SELECT doc_id AS pos, {BODY_SQL} AS text FROM documents"
 
 
-@query()
+@query(f"{near_sql(ODD_SQL, 0.90, 'l.pos % 2 = 0 AND r.pos % 2 <> 0')} SELECT DISTINCT b AS row_pos FROM e")
 def dedup_across(spark, d):
     """Odd documents too close to an even one, with bigrams; the two sides hold all rows."""
     df = labelled(spark, d).withColumn("odd", F.coalesce(F.col("row_pos") % 2 != 0, F.lit(False)))
     return dedup.across_dropped(df.where("NOT odd").drop("odd"), df.where("odd").drop("odd"))
 
 
+@query(f"""{near_sql(ODD_SQL, 0.90, 'l.pos % 2 = 0 AND r.pos % 2 <> 0')}, p AS (SELECT count_if(pos % 2 <> 0)::BIGINT AS n, (SELECT count(DISTINCT b) FROM e) AS k FROM rows)
+SELECT 'EVEN' AS train_id, 'ODD' AS test_id, n AS n_test_before, k AS n_removed, n - k AS n_test_after, round(100 * k / n, 4) AS pct_removed, 'halves' AS note FROM p""")
+def dedup_overlap_report(spark, d):
+    """Counts before and after decontamination of the odd half against the even one."""
+    df = labelled(spark, d).withColumn("odd", F.coalesce(F.col("row_pos") % 2 != 0, F.lit(False)))
+    test = df.where("odd").drop("odd")
+    return dedup.overlap_report("EVEN", "ODD", test, dedup.across_dropped(df.where("NOT odd").drop("odd"), test), "halves")
+
+
 DATASETS = [("DS1", "transfer", "W"), ("DS2", "transfer", "W"), ("DS3", "transfer", "F"), ("DS4", "probe", "C")]
 
 
@@ -384,9 +378,24 @@ def metrics_calibration_bins(spark, d):
     return out.select("model_id", "seed", "bin", "n", F.round("confidence", 9).alias("confidence"), F.round("accuracy", 9).alias("accuracy"))
 
 
-@query()
+RANKING_SQL = f"""r AS (SELECT *, rank() OVER (PARTITION BY model_id, seed ORDER BY y_prob) + (count(*) OVER (PARTITION BY model_id, seed, y_prob) - 1) / 2 AS rk FROM p),
+a AS (SELECT model_id, seed, (sum(CASE WHEN y_true = 1 THEN rk END) - count_if(y_true = 1) * (count_if(y_true = 1) + 1) / 2) / (count_if(y_true = 1) * count_if(y_true = 0)) AS auc FROM r GROUP BY ALL),
+s AS (SELECT model_id, seed, y_prob, count_if(y_true = 1) AS pos, count(*) AS k FROM p GROUP BY ALL),
+t AS (SELECT *, sum(pos) OVER w AS tp, sum(k) OVER w AS seen, sum(pos) OVER (PARTITION BY model_id, seed) AS total FROM s WINDOW w AS (PARTITION BY model_id, seed ORDER BY y_prob DESC)),
+v AS (SELECT model_id, seed, sum(pos / total * tp / seen) AS ap FROM t GROUP BY ALL)"""
+
+
+@query(f"""{CORE_SQL}, {RANKING_SQL}, b AS (SELECT model_id, seed, least(floor(greatest(y_prob, 1 - y_prob) * 15), 14) AS bin, greatest(y_prob, 1 - y_prob) AS conf, ((y_prob >= 0.5)::INTEGER = y_true)::INTEGER AS hit FROM p),
+g AS (SELECT model_id, seed, bin, count(*) AS k, avg(conf) AS confidence, avg(hit) AS accuracy FROM b GROUP BY ALL), e AS (SELECT model_id, seed, sum(k * abs(accuracy - confidence)) / sum(k) AS ece FROM g GROUP BY ALL)
+SELECT model_id, seed, (tp + fp + fn + tn)::BIGINT AS n, round((tp + tn) / (tp + fp + fn + tn), 9) AS accuracy, round((2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2, 9) AS macro_f1,
+  round((tp / (tp + fp) + tn / (tn + fn)) / 2, 9) AS macro_precision, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 9) AS macro_recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1_fake,
+  round(2 * tn / (2 * tn + fp + fn), 9) AS f1_real, round(auc, 9) AS roc_auc, round(ap, 9) AS pr_auc, CASE WHEN model_id <> 'llm_zero_shot' THEN round(ece, 9) END AS ece
+FROM c JOIN a USING (model_id, seed) JOIN v USING (model_id, seed) JOIN e USING (model_id, seed)""".replace(PREDICTIONS_SQL, PREDICTIONS_SQL.replace("'M2'", "'llm_zero_shot'")))
 def metrics_all(spark, d):
-    return metrics.all_metrics(predictions(spark, d), ["model_id", "seed"])
+    """All metrics side by side; the second model counts as one without probabilities."""
+    p = predictions(spark, d).withColumn("model_id", F.when(F.col("model_id") == "M2", "llm_zero_shot").otherwise(F.col("model_id")))
+    out = metrics.all_metrics(p, ["model_id", "seed"])
+    return out.select("model_id", "seed", "n", *[F.round(c, 9).alias(c) for c in out.columns[3:]])
 
 
 @query(f"""{CORE_SQL}, f AS (SELECT model_id, seed, (2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2 AS macro_f1, (tp + tn) / (tp + fp + fn + tn) AS accuracy FROM c),
@@ -433,9 +442,41 @@ def metrics_pareto(spark, d):
 
 
 # --- inference (L1-L8, F7, F8, D7, D10) ------------------------------------------------------
-@query(f"{PAIRED_SQL} SELECT seed, count_if(pa = y_true AND pb <> y_true)::BIGINT AS n_b, count_if(pb = y_true AND pa <> y_true)::BIGINT AS n_c, round(power(greatest(abs(n_b - n_c) - 1, 0), 2) / (n_b + n_c), 9) AS statistic, false AS exact FROM j GROUP BY seed")
+# P(Z > z) by Simpson's rule: the tail of the chi-square with one degree of freedom is twice that at its root.
+NORMAL_TAIL_SQL = """(SELECT sum(w * exp(-z * z / 2)) * h / 3 / sqrt(2 * pi()) FROM (
+  SELECT root + (12.0 - root) / 2000 * i AS z, (12.0 - root) / 2000 AS h, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(2001) r(i)) GROUP BY h)"""
+
+
+def mcnemar_sql(keys: str) -> str:
+    return f"""k AS (SELECT {keys}, count_if(pa = y_true AND pb <> y_true)::BIGINT AS n_b, count_if(pb = y_true AND pa <> y_true)::BIGINT AS n_c FROM j GROUP BY ALL
+), m AS (SELECT *, n_b + n_c AS n, least(n_b, n_c) AS lo, n_b + n_c < 25 AS exact, power(greatest(abs(n_b - n_c) - 1, 0), 2) / nullif(n_b + n_c, 0) AS chi FROM k
+), t AS (SELECT *, sqrt(chi) AS root FROM m)
+SELECT {keys}, n_b, n_c, round(CASE WHEN exact THEN lo ELSE chi END, 9) AS statistic, exact, round(CASE WHEN exact
+  THEN least(1.0, 2 * list_sum(list_transform(range(0, lo + 1), lambda i: factorial(n::INTEGER)::DOUBLE / factorial(i::INTEGER)::DOUBLE / factorial((n - i)::INTEGER)::DOUBLE)) * power(0.5, n))
+  ELSE 2 * {NORMAL_TAIL_SQL} END, 7) AS p_value FROM t"""
+
+
+def mcnemar_of(rows, by):
+    return inference.mcnemar(rows, by).select(*by, "n_b", "n_c", F.round("statistic", 9).alias("statistic"), "exact", F.round("p_value", 7).alias("p_value"))
+
+
+@query(f"{PAIRED_SQL}, {mcnemar_sql('seed')}")
 def inference_mcnemar(spark, d):
-    return inference.mcnemar(paired(spark, d), ["seed"]).select("seed", "n_b", "n_c", F.round("statistic", 9).alias("statistic"), "exact")
+    """Many discordant rows in each group: the chi-square branch."""
+    return mcnemar_of(paired(spark, d), ["seed"])
+
+
+@query(f"{PAIRED_SQL.replace('a.seed, a.row_pos', '(a.row_pos // 1000) // 16 AS block, a.row_pos')}, {mcnemar_sql('block')}")
+def inference_mcnemar_exact(spark, d):
+    """Groups of a few orders: mostly the exact branch."""
+    rows = paired(spark, d).withColumn("block", F.floor(F.floor(F.col("row_pos") / 1000) / 16))
+    return mcnemar_of(rows, ["block"])
+
+
+@query(f"{PAIRED_SQL} SELECT seed, y_true::INTEGER AS y, pa AS a, pb AS b, count(*) AS n FROM j GROUP BY ALL")
+def inference_paired_cells(spark, d):
+    """The joint counts that bootstraps draw from."""
+    return inference.paired_cells(paired(spark, d), ["seed"])
 
 
 @query("""WITH v AS (SELECT p_brand AS g, CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS side, p_size AS value FROM part)
@@ -463,16 +504,35 @@ def inference_ranks(spark, d):
     return inference.average_ranks(v, "block", "t", "value")
 
 
-@query()
-def inference_friedman(spark, d):
-    v = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 40).alias("block"), F.col("l_returnflag").alias("t")).agg(F.sum("l_quantity").alias("value"))
-    return inference.friedman(v, "block", "t", "value")
+BLOCKS_SQL = """WITH v AS (SELECT l_orderkey % 40 AS block, l_returnflag AS t, sum(l_quantity) AS value FROM lineitem GROUP BY ALL),
+r AS (SELECT block, t, rank() OVER (PARTITION BY block ORDER BY value DESC) + (count(*) OVER (PARTITION BY block, value) - 1) / 2 AS rk FROM v)"""
 
 
-@query()
+def blocks(spark, d):
+    return table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 40).alias("block"), F.col("l_returnflag").alias("t")).agg(F.sum("l_quantity").alias("value"))
+
+
+# Three treatments leave two degrees of freedom, whose tail is exp(-x / 2).
+@query(f"""{BLOCKS_SQL}, s AS (SELECT t, sum(rk) AS s, count(*) AS n FROM r GROUP BY t), o AS (SELECT sum(s * s) AS ss, count(*) AS k, max(n) AS n FROM s),
+ties AS (SELECT sum(power(c, 3) - c) AS ties FROM (SELECT count(*) AS c FROM v GROUP BY block, value)),
+f AS (SELECT n, k, (12 / (n * k * (k + 1)) * ss - 3 * n * (k + 1)) / (1 - ties / (n * (k * k * k - k))) AS x FROM o, ties)
+SELECT n, k, round(x, 9) AS statistic, round(exp(-x / 2), 9) AS p_value FROM f""")
+def inference_friedman(spark, d):
+    out = inference.friedman(blocks(spark, d), "block", "t", "value")
+    return out.select("n", "k", F.round("statistic", 9).alias("statistic"), F.round("p_value", 9).alias("p_value"))
+
+
+# The normal distribution on a grid of 1/1000, by the trapezoid rule; values between its points by interpolation.
+@query(f"""{BLOCKS_SQL}, m AS (SELECT t, avg(rk) AS rk, count(*) AS n FROM r GROUP BY t), k AS (SELECT count(*) AS k FROM m),
+p AS (SELECT x.t AS a, y.t AS b, x.rk AS rank_a, y.rk AS rank_b, abs(x.rk - y.rk) / sqrt(k * (k + 1) / (6 * x.n)) * sqrt(2) AS q, k FROM m x JOIN m y ON x.t < y.t, k),
+g AS (SELECT i, i / 1000.0 - 10 AS z, exp(-power(i / 1000.0 - 10, 2) / 2) / sqrt(2 * pi()) AS f FROM range(20001) t(i)),
+c AS (SELECT i, z, f, (sum(f) OVER (ORDER BY i) - f / 2 - exp(-50.0) / sqrt(2 * pi()) / 2) / 1000 AS cdf FROM g),
+s AS (SELECT a, b, rank_a, rank_b, k, c.f, c.cdf, c.i + floor(q * 1000)::BIGINT AS at, q * 1000 - floor(q * 1000) AS part FROM p, c),
+u AS (SELECT s.*, coalesce(lo.cdf, 1) * (1 - part) + coalesce(hi.cdf, 1) * part AS above FROM s LEFT JOIN c lo ON lo.i = s.at LEFT JOIN c hi ON hi.i = s.at + 1)
+SELECT a, b, round(rank_a, 9) AS rank_a, round(rank_b, 9) AS rank_b, round(least(1, greatest(0, 1 - sum(k * f * power(greatest(above - cdf, 0), k - 1)) / 1000)), 5) AS p_value FROM u GROUP BY ALL""")
 def inference_nemenyi(spark, d):
-    v = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 40).alias("block"), F.col("l_returnflag").alias("t")).agg(F.sum("l_quantity").alias("value"))
-    return inference.nemenyi(v, "block", "t", "value")
+    out = inference.nemenyi(blocks(spark, d), "block", "t", "value")
+    return out.select("a", "b", F.round("rank_a", 9).alias("rank_a"), F.round("rank_b", 9).alias("rank_b"), F.round("p_value", 5).alias("p_value"))
 
 
 @query()
@@ -498,12 +558,33 @@ def windows_spans(spark, d):
     return rows.select("doc_id", "window_idx", F.col("span.start").alias("start"), F.col("span.end").alias("end"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, len({sql_tokens('text')}) AS n FROM documents),
+w AS (SELECT doc_id, n, unnest(range(0, 1 + ceil(greatest(n - 510, 0) / 128)::BIGINT)) AS i FROM t)
+SELECT doc_id AS doc_idx, i::INTEGER AS window_idx, 512 AS width, (least(i * 128 + 510, n) - i * 128 + 2)::INTEGER AS used FROM w""")
 def windows_tokens(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc_idx"), F.lit(0).alias("label"), "text")
     return windows.token_windows(docs).select("doc_idx", "window_idx", F.size("input_ids").alias("width"), F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).alias("used"))
 
 
+@query(f"SELECT doc_id AS doc_idx, 0 AS window_idx, 64 AS width, (least(len({sql_tokens('text')}), 62) + 2)::INTEGER AS used, 101 AS first, CASE WHEN len({sql_tokens('text')}) < 62 THEN 0 ELSE 102 END AS last FROM documents")
+def windows_title_only(spark, d):
+    """One window of at most 64 ids, special ones included."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc_idx"), F.lit(0).alias("label"), "text")
+    out = windows.token_windows(docs, title_only=True)
+    used = F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b)
+    return out.select("doc_idx", "window_idx", F.size("input_ids").alias("width"), used.alias("used"), F.element_at("input_ids", 1).alias("first"), F.element_at("input_ids", -1).alias("last"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, label, {sql_tokens('text')} AS ws FROM (SELECT doc_id, 0 AS label, text FROM documents)),
+w AS (SELECT doc_id, ws, unnest(range(0, 1 + ceil(greatest(len(ws) - 510, 0) / 128)::BIGINT)) AS i FROM t)
+SELECT doc_id AS doc_idx, i::INTEGER AS window_idx, sum(length(x) + 1)::BIGINT AS id_sum FROM (SELECT doc_id, i, unnest(ws[i * 128 + 1 : least(i * 128 + 510, len(ws))] || ['', '']) AS x FROM w) GROUP BY ALL""")
+def windows_ids(spark, d):
+    """Ids of a tokenizer that is handed in (here the length of a word plus one; special ids are 1, padding 0)."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc_idx"), F.lit(0).alias("label"), "text")
+    out = windows.token_windows(docs, cls_id=1, sep_id=1, ids=lambda c: F.transform(T.tokens(c), lambda t: F.length(t) + 1))
+    return out.select("doc_idx", "window_idx", F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, b: a + b).alias("id_sum"))
+
+
 @query("""WITH e AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
 m AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM e GROUP BY ALL)
 SELECT label, max(n) AS n_windows, round(sum(m * m), 6) AS norm2 FROM m GROUP BY label""")
@@ -536,18 +617,30 @@ def training_schedule(spark, d):
     return training.schedule(spark, 1000).select("step", F.round("factor", 9).alias("factor"))
 
 
-@query()
+@query("""WITH r AS (SELECT o_orderkey % 50 AS run_id, (o_orderkey // 50)::INTEGER AS epoch, o_totalprice AS score FROM orders),
+u AS (SELECT *, coalesce(score > max(score) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS up FROM r),
+g AS (SELECT *, sum(up::INTEGER) OVER (PARTITION BY run_id ORDER BY epoch) AS streak FROM u),
+b AS (SELECT *, row_number() OVER (PARTITION BY run_id, streak ORDER BY epoch) - 1 AS bad FROM g),
+s AS (SELECT run_id, min(epoch) FILTER (WHERE bad = 3) AS stop FROM b GROUP BY run_id)
+SELECT run_id, arg_max(epoch, score) AS best_epoch, max(score)::DOUBLE AS best_score, stop AS stopped_epoch FROM r JOIN s USING (run_id) WHERE epoch <= coalesce(stop, epoch) GROUP BY run_id, stop""")
 def training_early_stopping(spark, d):
     rows = table(spark, d, "orders").select((F.col("o_orderkey") % 50).alias("run_id"), F.floor(F.col("o_orderkey") / 50).cast("int").alias("epoch"), F.col("o_totalprice").alias("score"))
     return training.early_stopping(rows)
 
 
 # --- result rows (E6, E15, G1, D8, D9, H2) ------------------------------------------------------------
-@query(f"""{CORE_SQL}, f AS (SELECT model_id, avg((2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2) AS macro_f1 FROM c GROUP BY model_id)
-SELECT model_id, round(macro_f1, 9) AS macro_f1 FROM f ORDER BY macro_f1 DESC, model_id LIMIT 1""")
+@query(f"""{BINS_SQL}, c AS (SELECT model_id, seed, count_if(y_true = 1 AND y_pred = 1) AS tp, count_if(y_true = 0 AND y_pred = 1) AS fp, count_if(y_true = 1 AND y_pred = 0) AS fn, count_if(y_true = 0 AND y_pred = 0) AS tn FROM p GROUP BY ALL),
+x AS (SELECT model_id, seed, sum(n * abs(accuracy - confidence)) / sum(n) AS ece FROM g GROUP BY ALL),
+f AS (SELECT model_id, avg((2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2) AS macro_f1, avg(ece) AS ece FROM c JOIN x USING (model_id, seed) GROUP BY model_id),
+z AS (SELECT * FROM f UNION ALL SELECT model_id || '-large', macro_f1, ece FROM f UNION ALL SELECT model_id || '-worse', macro_f1, ece + 0.1 FROM f)
+SELECT model_id, round(macro_f1, 9) AS macro_f1 FROM z ORDER BY z.macro_f1 DESC, ece, length(model_id), model_id LIMIT 1""")
 def results_best_model(spark, d):
-    f1 = metrics.core_metrics(predictions(spark, d), ["model_id", "seed"]).withColumns({"ece": F.lit(None).cast("double"), "n_params": F.lit(None).cast("long")})
-    return results.best_model(f1).select("model_id", F.round("macro_f1", 9).alias("macro_f1"))
+    """Twins with more parameters and with a larger calibration error: all four sort keys decide."""
+    p = predictions(spark, d)
+    f1 = metrics.core_metrics(p, ["model_id", "seed"]).join(metrics.ece(p, ["model_id", "seed"]), ["model_id", "seed"])
+    twins = f1.withColumn("n_params", F.lit(10)).unionByName(f1.withColumns({"model_id": F.concat("model_id", F.lit("-large")), "n_params": F.lit(20)}))
+    twins = twins.unionByName(f1.withColumns({"model_id": F.concat("model_id", F.lit("-worse")), "n_params": F.lit(5), "ece": F.col("ece") + 0.1}))
+    return results.best_model(twins.withColumn("n_params", F.col("n_params").cast("long"))).select("model_id", F.round("macro_f1", 9).alias("macro_f1"))
 
 
 @query(f"""WITH p AS ({PREDICTIONS_SQL}), c AS (SELECT m AS model_id, s::INTEGER AS seed FROM (VALUES ('M1'), ('M2'), ('M3')) a(m), range(6) b(s))
