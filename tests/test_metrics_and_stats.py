@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.operators import inference, metrics, results, training, windows
 from corpusmill.schema import SequenceParams
 
-Y, P, S = [0, 0, 1, 1, 0, 1, 1, 0], [0, 1, 1, 1, 0, 0, 1, 0], [0.1, 0.7, 0.8, 0.9, 0.2, 0.4, 0.85, 0.3]
+Y, P, S = [1, 0, 0, 1, 1, 0, 1, 0, 0, 1], [1, 0, 1, 1, 0, 0, 1, 0, 0, 0], [0.95, 0.05, 0.6, 0.7, 0.45, 0.3, 0.55, 0.15, 0.25, 0.35]
 
 
 def predictions(spark, y=Y, p=P, s=S):
@@ -16,11 +16,13 @@ def predictions(spark, y=Y, p=P, s=S):
 
 def test_metrics_by_hand(spark):
     r = metrics.all_metrics(predictions(spark), ["model_id"]).first()
-    assert (r["n"], r["accuracy"], r["macro_f1"], r["f1_fake"]) == (8, 0.75, 0.75, 0.75)
+    # three hits, one false alarm, two misses, four true negatives
+    assert (r["n"], r["accuracy"]) == (10, 0.7) and r["f1_fake"] == pytest.approx(2 / 3) and r["f1_real"] == pytest.approx(8 / 11)
+    assert r["macro_f1"] == pytest.approx((2 / 3 + 8 / 11) / 2) and r["macro_precision"] == pytest.approx((3 / 4 + 4 / 6) / 2) and r["macro_recall"] == pytest.approx((3 / 5 + 4 / 5) / 2)
     wins = sum((a > b) + 0.5 * (a == b) for a, y in zip(S, Y) if y for b, z in zip(S, Y) if not z)
-    assert r["roc_auc"] == pytest.approx(wins / 16)
+    assert r["roc_auc"] == pytest.approx(wins / 25)
     ranked = [y for _, y in sorted(zip(S, Y), reverse=True)]
-    assert r["pr_auc"] == pytest.approx(sum(sum(ranked[: i + 1]) / (i + 1) for i, y in enumerate(ranked) if y) / 4)
+    assert r["pr_auc"] == pytest.approx(sum(sum(ranked[: i + 1]) / (i + 1) for i, y in enumerate(ranked) if y) / 5)
 
 
 def test_one_class_only(spark):
@@ -29,17 +31,18 @@ def test_one_class_only(spark):
 
 
 def test_ece_by_hand(spark):
-    df = predictions(spark, [1, 0, 1, 0], [1, 1, 1, 1], [0.9, 0.9, 0.55, 0.55])
-    assert metrics.ece(df, ["model_id"], 2).first()["ece"] == pytest.approx(0.225)
+    # one bin holds all: mean confidence 0.71, and four of five are right
+    df = predictions(spark, [1, 1, 0, 0, 1], [1, 1, 1, 0, 1], [0.8, 0.7, 0.75, 0.3, 0.6])
+    assert metrics.ece(df, ["model_id"], 2).first()["ece"] == pytest.approx(0.09)
     assert metrics.all_metrics(df.withColumn("model_id", F.lit("llm_zero_shot")), ["model_id"]).first()["ece"] is None
 
 
 def test_transfer_and_robustness(spark):
-    t = spark.createDataFrame([("m", k, 0.9, v) for k, v in zip("abc", (0.7, 0.6, 0.8))], "model_id string, target string, in_f1 double, cross_f1 double")
+    t = spark.createDataFrame([("m", k, 0.86, v) for k, v in zip("xyz", (0.8, 0.5, 0.74))], "model_id string, target string, in_f1 double, cross_f1 double")
     r = metrics.transfer_metrics(t, ["model_id"]).first()
-    assert (r["delta_f1_mean"], r["cross_f1_std"]) == (pytest.approx(0.2), pytest.approx(np.std([0.7, 0.6, 0.8])))
-    b = spark.createDataFrame([(1, 1, 0, 0.95), (0, 0, 1, 0.92), (1, 1, 1, 0.9), (0, 1, 0, 0.99)], "y_true int, clean_pred int, attacked_pred int, similarity double")
-    assert [round(v, 6) for v in metrics.robustness_metrics(b, []).first()] == [0.75, 0.5, 0.666667, 0.935]
+    assert (r["delta_f1_mean"], r["cross_f1_std"]) == (pytest.approx(0.18), pytest.approx(math.sqrt((0.12**2 + 0.18**2 + 0.06**2) / 3)))
+    b = spark.createDataFrame([(1, 1, 1, 0.97), (1, 1, 0, 0.81), (0, 0, 1, 0.93), (0, 1, 1, 0.5), (0, 0, 0, 0.88)], "y_true int, clean_pred int, attacked_pred int, similarity double")
+    assert [round(v, 6) for v in metrics.robustness_metrics(b, []).first()] == [0.8, 0.4, 0.5, 0.87]
 
 
 def test_seed_aggregates_skip_what_is_not_finite(spark):
@@ -54,7 +57,7 @@ def paired(spark, b, c, both=20):
     return spark.createDataFrame(rows, "y_true int, pred_a int, pred_b int")
 
 
-@pytest.mark.parametrize("b,c", [(1, 9), (0, 0), (12, 12), (30, 10), (40, 41), (5, 300)])
+@pytest.mark.parametrize("b,c", [(3, 14), (0, 0), (12, 12), (30, 10), (40, 41), (5, 300)])
 def test_mcnemar(spark, b, c):
     r = inference.mcnemar(paired(spark, b, c), []).first()
     n, k = b + c, min(b, c)
@@ -82,11 +85,12 @@ def test_cliffs_delta(spark):
 
 
 def test_bh(spark):
-    p = [0.001, 0.01, 0.04, 0.2, 0.5]
+    p = [0.03, 0.002, 0.6, 0.012, 0.012, 0.3]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(p)] + [(9, None)], "i int, p_value double")
     got = {r["i"]: (r["p_adjusted"], r["significant"]) for r in inference.bh_fdr(df).collect()}
-    assert [got[i][0] for i in range(5)] == pytest.approx([0.005, 0.025, 0.04 * 5 / 3, 0.25, 0.5])
-    assert [got[i][1] for i in (0, 1, 2, 3, 4, 9)] == [True, True, False, False, False, False] and got[9][0] is None
+    # raw steps in order of p: .012, .036, .024, .045, .36, .6; each takes the least of those after it
+    assert [got[i][0] for i in range(6)] == pytest.approx([0.045, 0.012, 0.6, 0.024, 0.024, 0.36])
+    assert [got[i][1] for i in (0, 1, 2, 3, 4, 5, 9)] == [True, True, False, True, True, False, False] and got[9][0] is None
 
 
 def test_claims(spark):
@@ -110,6 +114,23 @@ def test_bootstrap(spark):
     assert loose["mean_diff"] == pytest.approx(one["mean_diff"], abs=0.02)
 
 
+def test_bootstrap_equals_resampling_of_rows():
+    """Drawing joint cells has the distribution of drawing rows."""
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 300)
+    a, b = np.where(rng.random(300) < 0.8, y, 1 - y), np.where(rng.random(300) < 0.7, y, 1 - y)
+    cells = np.zeros((2, 2, 2))
+    np.add.at(cells, (y, a, b), 1)
+    got = inference.bootstrap_cells(cells, 4000, True, 0.95, 3)
+    counts = lambda p, pick: np.array([[((y[pick] == i) & (p[pick] == j)).sum() for j in (0, 1)] for i in (0, 1)], dtype=float)
+    drawn = []
+    for _ in range(4000):
+        pick = np.concatenate([rng.choice(np.flatnonzero(y == k), (y == k).sum()) for k in (0, 1)])
+        drawn.append(float(inference.macro_f1_of_counts(counts(a, pick)) - inference.macro_f1_of_counts(counts(b, pick))))
+    assert got["mean_diff"] == pytest.approx(np.mean(drawn), abs=0.004)
+    assert [got["ci_low"], got["ci_high"]] == pytest.approx(np.quantile(drawn, [0.025, 0.975]).tolist(), abs=0.012)
+
+
 def test_friedman_and_nemenyi(spark):
     x = [[0.9, 0.8, 0.7], [0.8, 0.85, 0.6], [0.95, 0.9, 0.7], [0.9, 0.9, 0.5], [0.7, 0.6, 0.65]]
     df = spark.createDataFrame([(i, "abc"[j], v) for i, r in enumerate(x) for j, v in enumerate(r)], "block int, t string, value double")
