@@ -153,7 +153,10 @@ def friedman(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame
     n, k = F.col("n"), F.col("k")
     raw = 12 / (n * k * (k + 1)) * F.col("ss") - 3 * n * (k + 1)
     stat = raw / F.nullif(1 - F.col("ties") / (n * (k * k * k - k)), F.lit(0.0))
-    tail = F.udf(lambda x, d: None if x is None else chi2_tail(x, int(d)), "double")  # one row
+    def tails(x: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) else chi2_tail(a, int(b)) for a, b in zip(x, d)], dtype=float)
+
+    tail = F.pandas_udf(tails, "double")  # one row
     return one.select("n", "k", stat.alias("statistic"), tail(stat, k - 1).alias("p_value"))
 
 
@@ -182,7 +185,11 @@ def nemenyi(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame:
     k = ranks.agg(F.count(F.lit(1)).alias("k"))
     pairs = ranks.alias("x").join(ranks.alias("y"), F.col("x.t") < F.col("y.t")).crossJoin(k)  # a handful of treatments
     q = F.abs(F.col("x.r") - F.col("y.r")) / F.sqrt(F.col("k") * (F.col("k") + 1) / (6 * F.col("x.n"))) * math.sqrt(2)
-    tail = F.udf(lambda x, m: studentized_range_tail(float(x), int(m)), "double")
+
+    def tails(x: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([studentized_range_tail(float(a), int(b)) for a, b in zip(x, m)], dtype=float)
+
+    tail = F.pandas_udf(tails, "double")
     return pairs.select(F.col("x.t").alias("a"), F.col("y.t").alias("b"), F.col("x.r").alias("rank_a"), F.col("y.r").alias("rank_b"), tail(q, F.col("k")).alias("p_value"))
 
 

@@ -10,6 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.lineage import cut
+from corpusmill.functions.numbering import running_total
+
 ECE_BINS = 15
 NOT_PROBABILISTIC = {"llm_zero_shot"}
 
@@ -57,19 +60,23 @@ def score_curve(df: DataFrame, by: Sequence[str], prob: str = "y_prob") -> DataF
 
 
 def ranking_metrics(df: DataFrame, by: Sequence[str], prob: str = "y_prob") -> DataFrame:
-    """roc_auc (ties count half) and pr_auc (average precision) per group; null where a class is missing."""
-    curve = score_curve(df, by, prob)
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    above = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    placed = curve.select(
-        *by, "pos", "neg", F.coalesce(F.sum("neg").over(below), F.lit(0)).alias("neg_below"),
-        F.sum("pos").over(above).alias("tp"), F.sum(F.col("pos") + F.col("neg")).over(above).alias("seen"),
-    )
-    p, n = F.sum("pos"), F.sum("neg")
+    """roc_auc (ties count half) and pr_auc (average precision) per group; null where a class is missing.
+
+    What lies below each score is summed bucket by bucket, so a group with many distinct scores is not one task.
+    """
+    bucket = F.floor(F.col("score") * 4096).cast("long")
+    placed = running_total(score_curve(df, by, prob), ["score"], bucket, F.col("neg"), by, "neg_below")
+    placed = running_total(placed, ["score"], bucket, F.col("pos"), by, "pos_below")
+    sizes = placed.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))  # a row for each group
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    placed = placed.join(F.broadcast(sizes), same) if by else placed.crossJoin(F.broadcast(sizes))
+    at_least = (F.col("p") - F.col("pos_below")) / (F.col("p") - F.col("pos_below") + F.col("n") - F.col("neg_below"))
+    p, n = F.max("p"), F.max("n")
     both = (p > 0) & (n > 0)
     won = F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg")))
-    step = F.sum(F.col("pos") * F.col("tp") / F.col("seen"))
-    return placed.groupBy(*by).agg(F.when(both, won / (p * n)).alias("roc_auc"), F.when(both, step / p).alias("pr_auc"))
+    return placed.groupBy(*by).agg(F.when(both, won / (p * n)).alias("roc_auc"), F.when(both, F.sum(F.col("pos") * at_least) / p).alias("pr_auc"))
 
 
 def prob_positive(c: Column, is_array: bool) -> Column:
@@ -139,6 +146,16 @@ def aggregate_metrics(df: DataFrame, by: Sequence[str], metrics: Sequence[str])
 
 
 def pareto(df: DataFrame, cost: str, value: str) -> DataFrame:
-    """Rows that no row of at most their cost beats: one row for each model, so one window sees them all."""
-    better = F.max(value).over(Window.orderBy(cost, F.desc(value)).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("__best", better).where(F.col("__best").isNull() | (F.col(value) > F.col("__best"))).drop("__best")
+    """Rows that no row of at most their cost beats; rows equal in both stand together, nulls in either take no part.
+
+    The best value of each cost is compared with those of lower costs: inside its range partition, and with the
+    best of the partitions before, of which there is one row each. The ranges are written first.
+    """
+    best = df.where(F.col(cost).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(cost).alias("__cost")).agg(F.max(value).alias("__value"))
+    placed = cut(best.repartitionByRange("__cost").withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = placed.groupBy("__part").agg(F.max("__value").alias("__top")).select("__part", F.max("__top").over(before).alias("__ahead"))
+    inside = F.max("__value").over(Window.partitionBy("__part").orderBy("__cost").rowsBetween(Window.unboundedPreceding, -1))
+    seen = placed.withColumn("__inside", inside).join(F.broadcast(tops), "__part").withColumn("__best", F.greatest("__inside", "__ahead"))
+    edge = seen.where(F.col("__best").isNull() | (F.col("__value") > F.col("__best"))).select("__cost", "__value")
+    return df.join(edge, (F.col(cost) == F.col("__cost")) & (F.col(value) == F.col("__value")), "left_semi")

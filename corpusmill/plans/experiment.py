@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from importlib import metadata
 
+import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +24,12 @@ from corpusmill.functions.text import sanitize
 from corpusmill.operators import clean, dedup, inference, labels, metrics, ml, profile, results, splits
 from corpusmill.sources import corpora, tables
 
+PROTOCOL = "v1.0"
+# What a run's record holds; libraries that are not here read "not-installed", and a machine without GPU null.
 RUN_SCHEMA = (
-    "run_id string, experiment_id string, model_id string, dataset_id string, seed int, split_regime string, train_version string, test_version string, "
-    "config_hash string, git_sha string, git_dirty boolean, spark_version string, python_version string, platform string, started_at string, finished_at string, status string, wall_clock_s double"
+    "run_id string, experiment_id string, experiment string, model_id string, dataset_id string, dataset_version string, split_regime string, seed int, train_version string, test_version string, "
+    "protocol_version string, config_hash string, git_sha string, git_dirty boolean, spark_version string, python_version string, platform string, torch string, cuda string, cudnn string, "
+    "transformers string, scikit_learn string, numpy string, gpu string, started_at string, finished_at string, wall_clock_s double, status string, notes string"
 )
 
 
@@ -115,7 +120,9 @@ def start_run(spark: SparkSession, provenance: dict, config_hash: str, folder: s
     env = environment(spark)
     return provenance | {
         "run_id": make_run_id(provenance["experiment_id"], provenance["model_id"], provenance["seed"], at), "config_hash": config_hash, "git_sha": sha, "git_dirty": dirty,
-        "started_at": at.isoformat(), **{k: env[k] for k in ("spark_version", "python_version", "platform")},
+        "started_at": at.isoformat(), **{k: env[k] for k in ("spark_version", "python_version", "platform")}, "protocol_version": PROTOCOL,
+        **{c: module_version(m) for c, m in (("torch", "torch"), ("transformers", "transformers"), ("scikit_learn", "scikit-learn"), ("numpy", "numpy"))},
+        "dataset_version": provenance.get("train_version"), "experiment": provenance.get("experiment", provenance["experiment_id"]),
     }
 
 
@@ -140,11 +147,23 @@ def logger(name: str, path: str | None = None) -> logging.Logger:
 
 
 def seed_driver(seed: int) -> int:
-    """Seeds the driver's generator; plans take their seed as a salt and need no global state."""
+    """Seeds the driver's generators; plans take their seed as a salt and need no global state."""
     random.seed(seed)
+    np.random.seed(seed % 2**32)
     return seed
 
 
+def seed_task(seed: int) -> np.random.Generator:
+    """A generator of a task's own: the same for the same seed and partition, another for any other partition.
+
+    For functions of ``mapInArrow`` and the like; where no task runs it is the driver's, partition 0.
+    """
+    context = TaskContext.get()
+    part = 0 if context is None else context.partitionId()
+    random.seed(f"{seed}:{part}")
+    return np.random.default_rng([seed, part])
+
+
 # --- data pipeline: each stage reads and writes tables, so each can be run alone -------------------
 
 

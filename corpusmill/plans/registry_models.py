@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import hashing
 from corpusmill.functions.numbering import long_bucket, positions
-from corpusmill.operators import clean, dedup, inference, metrics, ml, profile, results, splits, training
+from corpusmill.operators import clean, dedup, encoder, inference, metrics, ml, profile, results, splits, training
 from corpusmill.plans import experiment
 from corpusmill.plans.inputs import PREDICTIONS_SQL, labelled, predictions, table
 from corpusmill.plans.registered import query, sql_collapse, sql_tags, sql_unescape, sql_urls
 from corpusmill.plans.registry import BODY_SQL, LABELLED_SQL, STRATIFIED_SQL
+from corpusmill.schema import SequenceParams
 
 # --- features (I2, D12) ---------------------------------------------------------------------------
 SEGMENTS_SQL = "SELECT c_custkey AS row_pos, lower(c_mktsegment) || ' no ' || (c_custkey % 7) || 'x' AS text, (c_mktsegment IN ('BUILDING', 'MACHINERY'))::INTEGER AS label FROM customer"
@@ -86,6 +87,16 @@ def model_boosting(spark, d):
     return right(spark, d, "GBT")
 
 
+@query(f"SELECT row_pos AS doc_idx, 1 AS n_windows, label AS y_pred FROM ({SEGMENTS_SQL}) WHERE row_pos % 5 = 4")
+def model_encoder(spark, d):
+    """A head over averaged embeddings of token windows, trained with early stopping on validation documents."""
+    docs = segments(spark, d).withColumnRenamed("row_pos", "doc_idx")
+    params = SequenceParams(window_tokens=16, stride_tokens=8)
+    features = encoder.encode(docs, encoder.averaged_embedding(), params)
+    head, _ = encoder.train(features.where("doc_idx % 5 < 3"), features.where("doc_idx % 5 = 3"), encoder.HeadSettings(epochs=4, batches=2))
+    return encoder.predict(features.where("doc_idx % 5 = 4"), head).select("doc_idx", F.col("n_windows").cast("int").alias("n_windows"), "y_pred")
+
+
 @query("SELECT 'LR' AS model_id, '{\"C\": 1.0}' AS best, 1.0::DOUBLE AS val_macro_f1, 2::BIGINT AS trials")
 def model_grid_search(spark, d):
     """Of combinations that are equally good the first is kept."""
