@@ -139,7 +139,8 @@ def read_spec(path: str) -> str:
 def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     """(doc_id, ids) per row of ``docs``: ids as little-endian unsigned 32-bit integers; null text: none.
 
-    With ``decoded`` a third column, text, has the ids decoded again by the same worker.
+    With ``decoded`` a third column, text, has the ids decoded again by the same worker. Texts of any length are
+    encoded whole, repeated rows as often as given; an empty table gives an empty one; only doc_id and text are read.
     """
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
     names = ["doc_id", "ids", "text"][: 2 + decoded]

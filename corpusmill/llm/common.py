@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,13 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def task_done(*caches: dict) -> None:
+    """Give back what a Python worker held for one task: workers live on, and the stages after share their memory."""
+    for c in caches:
+        c.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Runs of anything but U+0020 and U+0009 to U+000D, as UTF-8; bytes.split() cuts at exactly those."""
     return [] if text is None else text.encode("utf-8", "surrogatepass").split()

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Components, doc_rows, durable, once
+from corpusmill.llm.common import Components, doc_rows, durable, once, task_done
 from corpusmill.llm.graph import components
 from corpusmill.llm.simhash import GrayIndex, in_parts
 from corpusmill.llm.substring import MIX, mixed  # noqa: F401
@@ -76,6 +76,7 @@ def _marks(shingle: int):
             flat = pa.array(np.concatenate(codes) if codes else np.zeros(0, dtype=np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1) * WIDE, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "th", "node", "size", "codes"])
+        task_done()
 
     return run
 
@@ -100,6 +101,8 @@ def _sets(shingle: int):
                         out, size = [], 0
         if out:
             yield batch(out)
+        out = []
+        task_done()
 
     return run
 
@@ -151,6 +154,8 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append([c[cut:] for c in columns])
     if held:
         yield from solve(*(np.concatenate(c) for c in zip(*held)))
+    held = []
+    task_done()
 
 
 def unit_links(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
@@ -199,6 +204,8 @@ def _links(similarity: float):
                 out = []
         if out := solve(nodes, sets):
             yield _edges(out)
+        nodes, sets = [], []
+        task_done()
 
     return run
 

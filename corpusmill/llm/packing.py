@@ -25,23 +25,25 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusmill.llm.bpe import byte_of_char, read_spec
+from corpusmill.llm.common import task_done
 
 CAPACITY = 2048
 END_ID = 1
 HELD_TOKENS = 4_000_000
 CACHED = 400_000
-#: Chunks of these characters only are encoded here; the library itself encodes any other.
-PLAIN = regex.compile(r"[!-~\xa1-\xac\xae-\xb3\xb5-\xff]+")
+#: Texts or chunks of these characters only are encoded here; the library itself encodes any other.
+PLAIN = regex.compile(r"[ \t\n!-~\xa1-\xac\xae-\xb3\xb5-\xff]+")
 # Fixed value: the vocabulary's pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = b"\xff"
 
 
 class WordBpe:
-    """Ids of the public library for a vocabulary of words with an end marker, by white-space chunk.
+    """Ids of the public library for a vocabulary of words with an end marker, by pre-token.
 
-    No pre-token spans white space and normalising one chunk never changes another, so each distinct
-    chunk is encoded once per worker and kept. ``WORD_END`` stands for the end marker: as a byte that
+    No pre-token spans white space and normalising one white-space chunk never changes another. So a plain
+    text is cut into pre-tokens as a whole, of which short ones are kept per worker, and of any other text the
+    chunks that are not plain go to the library. ``WORD_END`` stands for the end marker: as a byte that
     UTF-8 never holds, which a first merge joins to a word's last byte.
     """
 
@@ -65,24 +67,33 @@ class WordBpe:
         self.encode_piece = self.core._core_bpe.encode_single_piece
         self.pieces = regex.compile(PATTERN)
         self.added = tuple(t["content"] for t in json.loads(spec)["added_tokens"])
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.odd: dict[bytes, bytes] = {}
 
-    def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace")
-        if PLAIN.fullmatch(text) and not any(t in text for t in self.added):
-            parts, encode, ids = self.pieces.findall(text.lower()), self.encode_piece, self.ids
-            return array("I", [ids[i] for p in parts for i in encode(p.encode() + WORD_END)]).tobytes()
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _plain(self, text: str) -> bytes:
+        parts, known, long = self.pieces.findall(text.lower()), self.known, {}
+        if len(known) > CACHED:
+            known.clear()
+        encode, ids = self.encode_piece, self.ids
+        for p in set(parts).difference(known):
+            (known if len(p) < 64 else long)[p] = array("I", [ids[i] for i in encode(p.encode() + WORD_END)]).tobytes()
+        return b"".join(map(known.__getitem__, parts) if not long else [known[p] if p in known else long[p] for p in parts])
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null and empty: none."""
-        chunks = [] if text is None else text.encode("utf-8", "surrogatepass").split()
-        known, long = self.known, {}
-        if len(known) > CACHED:
-            known.clear()
-        for c in set(chunks).difference(known):
-            (known if len(c) < 64 else long)[c] = self._chunk(c)
-        return b"".join(map(known.__getitem__, chunks) if not long else [known[c] if c in known else long[c] for c in chunks])
+        if not text:
+            return b""
+        own = lambda x: PLAIN.fullmatch(x) and not any(t in x for t in self.added)
+        if own(text):
+            return self._plain(text)
+        chunks, odd, long = text.encode("utf-8", "surrogatepass").split(), self.odd, {}
+        if len(odd) > CACHED:
+            odd.clear()
+        for c in set(chunks).difference(odd):
+            t = c.decode("utf-8", "replace")
+            ids = self._plain(t) if own(t) else np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            (odd if len(c) < 64 else long)[c] = ids
+        return b"".join([odd[c] if c in odd else long[c] for c in chunks])
 
 
 _LOADED: dict[int, WordBpe] = {}
@@ -178,7 +189,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     A row per piece: doc_id, start (ids of the document before it), ids (little-endian unsigned 32-bit),
     doc_tokens (with the closing ``end_id``), sequence_id, offset. A null or empty text is the closing id
     alone. No sequence needs padding: each is full or has a power of two tokens. sequence_id is unique
-    over all partitions but not dense. Repeated rows are packed as often as they are given.
+    over all partitions but not dense. Repeated rows are packed as often as they are given; texts of any length
+    are encoded whole; an empty table gives an empty one; only doc_id and text are read.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
@@ -210,6 +222,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
                     base, held, tokens = base + tokens, [], 0
         if held:
             yield from flush(held, base)
+        held = []
+        task_done(bpe.known, bpe.odd)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import once
+from corpusmill.llm.common import once, task_done
 from corpusmill.llm.substring import POWERS, mixed
 
 BUCKETS = 1 << 14
@@ -231,6 +231,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums += context_sums(held)
     if sums.any():
         yield rows()
+    task_done()
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,5 +307,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
         for b in batches:
             x = np.array([pooled(word_buckets(t.as_py()), vectors) for t in b.column("text")]).reshape(-1, FEATURES)
             yield b.filter(pa.array(network.probability(x) >= 0.5))
+        task_done()
 
     return docs.mapInArrow(run, docs.schema)

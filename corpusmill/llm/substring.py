@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import attach, doc_rows, durable, frequent, words_of
+from corpusmill.llm.common import attach, doc_rows, durable, frequent, task_done, words_of
 
 WINDOW = 35
 ANCHOR = 10
@@ -214,6 +214,7 @@ def _regions_of(window: int, anchor: int):
                 ],
                 ["dealt", "known", "anchor", "doc_id", "th", "windows", "whole"],
             )
+        task_done(_HASHES.known)
 
     return run
 
@@ -312,6 +313,8 @@ def _matched(window: int):
         out += solve(shard.values())
         if out:
             yield batch(out)
+        shard = {}
+        task_done()
 
     return run
 

@@ -82,19 +82,12 @@ class PieceCounter:
     def count(self, text: str | None) -> tuple[int, int]:
         """(words, pieces) of ``text``."""
         words, known = words_of(text), self.known
-        try:
-            return len(words), sum([known[w] for w in words])
-        except KeyError:
-            if len(known) > CACHED:
-                known.clear()
-            total = 0
-            for w in words:
-                if (n := known.get(w)) is None:
-                    n = self.automaton.count(b" " + w)
-                    if len(w) < 64:
-                        known[w] = n
-                total += n
-            return len(words), total
+        long = {}
+        if len(known) > CACHED:
+            known.clear()
+        for w in set(words).difference(known):
+            (known if len(w) < 64 else long)[w] = self.automaton.count(b" " + w)
+        return len(words), sum(map(known.__getitem__, words) if not long else [known[w] if w in known else long[w] for w in words])
 
 
 _LOADED: dict[int, PieceCounter] = {}
@@ -111,7 +104,8 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
 
     Words are runs of anything but ASCII white space. Each is split, with the word-start mark before
     it, into the longest vocabulary token at every point from the left; a word that gets stuck counts
-    as one piece. Null and empty texts have no words; repeated rows come back as often as given.
+    as one piece. Null and empty texts have no words; repeated rows come back as often as given; texts and
+    words of any length are counted whole; an empty table gives an empty one; only doc_id and text are read.
     """
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
