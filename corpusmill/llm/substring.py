@@ -188,32 +188,38 @@ def keep(words: list[bytes], spans: list[int]) -> list[bytes]:
 
 
 def _regions_of(window: int, anchor: int):
-    """(dealt, known, anchor, doc_id, th, windows, whole) of all regions; windows is ``first << 32 | last``.
+    """(dealt, known, anchor, doc_id, th, windows, whole, n, spans): regions, and what is known of them already.
 
-    Regions whose anchor recurs in their batch are known to be shared and are dealt out evenly. For each such
-    anchor one more row without a document goes where the anchor's other rows go, so a frequent anchor sends a
-    row per batch there, not one per occurrence.
+    Equal regions of a batch are folded to one row with their number n; windows is ``first << 32 | last`` of the
+    one that is kept. That they repeat is settled, so their spans go on as they are, a row per document (n = 0).
+    Rows whose anchor recurs in their batch are known to be shared and are dealt out evenly. For each such anchor
+    one more row without a document goes where the anchor's other rows go, so a frequent anchor sends a row per
+    batch there, not one per occurrence.
     """
+    names = ["dealt", "known", "anchor", "doc_id", "th", "windows", "whole", "n", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [regions(words_of(t.as_py()), window, anchor) for t in b.column("text")]
-            n = np.array([len(f[0]) for f in found], dtype=np.int64)
+            count = np.array([len(f[0]) for f in found], dtype=np.int64)
             cat = lambda k: np.concatenate([f[k] for f in found] or [np.zeros(0, dtype=np.int64)])
-            key, windows, take = cat(0), cat(1) << 32 | cat(2), np.repeat(np.arange(len(n)), n)
-            values, back, count = np.unique(key, return_inverse=True, return_counts=True)
-            known, signs = count[back] > 1, values[count > 1]
-            even = (key ^ (windows * 31 + b.column("th").to_numpy()[take])) * np.int64(0x9E3779B97F4A7C1)
-            ends = np.zeros(len(signs), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.r_[np.where(known, even, key), signs]), pa.array(np.r_[known, ends.astype(bool)]), pa.array(np.r_[key, signs]),
-                    pa.concat_arrays([b.column("doc_id").take(pa.array(take)), pa.nulls(len(signs), pa.int64())]),
-                    pa.concat_arrays([b.column("th").take(pa.array(take)), pa.nulls(len(signs), pa.int64())]),
-                    pa.array(np.r_[windows, ends - 1]), pa.array(np.r_[cat(3), ends]),
-                ],
-                ["dealt", "known", "anchor", "doc_id", "th", "windows", "whole"],
-            )
+            key, windows, whole, doc = cat(0), cat(1) << 32 | cat(2), cat(3), np.repeat(np.arange(len(count)), count)
+            _, kept, back, times = np.unique(mixed(whole.view(np.uint64) + key.view(np.uint64) * BASE), return_index=True, return_inverse=True, return_counts=True)
+            again = np.flatnonzero(times[back] > 1)
+            with_spans, sizes = np.unique(doc[again], return_counts=True)
+            spans = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(windows[again] + window))
+            values, place = np.unique(key[kept], return_inverse=True)
+            total = np.bincount(place, times, len(values))
+            known, signs = total[place] > 1, values[total > 1]
+            even = (key[kept] ^ (windows[kept] * 31 + b.column("th").to_numpy()[doc[kept]])) * np.int64(0x9E3779B97F4A7C1)
+            none, rest = np.zeros(len(signs), dtype=np.int64), np.zeros(len(with_spans), dtype=np.int64)
+            of = lambda c: pa.concat_arrays([b.column(c).take(pa.array(doc[kept])), pa.nulls(len(signs), pa.int64()), b.column(c).take(pa.array(with_spans))])
+            columns = [
+                np.r_[np.where(known, even, key[kept]), signs, b.column("th").to_numpy()[with_spans]], np.r_[known, none.astype(bool), rest == 0], np.r_[key[kept], signs, rest],
+                of("doc_id"), of("th"), np.r_[windows[kept], none - 1, rest], np.r_[whole[kept], none, rest], np.r_[times, none, rest],
+                pa.concat_arrays([pa.nulls(len(kept) + len(signs), pa.list_(pa.int64())), spans]),
+            ]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
         task_done(_HASHES.known)
 
     return run
@@ -221,7 +227,7 @@ def _regions_of(window: int, anchor: int):
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows, sorted by (known, anchor), that are known or whose anchor is also in another row; one row is held."""
-    out = ["anchor", "doc_id", "th", "windows", "whole"]
+    out = ["anchor", "doc_id", "th", "windows", "whole", "n", "spans"]
     held: pa.RecordBatch | None = None
     again = False  # the held row's anchor was in the row before it as well
 
@@ -324,11 +330,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     if not 0 < anchor <= window:
         raise ValueError("the anchor must fit into the window")
     rows = doc_rows(docs)
-    found = rows.mapInArrow(_regions_of(window, anchor), "dealt long, known boolean, anchor long, doc_id long, th long, windows long, whole long")
-    places = durable(found.repartition("dealt").sortWithinPartitions("known", "anchor").mapInArrow(_shared, "anchor long, doc_id long, th long, windows long, whole long"))
+    columns = "anchor long, doc_id long, th long, windows long, whole long, n long, spans array<long>"
+    found = rows.mapInArrow(_regions_of(window, anchor), f"dealt long, known boolean, {columns}")
+    told = durable(found.repartition("dealt").sortWithinPartitions("known", "anchor").mapInArrow(_shared, columns))
+    places = told.where("n > 0")
     # of a region's places any will do: its words are the same everywhere
     some = [F.first(c).alias(c) for c in ("doc_id", "th", "windows")]
-    classes = durable(places.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("times"), *some))
+    classes = durable(places.groupBy("anchor", "whole").agg(F.sum("n").alias("times"), F.count_if(F.col("n") == 1).alias("ones"), *some))
     shards = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("times") == 1).alias("single"))
     open_ones = durable(attach(classes.select("anchor", "times", "doc_id", "th", "windows"), shards, ["anchor"], frequent(shards)).where("n > 1 AND single > 0"))
 
@@ -345,10 +353,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     single = attach(apart, counted, ["low", "high"], frequent(counted)).where("times = 1 AND total > 1")
     span = lambda first, last: F.shiftleft(first, 32) + last + window
     alone = single.select("doc_id", "th", span(F.col("first"), F.col("first")).alias("span"))
-    twice = classes.where("times > 1").select("anchor", "whole", F.col("times").alias("n"))
-    whole = attach(places, twice, ["anchor", "whole"], frequent(twice))
-    whole = whole.select("doc_id", "th", (F.col("windows") + window).alias("span"))
-    return whole.unionByName(matched).unionByName(alone).groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans"))
+    # what is alone in its batch and repeats elsewhere; the rest of what repeats is settled since it was read
+    twice = classes.where("times > 1 AND ones > 0").select("anchor", "whole", F.col("ones").alias("n"))
+    apart_ones = places.where("n = 1").select("anchor", "whole", "doc_id", "th", "windows")
+    whole = attach(apart_ones, twice, ["anchor", "whole"], frequent(twice)).select("doc_id", "th", (F.col("windows") + window).alias("span"))
+    settled = told.where("n = 0").select("doc_id", "th", F.explode("spans").alias("span"))
+    return whole.unionByName(settled).unionByName(matched).unionByName(alone).groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
