@@ -32,9 +32,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 WIDE, BLOCKS = 16, 4
 NEAR, BESIDE = 14, 28
 CHUNK = 1024
-HELD_SHINGLES, HELD_TEXTS = 1 << 19, 2048
+HELD_SHINGLES, HELD_TEXTS = 1 << 20, 8192
 SENT_BYTES = 1 << 22
 FRONTIER = 250_000
+LINKS_AT_ONCE = 500_000
 SALTS = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # fixed value: an odd 64-bit multiplier
 
 
@@ -107,8 +108,28 @@ def _sets(shingle: int):
     return run
 
 
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([u for u, _ in pairs], pa.int64()), pa.array([v for _, v in pairs], pa.int64())], ["u", "v"])
+class Forest:
+    """Links of one task, kept as a spanning forest: each node with the smallest one that it reaches in the task."""
+
+    def __init__(self) -> None:
+        self.u = self.v = np.zeros(0, dtype=np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, u: np.ndarray, v: np.ndarray) -> None:
+        self.new.append((u, v))
+        self.size += len(u)
+        if self.size > LINKS_AT_ONCE:
+            self.settle()
+
+    def settle(self) -> pa.RecordBatch:
+        u, v = (np.concatenate([x, *(n[k] for n in self.new)]) for k, x in enumerate((self.u, self.v)))
+        nodes, at = np.unique(np.r_[u, v], return_inverse=True)
+        groups = Components(len(nodes))
+        groups.link(at[: len(u)], at[len(u) :])
+        tied = np.flatnonzero(groups.root != np.arange(len(nodes)))
+        self.u, self.v, self.new, self.size = nodes[tied], nodes[groups.root[tied]], [], 0
+        return pa.RecordBatch.from_arrays([pa.array(self.u), pa.array(self.v)], ["u", "v"])
 
 
 def near_positions(keys: np.ndarray, codes: np.ndarray, beside: np.ndarray) -> np.ndarray:
@@ -128,17 +149,16 @@ def near_positions(keys: np.ndarray, codes: np.ndarray, beside: np.ndarray) -> n
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per partition, sorted by shard: links (u, v) of what is near in a shard; holds one batch and one open shard."""
-    names = ("shard", "node", "code", "beside")
+    names, forest = ("shard", "node", "code", "beside"), Forest()
 
-    def solve(keys: np.ndarray, nodes: np.ndarray, codes: np.ndarray, beside: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def solve(keys: np.ndarray, nodes: np.ndarray, codes: np.ndarray, beside: np.ndarray) -> None:
         same = keys[1:] == keys[:-1]
         pick = np.r_[False, same] | np.r_[same, False]
         keys, nodes = keys[pick], nodes[pick]
         if len(keys):
             root = near_positions(keys, codes[pick].view(np.uint64), beside[pick].view(np.uint64))
             u = np.flatnonzero(root != np.arange(len(root)))
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[root[u]])], ["u", "v"])
+            forest.add(nodes[u], nodes[root[u]])
 
     held: list[list[np.ndarray]] = []
     for b in batches:
@@ -149,12 +169,13 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = int(np.searchsorted(keys == keys[-1], True))
         if cut or (held and held[-1][0][-1] != keys[0]):
             held.append([c[:cut] for c in columns])
-            yield from solve(*(np.concatenate(c) for c in zip(*held)))
+            solve(*(np.concatenate(c) for c in zip(*held)))
             held = []
         held.append([c[cut:] for c in columns])
     if held:
-        yield from solve(*(np.concatenate(c) for c in zip(*held)))
+        solve(*(np.concatenate(c) for c in zip(*held)))
     held = []
+    yield forest.settle()
     task_done()
 
 
@@ -187,24 +208,25 @@ def unit_links(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int,
 def _links(similarity: float):
     """Per partition, sorted by unit: links (u, v) of each unit; holds one batch and one open unit."""
 
-    def solve(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        return [(nodes[x], nodes[y]) for x, y in unit_links(sets, similarity)] if len(nodes) > 1 else []
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sets, out = None, [], [], []
+        key, nodes, sets, forest = None, [], [], Forest()
+
+        def solve() -> None:
+            if len(nodes) > 1 and (links := list(unit_links(sets, similarity))):
+                ids = np.array(nodes, dtype=np.int64)
+                x, y = np.array(links).T
+                forest.add(ids[x], ids[y])
+
         for b in batches:
             for k, node, s in zip(b.column("shard").to_pylist(), b.column("node").to_pylist(), b.column("shingles")):
                 if k != key:
-                    out += solve(nodes, sets)
+                    solve()
                     key, nodes, sets = k, [], []
                 nodes.append(node)
                 sets.append(np.frombuffer(s.as_py(), dtype=np.uint64))
-            if out:
-                yield _edges(out)
-                out = []
-        if out := solve(nodes, sets):
-            yield _edges(out)
+        solve()
         nodes, sets = [], []
+        yield forest.settle()
         task_done()
 
     return run
