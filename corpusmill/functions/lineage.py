@@ -35,8 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that ``cut`` has written; call it once all that was built on them is stored elsewhere."""
-    while _WRITTEN:
+def written() -> int:
+    """How many tables ``cut`` has written so far: a mark for ``release``."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables that ``cut`` has written after the mark; call it once all that was built on them is stored elsewhere."""
+    while len(_WRITTEN) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
