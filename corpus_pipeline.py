@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions.lineage import release, scratch
+from corpusmill.functions.lineage import release, scratch, written
 from corpusmill.llm import linededup, nearcopies, packing, quality, substring
 from corpusmill.llm.common import table
 from corpusmill.llm.queries import vocabulary
@@ -66,8 +66,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
+        path, mark = f"{folder}/{k}-{name}", written()
         stage(spark, docs, sf_dir).write.parquet(path)
-        release(spark)
+        release(spark, mark)
         docs = spark.read.parquet(path)
     return docs
