@@ -191,7 +191,7 @@ def _regions_of(window: int, anchor: int):
     """(dealt, known, anchor, doc_id, th, windows, whole, n, spans): regions, and what is known of them already.
 
     Equal regions of a batch are folded to one row with their number n; windows is ``first << 32 | last`` of the
-    one that is kept. That they repeat is settled, so their spans go on as they are, a row per document (n = 0).
+    one that is kept. That they repeat is settled, so their spans go on, merged, as a row per document (n = 0).
     Rows whose anchor recurs in their batch are known to be shared and are dealt out evenly. For each such anchor
     one more row without a document goes where the anchor's other rows go, so a frequent anchor sends a row per
     batch there, not one per occurrence.
@@ -206,8 +206,12 @@ def _regions_of(window: int, anchor: int):
             key, windows, whole, doc = cat(0), cat(1) << 32 | cat(2), cat(3), np.repeat(np.arange(len(count)), count)
             _, kept, back, times = np.unique(mixed(whole.view(np.uint64) + key.view(np.uint64) * BASE), return_index=True, return_inverse=True, return_counts=True)
             again = np.flatnonzero(times[back] > 1)
-            with_spans, sizes = np.unique(doc[again], return_counts=True)
-            spans = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(windows[again] + window))
+            # regions that overlap in one document make one span
+            start, end, of_doc = cat(1)[again], cat(2)[again] + window, doc[again]
+            head = np.flatnonzero(np.r_[True, (of_doc[1:] != of_doc[:-1]) | (start[1:] > end[:-1])][: len(again)])
+            merged = start[head] << 32 | end[np.r_[head[1:], len(again)][: len(head)] - 1]
+            with_spans, sizes = np.unique(of_doc[head], return_counts=True)
+            spans = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(merged))
             values, place = np.unique(key[kept], return_inverse=True)
             total = np.bincount(place, times, len(values))
             known, signs = total[place] > 1, values[total > 1]
