@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, linededup, packing, pivots, quality, simhash, substring, topk, urlrules, wordpiece
+from corpusmill.llm import bpe, filteraudit, linededup, packing, pivots, quality, simhash, substring, topk, urlrules, wordpiece
 from corpusmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES["op1_simhash"] = op1_simhash
 QUERIES["op2_lines"] = op2_lines
 QUERIES["op3_topk"] = op3_topk
@@ -94,6 +98,7 @@ QUERIES["op7_embeddings"] = op7_embeddings
 QUERIES["op8_urls"] = op8_urls
 QUERIES["op9_quality"] = op9_quality
 QUERIES["op10_bpe"] = op10_bpe
+QUERIES["op12_filters"] = op12_filters
 QUERIES["pipeline"] = pipeline
 
 
@@ -179,3 +184,37 @@ WITH rules(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'exampl
 )
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fits WHERE k = 1
 """
+
+# Every order is applied step by step to the documents of each kind of failure.
+ORACLE["op12_filters"] = """
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS owner FROM documents
+), marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(words) < 50 THEN 'A' ELSE '' END ||
+    CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END ||
+    CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text) THEN 'C' ELSE '' END ||
+    CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > owner THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN marks USING (doc_id)
+), g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL
+), letters(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+), orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.l NOT IN (b.l, c.l, d.l, e.l) AND b.l NOT IN (c.l, d.l, e.l) AND c.l NOT IN (d.l, e.l) AND d.l <> e.l
+), steps AS (SELECT filter_order, step, filter_order[step] AS own, filter_order[1 : step - 1] AS earlier FROM orders, range(1, 6) s(step)
+), seen AS (
+  SELECT part, filter_order, step, own, n, good, toxic, fails, contains(fails, own) AS hit, len(list_filter(string_split(earlier, ''), lambda x: contains(fails, x) AND x <> '')) > 0 AS gone
+  FROM g, steps
+), counted AS (
+  SELECT part, filter_order, step, own, sum(n) FILTER (NOT gone AND NOT hit) AS kept, sum(n) FILTER (NOT gone AND hit) AS removed,
+    sum(n) FILTER (gone AND hit) AS redundant, sum(n) FILTER (fails = own) AS unique_fails,
+    sum(good) FILTER (NOT gone AND hit) AS good_lost, sum(toxic) FILTER (NOT gone AND hit) AS toxic_lost
+  FROM seen GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  sum(coalesce(removed, 0)) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM counted
+"""
