@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, filteraudit, linededup, packing, pivots, quality, simhash, substring, topk, urlrules, wordpiece
+from corpusmill.llm import bpe, filteraudit, linededup, packing, pivots, quality, simhash, substring, topk, urlrules, whitening, wordpiece
 from corpusmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,10 @@ def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES["op1_simhash"] = op1_simhash
 QUERIES["op2_lines"] = op2_lines
 QUERIES["op3_topk"] = op3_topk
@@ -99,6 +103,7 @@ QUERIES["op8_urls"] = op8_urls
 QUERIES["op9_quality"] = op9_quality
 QUERIES["op10_bpe"] = op10_bpe
 QUERIES["op12_filters"] = op12_filters
+QUERIES["op13_whitening"] = op13_whitening
 QUERIES["pipeline"] = pipeline
 
 
