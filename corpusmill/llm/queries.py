@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, filteraudit, linededup, packing, pivots, quality, simhash, substring, topk, urlrules, whitening, wordpiece
+from corpusmill.llm import bpe, digests, filteraudit, linededup, packing, pivots, quality, simhash, substring, topk, urlrules, whitening, wordpiece
 from corpusmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -102,6 +106,7 @@ QUERIES["op7_embeddings"] = op7_embeddings
 QUERIES["op8_urls"] = op8_urls
 QUERIES["op9_quality"] = op9_quality
 QUERIES["op10_bpe"] = op10_bpe
+QUERIES["op11_digests"] = op11_digests
 QUERIES["op12_filters"] = op12_filters
 QUERIES["op13_whitening"] = op13_whitening
 QUERIES["pipeline"] = pipeline
