@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import durable, shuffle_partitions, task_done
+from corpusmill.llm.common import durable, frequent, shuffle_partitions, task_done
 
 WINDOW = 32
 LEAST = 8
@@ -216,10 +216,11 @@ def _sortable(ids: np.ndarray, known: np.ndarray, th: np.ndarray) -> np.ndarray:
 
 
 def _in_runs(docs: DataFrame, runs: int) -> DataFrame:
-    """(run, guest, doc_id, th, n, text): distinct documents in ``runs`` runs of the order (doc_id, th), sorted in each partition.
+    """(run, guest, doc_id, th, n, text): documents in ``runs`` runs of the order (doc_id, th), sorted in each partition.
 
-    Rows that repeat doc_id and text are one with their number ``n``. Every run is followed by the first document
-    of the next run (the first run's after the last) as a guest. Each text is shuffled once.
+    A row stands for ``n`` that repeat its doc_id and text: where these are frequent they are folded before the
+    shuffle, else they follow each other. Every run is followed by the first document of the next run (the first
+    run's after the last) as a guest. Each text is shuffled once.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
@@ -236,11 +237,13 @@ def _in_runs(docs: DataFrame, runs: int) -> DataFrame:
         run = np.searchsorted(bounds, own, "right") - 1
         return pa.array((2 * run + (bounds[run] == own)).astype(np.int32))
 
-    again = keys.where("n > 1").select(F.col("doc_id").alias("id"), F.col("th").alias("own"))
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("own"))
-    folded = rows.join(again, same, "left_semi").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
-    single = rows.join(again, same, "left_anti").select("doc_id", "th", F.lit(1).cast("long").alias("n"), "text")
-    placed = single.unionByName(folded).withColumn("place", place("doc_id", "th"))
+    single = rows.withColumn("n", F.lit(1).cast("long"))
+    if (limit := frequent(keys)) is not None:
+        hot = F.broadcast(keys.where(F.col("n") > limit).select(F.col("doc_id").alias("id"), F.col("th").alias("own")))
+        same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("own"))
+        folded = rows.join(hot, same, "left_semi").groupBy("doc_id", "th").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+        single = single.join(hot, same, "left_anti").unionByName(folded)
+    placed = single.withColumn("place", place("doc_id", "th"))
     run, total = F.col("place").bitwiseAND(F.lit(-2)) / 2, max(1, len(bounds))
     home = F.struct(run.cast("int").alias("run"), F.lit(False).alias("guest"))
     visit = F.struct(((run + total - 1) % total).cast("int").alias("run"), F.lit(True).alias("guest"))
@@ -271,11 +274,15 @@ def with_edits(docs: DataFrame) -> DataFrame:
         out: list[tuple] = []
         last = None
         for batch in batches:
-            for run, guest, doc_id, n, text in zip(*(batch[c] for c in ("run", "guest", "doc_id", "n", "text")), strict=True):
-                run, text = run.as_py(), text.as_py()
+            for run, guest, doc_id, th, n, text in zip(*(batch[c] for c in ("run", "guest", "doc_id", "th", "n", "text")), strict=True):
+                run, key = run.as_py(), (doc_id.as_py(), th.as_py())
+                if last and last[:2] == (run, key) and not guest.as_py():
+                    last = (*last[:2], last[2] + n.as_py(), *last[3:])
+                    continue
+                text = text.as_py()
                 digest = Digest.of(text, ranks)
                 if last and last[0] == run:
-                    _, before_id, copies, before, own = last
+                    _, (before_id, _), copies, before, own = last
                     other = edited(before, text)
                     changed = own if other == before else Digest.of(other, ranks)
                     sha = hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest()
@@ -287,7 +294,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
                         if len(out) >= ROWS_AT_ONCE:
                             yield _table(out)
                             out = []
-                last = None if guest.as_py() else (run, doc_id.as_py(), n.as_py(), text, digest)
+                last = None if guest.as_py() else (run, key, n.as_py(), text, digest)
         if out:
             yield _table(out)
         task_done()

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import digests, queries
+from corpusmill.llm import common, digests, queries
 from test_text_ops import strange
 
 
@@ -68,7 +68,7 @@ def test_likeness_follows_shared_text():
 
 
 def texts():
-    out = [prose(50_000, 6), prose(200, 7), None, "", "same", "same", prose(80, 8), prose(80, 8) + " more", "A\n" * 4000, "\U0001f600" * 100 + "abc", "x", "abc", "abcd"]
+    out = [prose(200, 7), prose(50_000, 6), None, "", "same", "same", prose(80, 8), prose(80, 8) + " more", "A\n" * 4000, "\U0001f600" * 100 + "abc", "x", "abc", "abcd"]
     return out + strange(30, 9)
 
 
@@ -82,13 +82,14 @@ def expected(rows):
         yield i, len(t), hashlib.sha256(changed.encode()).hexdigest(), t, changed, following
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_op11(spark, tmp_path, parts):
+@pytest.mark.parametrize("parts,most", [(1, 1000), (5, 1000), (5, 10)])
+def test_op11(spark, tmp_path, monkeypatch, parts, most):
+    monkeypatch.setattr(common, "HOT_KEYS", most)
     rows = [(7 * i - 20, t) for i, t in enumerate(texts())]
-    frame = spark.createDataFrame([*rows, *rows[:3], rows[0]], "doc_id long, text string").withColumn("run", F.lit("clash")).withColumn("n", F.lit("clash"))
+    frame = spark.createDataFrame([*rows, *rows[:3], *[rows[0]] * 30], "doc_id long, text string").withColumn("run", F.lit("clash")).withColumn("n", F.lit("clash"))
     frame.repartition(parts).write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.QUERIES["op11_digests"](spark, str(tmp_path)).collect()
-    copies = Counter([*(i for i, _ in rows), *(i for i, _ in rows[:3]), rows[0][0]])
+    copies = Counter([*(i for i, _ in rows), *(i for i, _ in rows[:3]), *[rows[0][0]] * 30])
     assert Counter(r["doc_id"] for r in got) == copies
     ranks = digests.rarity(frame)
     for i, n, sha, t, changed, following in expected(rows):
