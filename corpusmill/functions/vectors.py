@@ -1,8 +1,8 @@
-"""TF-IDF weights as a long table, and exact cosine of sparse rows."""
+"""TF-IDF weights as a long table."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -26,17 +26,19 @@ def term_counts(docs: DataFrame, key: str = "row_pos", largest: int = 2) -> Data
 
 
 def vocabulary(counts: DataFrame, max_features: int = MAX_FEATURES, min_df: int = 1) -> DataFrame:
-    """(term, df, cf, term_id): the terms of highest collection frequency, ties by term; at most ``max_features`` rows."""
+    """(term, df, rank): the terms of highest collection frequency, ties by term; at most ``max_features`` rows.
+
+    ``rank`` counts them from 0, rare before common, ties by term: in one task, as the rows are bounded.
+    """
     terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df)
-    return terms.orderBy(F.desc("cf"), "term").limit(max_features)
+    top = terms.orderBy(F.desc("cf"), "term").limit(max_features)
+    return top.select("term", "df", (F.row_number().over(Window.orderBy("df", "term")) - 1).alias("rank"))
 
 
 def tfidf(counts: DataFrame, terms: DataFrame, n_docs: DataFrame, key: str = "row_pos") -> DataFrame:
-    """(key, term, df, x): tf * (ln((1 + n) / (1 + df)) + 1), scaled to unit length per row.
+    """(key, term, df, rank, w): tf * (ln((1 + n) / (1 + df)) + 1), not yet scaled to unit length per row.
 
     ``terms`` has at most the configured number of features and ``n_docs`` one row (n), so both are sent whole.
     """
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    weighted = counts.join(F.broadcast(terms.select("term", "df")), "term").crossJoin(F.broadcast(n_docs)).select(key, "term", "df", (F.col("tf") * idf).alias("w"))
-    norm = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norm, key).select(key, "term", "df", (F.col("w") / F.col("norm")).alias("x"))
+    return counts.join(F.broadcast(terms), "term").crossJoin(F.broadcast(n_docs)).select(key, "term", "df", "rank", (F.col("tf") * idf).alias("w"))
