@@ -9,28 +9,31 @@ import os
 import platform
 import random
 import subprocess
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from importlib import metadata
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.hashing import sha256_json
+from corpusmill.functions.lineage import cut
 from corpusmill.functions.text import sanitize
-from corpusmill.operators import clean, dedup, inference, labels, metrics, ml, profile, results, splits
+from corpusmill.operators import clean, dedup, finetune, inference, labels, metrics, ml, profile, results, splits
+from corpusmill.schema import SequenceParams
 from corpusmill.sources import corpora, tables
 
 PROTOCOL = "v1.0"
-# What a run's record holds; libraries that are not here read "not-installed", and a machine without GPU null.
+#: A run's record: what was run on which versions, by which code and engine, and how it ended.
 RUN_SCHEMA = (
-    "run_id string, experiment_id string, experiment string, model_id string, dataset_id string, dataset_version string, split_regime string, seed int, train_version string, test_version string, "
-    "protocol_version string, config_hash string, git_sha string, git_dirty boolean, spark_version string, python_version string, platform string, torch string, cuda string, cudnn string, "
-    "transformers string, scikit_learn string, numpy string, gpu string, started_at string, finished_at string, wall_clock_s double, status string, notes string"
+    "run_id string, cell map<string,string>, config_hash string, code_commit string, code_changed boolean, application_id string, parallelism int, "
+    "settings map<string,string>, versions map<string,string>, began timestamp, ended timestamp, seconds double, outcome string, remark string"
 )
+#: Session settings that change how a plan runs; a run's record keeps them.
+NOTED_SETTINGS = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.files.maxPartitionBytes")
 
 
 @dataclass(frozen=True)
@@ -89,11 +92,11 @@ def module_version(name: str) -> str:
         return "not-installed"
 
 
-def environment(spark: SparkSession) -> dict:
+def environment(spark: SparkSession) -> dict[str, str]:
     """Versions and machine, for the registry."""
     return {
-        "spark_version": spark.version, "python_version": platform.python_version(), "platform": platform.platform(),
-        **{f"{m}_version": module_version(m) for m in ("pyspark", "numpy", "pandas", "pyarrow")},
+        "spark": spark.version, "python": platform.python_version(), "platform": platform.platform(),
+        **{m: module_version(m) for m in ("pyspark", "numpy", "pandas", "pyarrow", "tokenizers")},
     }
 
 
@@ -114,24 +117,24 @@ def make_run_id(experiment_id: str, model_id: str, seed: int, at: datetime) -> s
     return sanitize(f"{at:%Y%m%dT%H%M%S}_{experiment_id}_{model_id}_s{seed}")
 
 
-def start_run(spark: SparkSession, provenance: dict, config_hash: str, folder: str = ".") -> dict:
-    """A registry record for a run that begins now."""
-    at, (sha, dirty) = now(), git_state(folder)
-    env = environment(spark)
-    return provenance | {
-        "run_id": make_run_id(provenance["experiment_id"], provenance["model_id"], provenance["seed"], at), "config_hash": config_hash, "git_sha": sha, "git_dirty": dirty,
-        "started_at": at.isoformat(), **{k: env[k] for k in ("spark_version", "python_version", "platform")}, "protocol_version": PROTOCOL,
-        **{c: module_version(m) for c, m in (("torch", "torch"), ("transformers", "transformers"), ("scikit_learn", "scikit-learn"), ("numpy", "numpy"))},
-        "dataset_version": provenance.get("train_version"), "experiment": provenance.get("experiment", provenance["experiment_id"]),
+def start_run(spark: SparkSession, cell: dict, config_hash: str, folder: str = ".") -> dict:
+    """The record of a run that begins now; ``cell`` names experiment, model, seed and versions."""
+    at, (commit, changed) = now(), git_state(folder)
+    return {
+        "run_id": make_run_id(cell["experiment_id"], cell["model_id"], cell["seed"], at), "cell": {k: str(v) for k, v in cell.items()}, "config_hash": config_hash,
+        "code_commit": commit, "code_changed": changed, "application_id": spark.sparkContext.applicationId, "parallelism": spark.sparkContext.defaultParallelism,
+        "settings": {k: spark.conf.get(k) for k in NOTED_SETTINGS}, "versions": {**environment(spark), "protocol": PROTOCOL}, "began": at,
     }
 
 
-def finish_run(spark: SparkSession, run: dict, path: str, status: str = "ok") -> None:
-    """The finished record, appended to the registry."""
+def finish_run(spark: SparkSession, run: dict, path: str, outcome: str = "ok", remark: str | None = None) -> None:
+    """The finished record, appended to the registry, and as JSON to ``path``-metadata, in a folder of the run's own."""
     end = now()
-    row = run | {"finished_at": end.isoformat(), "status": status, "wall_clock_s": (end - datetime.fromisoformat(run["started_at"])).total_seconds()}
+    row = run | {"ended": end, "outcome": outcome, "seconds": (end - run["began"]).total_seconds(), "remark": remark}
     names = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
-    spark.createDataFrame([tuple(row.get(n) for n in names)], RUN_SCHEMA).write.mode("append").parquet(path)
+    record = spark.createDataFrame([tuple(row.get(n) for n in names)], RUN_SCHEMA)
+    record.write.mode("append").parquet(path)
+    record.coalesce(1).write.mode("overwrite").json(f"{path}-metadata/{run['run_id']}")
 
 
 def logger(name: str, path: str | None = None) -> logging.Logger:
@@ -192,9 +195,9 @@ def dedup_stage(spark: SparkSession, config: PipelineConfig, out: str) -> DataFr
     reports = []
     for d in config.datasets:
         df = tables.read_version(spark, out, d.dataset_id, "vCLEAN-C").drop("version")
-        flags = dedup.dedup_flags(df, config.near_threshold, max_features=config.max_features)
+        flags = cut(dedup.dedup_flags(df, config.near_threshold, max_features=config.max_features))  # read by the report and by what stays
         reports.append(dedup.dedup_report(flags, d.dataset_id))
-        tables.write_version(dedup.deduplicate(df, config.near_threshold, max_features=config.max_features).withColumn("version", F.lit("vDEDUP")), out)
+        tables.write_version(dedup.survivors(df, flags).withColumn("version", F.lit("vDEDUP")), out)
     return corpora.union_all(reports)
 
 
@@ -246,7 +249,7 @@ def split_bundle(versions: DataFrame, neural: DataFrame | None, parts: DataFrame
 def run_cell(bundle: DataFrame, model_id: str, seed: int, max_features: int = ml.MAX_FEATURES, min_df: int = ml.MIN_DF, grid: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """One model and seed: (metrics, predictions) on the test part; the vectoriser sees the training part only."""
     train = bundle.where("part = 'train'")
-    vectors = ml.vectorize(ml.fit_tfidf(train, max_features, min_df), bundle).select("row_pos", "part", "label", "features").cache()
+    vectors = cut(ml.vectorize(ml.fit_tfidf(train, max_features, min_df), bundle).select("row_pos", "part", "label", "features"))
     part = lambda p: vectors.where(F.col("part") == p).select("row_pos", "label", "features")
     fitted, outcome = ml.train_classical(part("train"), part("val"), model_id, seed, grid)
     predicted = ml.predict(fitted, part("test")).select(F.lit(model_id).alias("model_id"), F.lit(seed).alias("seed"), "row_pos", F.col("label").alias("y_true"), "y_pred", "y_prob")
@@ -254,6 +257,30 @@ def run_cell(bundle: DataFrame, model_id: str, seed: int, max_features: int = ml
     return measured, predicted
 
 
+def run_encoder_cell(
+    bundle: DataFrame, model_id: str, seed: int, folder: str, ids: Callable[[Column], Column], params: SequenceParams, settings: finetune.Settings = finetune.Settings(), tasks: int = 4,
+) -> tuple[DataFrame, DataFrame]:
+    """One encoder and seed, trained on the training part: (metrics, predictions) on the test part.
+
+    The vocabulary comes from the training part only. States of the epochs stay in ``folder``, so a call that was
+    cut off goes on there; the metrics name the best epoch and the number of weights.
+    """
+    docs = bundle.where(F.col("label").isNotNull()).select("part", F.col("row_pos").alias("doc_idx"), "label", "text")
+    part = lambda p: docs.where(F.col("part") == p).drop("part")
+    s = replace(settings, seed=seed)
+    known = finetune.vocabulary(part("train"), ids, s.vocabulary)
+    train, val, test = (finetune.encoded_windows(part(p), ids, known, params) for p in ("train", "val", "test"))
+    weights, log = finetune.train(train, val, params, folder, s, tasks)
+    truth = part("test").select("doc_idx", F.col("label").alias("y_true"))
+    predicted = finetune.predict(test, s.shape(params), weights).join(truth, "doc_idx")
+    predicted = predicted.select(F.lit(model_id).alias("model_id"), F.lit(seed).alias("seed"), F.col("doc_idx").alias("row_pos"), "y_true", "y_pred", "y_prob")
+    best = log.where("improved").orderBy(F.desc("epoch")).first()
+    measured = metrics.all_metrics(predicted, ["model_id", "seed"]).withColumns({
+        "n_params": F.lit(len(weights)).cast("long"), "best_epoch": F.lit(best["epoch"]), "val_macro_f1": F.lit(best["val_macro_f1"]), "checkpoint_path": F.lit(f"{folder}/epoch={best['epoch']}/state"),
+    })
+    return measured, predicted
+
+
 def run_sweep(spark: SparkSession, bundles: dict[int, DataFrame], models: Sequence[str], results_path: str, predictions_path: str, provenance: dict, grids: dict | None = None, force: bool = False) -> list[tuple[str, int]]:
     """Runs the cells that have no result yet (all with ``force``) and appends what they give; returns them."""
     cells = results.sweep_cells(spark, models, list(bundles))

@@ -91,5 +91,5 @@ def test_tasks_have_generators_of_their_own(spark):
 def test_run_record_has_all_columns(spark):
     names = [c.split()[0] for c in experiment.RUN_SCHEMA.split(", ")]
     run = experiment.start_run(spark, {"experiment_id": "E", "model_id": "LR", "dataset_id": "D", "seed": 1, "split_regime": "S", "train_version": "v", "test_version": "v"}, "h")
-    assert {"protocol_version", "torch", "numpy", "dataset_version", "notes", "gpu"} <= set(names) and set(run) <= set(names)
-    assert run["protocol_version"] == experiment.PROTOCOL
+    assert {"run_id", "cell", "settings", "versions", "remark"} <= set(names) and set(run) <= set(names)
+    assert run["versions"]["protocol"] == experiment.PROTOCOL and run["settings"]["spark.sql.session.timeZone"] == "UTC"

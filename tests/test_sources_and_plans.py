@@ -96,7 +96,8 @@ def test_run_registry(spark, tmp_path):
     run = X.start_run(spark, {"experiment_id": "E 1", "model_id": "LR", "dataset_id": "D", "seed": 13, "split_regime": "S", "train_version": "v", "test_version": "v"}, "abc", str(tmp_path))
     X.finish_run(spark, run, f"{tmp_path}/runs")
     got = spark.read.parquet(f"{tmp_path}/runs").first()
-    assert got["status"] == "ok" and got["wall_clock_s"] >= 0 and got["run_id"].endswith("E-1_LR_s13")
+    assert got["outcome"] == "ok" and got["seconds"] >= 0 and got["run_id"].endswith("E-1_LR_s13") and got["cell"]["seed"] == "13"
+    assert json.loads(spark.read.text(f"{tmp_path}/runs-metadata/{run['run_id']}").first()[0])["versions"]["numpy"] == np.__version__
     log = X.logger("t", f"{tmp_path}/l/x.log")
     assert len(X.logger("t", f"{tmp_path}/l/x.log").handlers) == len(log.handlers) == 2
     assert X.module_version("no-such-module") == "not-installed"
