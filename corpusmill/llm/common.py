@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -70,10 +72,15 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 
 def task_done(*caches: dict) -> None:
-    """Give back what a Python worker held for one task: workers live on, and the stages after share their memory."""
+    """Give back what a Python worker held for one task: workers live on, and the stages after share their memory.
+
+    Arrow's pool and the C library both keep what is freed; where the latter can be told to return it, it is.
+    """
     for c in caches:
         c.clear()
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -265,6 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
         for b in batches:
             x = [pooled(word_buckets(t.as_py()), sent.value).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("th"), pa.array(x, pa.binary())], ["doc_id", "y", "th", "x"])
+        task_done()
 
     labelled = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "th", "text")  # at most ``sample`` ids
     made = labelled.mapInArrow(features, "doc_id long, y int, th long, x binary")
@@ -292,13 +293,18 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
         for b in batches:
             x = np.array([pooled(word_buckets(t.as_py()), vectors) for t in b.column("text")]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(network.probability(x))], ["doc_id", "score"])
+        task_done()
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that are predicted to be of quality 1, in one pass over the texts."""
+    """The rows of ``docs`` that are predicted to be of quality 1, in one pass over the texts.
+
+    Rows keep all their columns; those that repeat doc_id and text are all kept or all dropped. Null and empty texts
+    are judged as texts without words, very long ones in stretches, as in ``score``; an empty table gives an empty one.
+    """
     vectors, network = fit(docs, labels, sample)
     sent = docs.sparkSession.sparkContext.broadcast((vectors, network))
 

@@ -255,6 +255,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, again = b.slice(len(key) - 1), bool(np.r_[same, twin][-1])
     if held is not None and again:
         yield real(held)
+    held = b = None
+    task_done()
 
 
 def _texts_of_regions(window: int):
@@ -270,6 +272,7 @@ def _texts_of_regions(window: int):
                     out.append((w["anchor"], doc, th, x >> 32, w["times"], b" ".join(words[x >> 32 : (x & 0xFFFFFFFF) + window])))
             kinds = [pa.int64()] * 5 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], ["anchor", "doc_id", "th", "first", "times", "region"])
+        task_done()
 
     return run
 
@@ -288,6 +291,7 @@ def _windows_of_regions(window: int):
                         out.append((doc, th, s, w["times"], *(xxhash.xxh64_intdigest(run_of, k) - (1 << 63) for k in (SEED_LOW, SEED_HIGH))))
             kinds = [pa.int64()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], ["doc_id", "th", "first", "times", "low", "high"])
+        task_done()
 
     return run
 
@@ -391,6 +395,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                 [b.column("doc_id"), b.column("th"), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())],
                 ["doc_id", "th", "text", "n_words", "n_removed"],
             )
+        task_done()
 
     joined = rows.join(spans, rows["doc_id"].eqNullSafe(spans["doc_id"]) & (rows["th"] == spans["th"]), "left")
     made = joined.select(rows["doc_id"], rows["th"], "text", "spans").mapInArrow(apply, "doc_id long, th long, text string, n_words long, n_removed long")
@@ -400,8 +405,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``: see remove_repeats.
 
-    Only texts that lose words change (their words are joined by one space); all other rows, null texts
-    too, stay as they are, with all their columns, whatever their names.
+    Only texts that lose words change (their words are joined by one space); all other rows, null and empty texts
+    too, stay as they are, with all their columns, whatever their names. Rows that repeat doc_id and text are two
+    documents whose windows repeat, so both lose them; very long texts are taken whole, and an empty table gives an
+    empty one.
     """
     others = [c for c in docs.columns if c != "text"]
     keyed = docs.select(F.struct(*others).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("own"), F.col("text").cast("string").alias("text"))
@@ -415,6 +422,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                 for t, x in zip(b.column("text"), b.column("spans"))
             ]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+        task_done()
 
     made = joined.mapInArrow(apply, joined.select("row", "text").schema)
     return made.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
