@@ -10,7 +10,11 @@ behind; doubling goes on until no interval holds two suffixes.
 A suffix repeats its elders at the deepest interval in which it is not the first. Its longest common prefix
 with that first is found exactly by walking the depths back down, comparing the ranks of the two places
 reached so far. Suffixes that only continue the run of the line above are folded into it, which leaves the
-maximal repeated runs; the later copy of each is deleted, but for lines that belong to the copy that stays.
+maximal repeated runs; the later copy of each is deleted.
+
+A suffix that agrees with one at most d lines above it, in its first d lines, lies inside a run of a period. It is
+doubled no further: what it repeats is known, and a junk text of one line does not make all others go through more
+depths. A suffix repeats a first that overlaps its own first lines only from the next copy on.
 
 Ranks come from range partitioning and sorting the pairs that repeat. Joins send the few keys that hold a
 thousandth of all rows or more by broadcast (``common.attach``), so neither a line nor a document that makes up
@@ -61,19 +65,31 @@ def _deeper(now: DataFrame, ahead: int) -> DataFrame | None:
     return _named(durable(pairs.where(F.col("b").isNotNull())))
 
 
+def _periods(level: DataFrame, depth: int) -> DataFrame:
+    """``level`` with ``period``: how many lines above the next suffix of its interval is, if no more than ``depth``."""
+    apart = F.col("line") - F.lag("line").over(Window.partitionBy("doc", "rank").orderBy("line"))
+    return durable(level.withColumn("period", F.when(apart <= depth, apart)))
+
+
 def _levels(lines: DataFrame, min_lines: int) -> list[tuple[int, DataFrame]]:
-    """Ranks at every depth, up to the last at which an interval holds two suffixes."""
+    """Ranks at every depth, up to the last at which an interval holds two suffixes, with periods from ``min_lines`` on."""
     depth, level, levels = 1, _named(lines), []
     while level is not None:
+        if depth >= min_lines:
+            level = _periods(level, depth)
         levels.append((depth, level))
         ahead = min(depth, min_lines - depth) if depth < min_lines else depth
-        depth, level = depth + ahead, _deeper(level, ahead)
+        depth, level = depth + ahead, _deeper(level.where("period IS NULL") if depth >= min_lines else level, ahead)
     return levels
 
 
 def _runs(levels: list[tuple[int, DataFrame]], min_lines: int) -> DataFrame | None:
-    """(doc, line, first, length): maximal runs that repeat what starts at the place ``first``; None if there is none."""
-    deep = [level.where(F.col("doc") + F.col("line") != F.col("first")).select("doc", "line", "first", F.lit(d).alias("depth")) for d, level in levels if d >= min_lines]
+    """(doc, line, first, length): maximal runs that repeat what starts at the place ``first``; None if there is none.
+
+    Not counted are suffixes whose first begins less than ``min_lines`` lines above in the same text: it overlaps them.
+    """
+    new = (F.col("first") < F.col("doc")) | (F.col("doc") + F.col("line") - F.col("first") >= min_lines)
+    deep = [level.where(new).select("doc", "line", "first", F.lit(d).alias("depth")) for d, level in levels if d >= min_lines]
     if not deep:
         return None
     later = deep[0]
@@ -83,7 +99,10 @@ def _runs(levels: list[tuple[int, DataFrame]], min_lines: int) -> DataFrame | No
     above = Window.partitionBy("doc").orderBy(F.col("line").cast("long")).rangeBetween(-1, -1)
     later = later.withColumn("above", F.first("first").over(above))
     heads = F.col("above").isNull() | (F.col("above") + 1 != F.col("first"))
-    runs = durable(later.where(heads).select("doc", "line", "first", "depth", F.col("depth").alias("length")))
+    run = F.sum(heads.cast("int")).over(Window.partitionBy("doc").orderBy("line"))
+    head = F.min_by(F.struct("line", "first", "depth"), "line").alias("head")
+    folded = later.withColumn("run", run).groupBy("doc", "run").agg(head, F.max(F.col("line") + F.col("depth")).alias("end"))
+    runs = durable(folded.select("doc", "head.*", F.col("head.depth").alias("length"), "end"))
     # the places that are compared with: one for each run that starts alike, or fewer
     limit = frequent(runs.groupBy("first").agg(F.count(F.lit(1)).alias("n")))
     for d, level in reversed(levels[:-1]):
@@ -92,9 +111,10 @@ def _runs(levels: list[tuple[int, DataFrame]], min_lines: int) -> DataFrame | No
         there = level.select((F.col("doc") + F.col("line")).alias("place"), F.col("rank").alias("there"))
         wanted = runs.groupBy((F.col("first") + F.col("length")).alias("place")).agg(F.count(F.lit(1)).alias("n")).join(there, "place", "left")
         more = F.when((F.col("depth") > d) & (F.col("own") == F.col("there")), d).otherwise(0)
-        longer = attach(asked, wanted, ["place"], limit).select("doc", "line", "first", "depth", (F.col("length") + more).alias("length"))
+        longer = attach(asked, wanted, ["place"], limit).select("doc", "line", "first", "depth", (F.col("length") + more).alias("length"), "end")
         runs = durable(longer.coalesce(shuffle_partitions(longer)))  # the two ways of a join add up their partitions
-    return runs.select("doc", "line", "first", "length")
+    # beyond a suffix that was left behind inside a period the walk sees no ranks; what was folded reaches further
+    return runs.select("doc", "line", "first", F.greatest("length", (F.col("end") - F.col("line")).cast("int")).alias("length"))
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFrame, DataFrame]:
@@ -116,9 +136,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFram
     runs = _runs(_levels(lines, min_lines), min_lines)
     if runs is None:
         return owners, lines.where("false").select("doc", F.array("line").alias("gone"))
-    # the copy that stays may overlap the later one, in the same text only: its own lines are left alone
-    kept = F.when(F.col("first") >= F.col("doc"), F.greatest("line", (F.col("first") + F.col("length") - F.col("doc")).cast("int"))).otherwise(F.col("line"))
-    spans = runs.select("doc", kept.alias("from"), (F.col("line") + F.col("length") - 1).alias("to")).where(F.col("from") <= F.col("to"))
+    spans = runs.select("doc", F.col("line").alias("from"), (F.col("line") + F.col("length") - 1).alias("to"))
     return owners, spans.select("doc", F.explode(F.sequence("from", "to")).alias("gone")).groupBy("doc").agg(F.collect_set("gone").alias("gone"))
 
 
@@ -131,9 +149,9 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFram
     """``docs`` with two more columns, n_lines and n_removed, and without later copies in its text.
 
     Lines end at U+000A. A run of ``min_lines`` lines or more that already occurred in a document with a
-    smaller doc_id (null last), or further up in the same one, is deleted, but for lines of the copy that stays
-    where the two overlap; runs are judged on the input, and of nested intervals the deepest counts in which
-    an earlier copy is found. A text that is the whole of an earlier document is a run whatever its length.
+    smaller doc_id (null last), or further up in the same one and ended before the run begins, is deleted; runs are
+    judged on the input. Of a text of one line a hundred times ``min_lines`` stay, of a longer period the first
+    copies that make so many lines. A text that is the whole of an earlier document is a run whatever its length.
     Different texts with one doc_id are ordered by a hash of the text; rows that repeat doc_id and text are
     one document and come back alike. A null text stays null, with 0 lines; an empty one is a single empty
     line, which goes where an earlier document is empty too. Texts of any length are taken whole; a text is one

@@ -112,22 +112,14 @@ QUERIES["op13_whitening"] = op13_whitening
 QUERIES["pipeline"] = pipeline
 
 
-# Runs are found here by comparing texts line by line, at every place that repeats an earlier one.
+# A run of three lines or more that occurred before is the union of its windows of three lines.
 ORACLE["op2_lines"] = """
 WITH t AS (SELECT text, min(doc_id) AS owner, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL GROUP BY text
 ), w AS (
-  SELECT owner, d, s, sha256(array_to_string(lines[s : s + d - 1], chr(10))) AS h FROM (
-    SELECT owner, lines, d, unnest(range(1, len(lines) - d + 2)) AS s FROM t, (SELECT 3 * (1 << k) AS d FROM range(20) x(k)) WHERE d <= len(lines))
-), e AS (SELECT owner, s, d, min({'o': owner, 't': s}) OVER (PARTITION BY d, h) AS f FROM w
-), k AS (SELECT owner, s, arg_max(f, d) AS f FROM e WHERE f.o <> owner OR f.t <> s GROUP BY owner, s
-), r AS (
-  SELECT k.owner, k.s, k.f.o AS o, k.f.t AS t, a.lines AS x, b.lines AS y, least(len(a.lines) - k.s, len(b.lines) - k.f.t) + 1 AS most
-  FROM k JOIN t a ON a.owner = k.owner JOIN t b ON b.owner = k.f.o
-), m AS (
-  SELECT owner, s, o, t, coalesce(list_position(list_transform(range(0, most), lambda i: x[s + i] <> y[t + i]), true) - 1, most) AS n FROM r
+  SELECT owner, s, sha256(array_to_string(lines[s : s + 2], chr(10))) AS h FROM (SELECT owner, lines, unnest(range(1, len(lines) - 1)) AS s FROM t)
+), e AS (SELECT owner, s, min({'o': owner, 't': s}) OVER (PARTITION BY h) AS f FROM w
 ), gone AS (
-  SELECT owner, list(DISTINCT p) AS gone FROM (
-    SELECT owner, unnest(range(CASE WHEN o = owner THEN greatest(s, t + n) ELSE s END, s + n)) AS p FROM m) GROUP BY owner)
+  SELECT owner, list(DISTINCT p) AS gone FROM (SELECT owner, unnest(range(s, s + 3)) AS p FROM e WHERE f.o <> owner OR s - f.t >= 3) GROUP BY owner)
 SELECT d.doc_id, coalesce(len(t.lines), 0)::BIGINT AS n_lines,
   CASE WHEN d.doc_id <> t.owner THEN len(t.lines) ELSE coalesce(len(gone), 0) END::BIGINT AS n_removed,
   sha256(CASE WHEN d.doc_id <> t.owner THEN '' WHEN gone IS NULL THEN d.text

@@ -16,13 +16,6 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, row string, owner int")
 
 
-def shared(x, y):
-    n = 0
-    while n < min(len(x), len(y)) and x[n] == y[n]:
-        n += 1
-    return n
-
-
 def slow(spark, table, least):
     """Counter of (doc_id, text, n_lines, n_removed)."""
     h = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for _, t in table], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
@@ -31,16 +24,12 @@ def slow(spark, table, least):
         if t is not None and (t not in owner or owner[t] is None or (i is not None and i < owner[t])):
             owner[t] = i
     texts = [t.split("\n") for t in sorted(owner, key=lambda t: (owner[t] is None, owner[t] or 0, h[t]))]
-    depths = [least << k for k in range(12)]
-    suffixes = [(d, s) for d, lines in enumerate(texts) for s in range(len(lines))]
-    gone = {}
-    for d, s in suffixes:
-        length = {(e, t): shared(texts[d][s:], texts[e][t:]) for e, t in suffixes if (e, t) < (d, s)}
-        deepest = max([k for k in depths if any(n >= k for n in length.values())], default=None)
-        if deepest:
-            e, t = min(p for p, n in length.items() if n >= deepest)
-            n = length[e, t]
-            gone.setdefault("\n".join(texts[d]), set()).update(k for k in range(s, s + n) if e != d or k >= t + n)
+    first, gone = {}, {}
+    for d, lines in enumerate(texts):
+        for s in range(len(lines) - least + 1):
+            e, t = first.setdefault(tuple(lines[s : s + least]), (d, s))
+            if e != d or s - t >= least:
+                gone.setdefault("\n".join(lines), set()).update(range(s, s + least))
     out = Counter()
     for i, t in table:
         if t is None:
@@ -71,10 +60,22 @@ def test_hot_keys_take_the_other_way(spark, docs, monkeypatch):
     assert found(linededup.drop_repeated_lines(table)) == slow(spark, rows, 3)
 
 
-def test_a_later_copy_leaves_the_overlapping_one_whole(spark):
-    rows = [(1, "A\nA\nA\nA\nA\nB"), (2, "0\n1\n2\n1\n2\n1\n2\n1\n2\n1\n3"), (3, "short\npair"), (4, "short\npair"), (5, ""), (6, "")]
+def test_of_a_period_the_first_copies_stay(spark):
+    rows = [(1, "A\nA\nA\nA\nA\nB"), (2, "0\n1\n2\n1\n2\n1\n2\n1\n2\n1\n3"), (3, "short\npair"), (4, "short\npair"), (5, ""), (6, ""), (7, "\n".join("x" * 100)), (8, "\n".join("abc" * 40))]
+    rows += [(9, "\n".join(["q", *"defghijk" * 30, "r"])), (10, "\n".join("uv" * 3 + "w" * 7 + "uv" * 4))]
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: ("A\nA\nA\nB", 2), 2: ("0\n1\n2\n1\n2\n1\n3", 4), 3: ("short\npair", 0), 4: ("", 2), 5: ("", 0), 6: ("", 1)}
+    lines = lambda x: "\n".join(x)
+    want = {1: (lines("AAAAAB"), 0), 2: (lines("012123"), 5), 3: ("short\npair", 0), 4: ("", 2), 5: ("", 0), 6: ("", 1), 7: (lines("xxx"), 97), 8: (lines("abc"), 117)}
+    assert got == want | {9: (lines("qdefghijkr"), 232), 10: (lines("uvuvuvwww"), 12)}
+
+
+def test_random_texts_of_few_lines(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 5))) for _ in range(40)]
+    rows = [(i, "\n".join(w * rng.randint(1, 9) + rng.choice(words) * rng.randint(0, 4) + rng.choice(words))) for i, w in enumerate(words)]
+    rows += [(100 + i, "\n".join("".join(rng.choices(words, k=4)) + str(i) + rng.choice(rows)[1].replace("\n", ""))) for i in range(30)]
+    for least in (1, 2, 3, 5):
+        assert found(linededup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), least)) == slow(spark, rows, least)
 
 
 def test_repeated_rows_empty_tables_and_names(spark, docs):
