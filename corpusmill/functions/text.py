@@ -119,12 +119,17 @@ def lemma_of(word: str, lemmas: frozenset[str]) -> str:
     return min((f for f in forms if f in lemmas), key=len, default=word)
 
 
+def by_word(change: Callable[[str], str]) -> Step:
+    """A step that changes each word of white-space tokens by itself."""
+    return _by_text(lambda x: " ".join(change(w) for w in x.split()))
+
+
 def lemmatize(c: Column, lemmas: Iterable[str]) -> Column:
     """Noun lemmas by rule, accepted only if ``lemmas`` lists the result; an empty list raises, as nothing would change."""
     known = frozenset(lemmas)
     if not known:
         raise ValueError("noun lemmas need a list of accepted forms")
-    return _by_text(lambda x: " ".join(lemma_of(w, known) for w in x.split()))(c)
+    return by_word(lambda w: lemma_of(w, known))(c)
 
 
 def identity(c: Column) -> Column:
@@ -141,9 +146,18 @@ STEPS: dict[str, Step] = {
     "remove_hashtags": remove_hashtags,
     "remove_symbols": remove_symbols,
     "stopword_removal": remove_stopwords,
-    "noun_lemmatization": lambda c: lemmatize(c, ()),
     "model_native_subword_tokenization": identity,
 }
+#: A step that needs a list or a corpus: see ``with_lemmas`` and ``clean.preprocess``.
+LEMMAS = "noun_lemmatization"
+
+
+def with_lemmas(lemmas: Iterable[str], steps: dict[str, Step] | None = None) -> dict[str, Step]:
+    """The registry of all ten steps, with nouns reduced to what ``lemmas`` lists."""
+    listed = list(lemmas)
+    return {**(STEPS if steps is None else steps), LEMMAS: lambda c: lemmatize(c, listed)}
+
+
 CLASSICAL = ["unicode_nfc", "lowercase", "remove_urls", "remove_html", "remove_mentions", "remove_hashtags", "remove_symbols", "stopword_removal", "noun_lemmatization"]
 NEURAL = ["unicode_nfc", "remove_urls", "remove_html", "model_native_subword_tokenization"]
 CLASSICAL_ONLY = {"stopword_removal", "noun_lemmatization"}
@@ -157,8 +171,9 @@ def apply_steps(c: Column, names: Sequence[str], steps: dict[str, Step] | None =
     return collapse(reduce(lambda text, n: steps[n](text), names, F.coalesce(c, F.lit(""))))
 
 
-def clean_classical(c: Column) -> Column:
-    return apply_steps(c, CLASSICAL)
+def clean_classical(c: Column, lemmas: Iterable[str]) -> Column:
+    """The classical track with a list of accepted noun forms; ``clean.preprocess`` learns them from the corpus instead."""
+    return apply_steps(c, CLASSICAL, with_lemmas(lemmas))
 
 
 def clean_neural(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.functions import hashing
+from corpusmill.functions import hashing, morphology
 from corpusmill.functions import text as T
 from corpusmill.functions.numbering import long_bucket, positions
 from corpusmill.operators import clean, dedup, inference, labels, metrics, profile, results, splits, training, windows
@@ -94,35 +94,61 @@ def clean_stopwords(spark, d):
     return table(spark, d, "documents").select("doc_id", hashing.sha256(T.remove_stopwords(cleaned, STOPS)).alias("kept"))
 
 
-# Nouns: endings and what replaces them, in the order of the Python list; a lexicon of the table's own words.
+# Nouns: endings and what replaces them, in the order of the Python list.
 ENDINGS_SQL = ", ".join(f"('{end}', '{new}')" for end, new in T.NOUN_ENDINGS)
+IRREGULAR_SQL = ", ".join(f"('{form}', '{base}')" for form, base in morphology.IRREGULAR.items())
+
+
+def lemmas_sql(rows: str) -> str:
+    """CTEs up to lem (word, lemma) of English ``rows`` (key, text, en): a form's neighbours take fewer bits coded by its base's."""
+    words = sql_tokens(sql_marks(sql_unescape(sql_tags(sql_urls("lower(nfc_normalize(coalesce(text, '')))")))))
+    return f"""r AS ({rows}), w AS (SELECT key, en, {words} AS ws FROM r), v AS (SELECT ['^'] || ws || ['$'] AS v FROM w WHERE en
+), two AS (SELECT a, b, count(*) AS n FROM (SELECT unnest(v[:-2]) AS a, unnest(v[2:]) AS b FROM v) GROUP BY ALL
+), cnt AS (SELECT b AS word, sum(n) AS n FROM two WHERE b <> '$' GROUP BY b
+), total AS (SELECT sum(n) AS total FROM two
+), forms AS (SELECT DISTINCT word, n, left(word, length(word) - length(e)) || c AS base FROM cnt, (VALUES {ENDINGS_SQL}) x(e, c) WHERE ends_with(word, e) AND NOT (e = 's' AND regexp_matches(word, '[siu]s$'))
+), asked AS (SELECT forms.word, base, cnt.n AS n_base FROM forms JOIN cnt ON cnt.word = base WHERE length(base) >= 3 AND base <> forms.word AND cnt.n * 20 >= forms.n
+), each AS (SELECT 0 AS s, b AS w, a AS x, n FROM two UNION ALL SELECT 1, a, b, n FROM two
+), often AS (SELECT s, x, sum(n) AS nx FROM each GROUP BY ALL
+), kinds AS (SELECT s, x, nx, total, CASE WHEN nx * 1000 >= total OR length(x) <= 3 THEN x ELSE '-' || right(x, 2) END AS kind FROM often, total
+), share AS (SELECT s, kind, sum(nx) / any_value(total) AS p FROM kinds GROUP BY ALL
+), beside AS (SELECT each.s, w, kind, sum(n) AS n FROM each JOIN kinds ON each.s = kinds.s AND each.x = kinds.x GROUP BY ALL
+), bits AS (
+  SELECT word, base, k.s, sum(k.n * log2(0.5 * coalesce(o.n, 0) / (n_base * p) + 0.5)) AS bits, sum(k.n) AS n FROM asked JOIN beside k ON k.w = word
+  LEFT JOIN beside o ON o.s = k.s AND o.w = base AND o.kind = k.kind JOIN share ON share.s = k.s AND share.kind = k.kind GROUP BY ALL
+), saved AS (SELECT word, base, sum(bits) AS gain FROM bits GROUP BY ALL HAVING sum(bits) > 0 AND min(bits / n) > -0.25
+), lem AS (
+  SELECT word, base AS lemma FROM saved WHERE word NOT IN (SELECT f FROM (VALUES {IRREGULAR_SQL}) i(f, b))
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY gain DESC, length(base)) = 1 UNION ALL SELECT f, b FROM (VALUES {IRREGULAR_SQL}) i(f, b))"""
 
 
 def tracks_sql(rows: str) -> str:
-    """(key, version, text_sha) of both tracks for ``rows`` (key, text)."""
-    classical = sql_tokens(sql_marks(sql_unescape(sql_tags(sql_urls("lower(nfc_normalize(coalesce(text, '')))")))))
+    """(key, version, text_sha) of both tracks for ``rows`` (key, text, en)."""
     stops = ", ".join(f"'{w.replace(chr(39), chr(39) * 2)}'" for w in T.ENGLISH_STOPWORDS)
     neural = sql_collapse(sql_unescape(sql_tags(sql_urls("nfc_normalize(coalesce(text, ''))"))))
-    return f"""WITH r AS ({rows}), w AS (SELECT key, list_filter({classical}, lambda t: t NOT IN ({stops})) AS ws FROM r
-), each AS (SELECT unnest(ws) AS t FROM w), lex AS (SELECT t FROM each WHERE length(t) >= 3 GROUP BY t ORDER BY count(*) DESC, t LIMIT 50000
-), forms AS (SELECT DISTINCT t, t AS f FROM each UNION SELECT t, t[:-len(e) - 1] || n FROM (SELECT DISTINCT t FROM each), (VALUES {ENDINGS_SQL}) v(e, n) WHERE ends_with(t, e) AND t <> 's'
-), best AS (SELECT forms.t, arg_min(f, length(f) * 2 + (f <> forms.t)::INTEGER) AS lemma FROM forms JOIN lex ON f = lex.t GROUP BY forms.t
-), m AS (SELECT map(list(t), list(lemma)) AS m FROM best WHERE t <> lemma)
-SELECT key, 'vCLEAN-C' AS version, sha256(array_to_string(list_transform(ws, lambda t: coalesce(m[t], t)), ' ')) AS text_sha FROM w, m
+    return f"""WITH {lemmas_sql(rows)}, m AS (SELECT map(list(word), list(lemma)) AS m FROM lem
+), k AS (SELECT key, en, list_filter(ws, lambda t: t NOT IN ({stops})) AS ws FROM w)
+SELECT key, 'vCLEAN-C' AS version, sha256(array_to_string(list_transform(ws, lambda t: CASE WHEN en THEN coalesce(m[t], t) ELSE t END), ' ')) AS text_sha FROM k, m
 UNION ALL SELECT key, 'vCLEAN-N', sha256({neural}) FROM r"""
 
 
-def tracks(df):
-    return clean.both_tracks(df).select("key", "version", hashing.sha256(F.col("text")).alias("text_sha"))
+def tracks(df, language=None):
+    return clean.both_tracks(df, language=language).select("key", "version", hashing.sha256(F.col("text")).alias("text_sha"))
 
 
-@query(tracks_sql("SELECT doc_id AS key, text FROM documents"))
+@query(tracks_sql("SELECT doc_id AS key, text, coalesce(lower(lang) = 'en', true) AS en FROM documents"))
 def clean_both_tracks(spark, d):
-    """Both full tracks: NFC, entities, stop words and noun lemmas included."""
-    return tracks(table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"))
+    """Both full tracks: NFC, entities, stop words, and noun lemmas of English rows."""
+    return tracks(table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text", "lang"), "lang")
 
 
-@query(tracks_sql("SELECT page_id AS key, html AS text FROM pages"))
+@query(f"WITH {lemmas_sql('SELECT doc_id AS key, text, true AS en FROM documents')} SELECT word, base AS lemma, round(gain, 6) AS gain FROM saved QUALIFY row_number() OVER (PARTITION BY word ORDER BY gain DESC, length(base)) = 1")
+def clean_noun_lemmas(spark, d):
+    """Words of all documents that are used as the word is that their ending points to."""
+    return clean.corpus_lemmas(table(spark, d, "documents").select("text")).select("word", "lemma", F.round("gain", 6).alias("gain"))
+
+
+@query(tracks_sql("SELECT page_id AS key, html AS text, true AS en FROM pages"))
 def clean_page_tracks(spark, d):
     """Both full tracks of raw pages, which have tags, entities and urls."""
     return tracks(table(spark, d, "pages").select(F.col("page_id").alias("key"), F.col("html").alias("text")))
