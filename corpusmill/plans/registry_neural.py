@@ -1,4 +1,4 @@
-"""Registered queries of encoders on the labelled documents; their training cannot be written in SQL."""
+"""Registered queries of encoders and attacks on the labelled documents; training cannot be written in SQL."""
 
 from __future__ import annotations
 
@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.functions.lineage import cut, scratch
-from corpusmill.operators import encoder, finetune, splits
+from corpusmill.operators import attacks, encoder, finetune, metrics, ml, splits
 from corpusmill.plans import experiment
 from corpusmill.plans.inputs import with_label
 from corpusmill.plans.registered import query
+from corpusmill.plans.registry import STRATIFIED_SQL
 from corpusmill.schema import SequenceParams
 
 PARAMS = SequenceParams(window_tokens=64, stride_tokens=48)
@@ -49,3 +50,39 @@ def model_encoder_trained(spark, d):
     folder = f"{scratch(spark)}/encoder-{uuid.uuid4().hex}"
     _, predicted = experiment.run_encoder_cell(bundle(spark, d), "ENC", SEED, folder, subwords(), PARAMS)
     return predicted.select("row_pos", "y_true", "y_pred", "y_prob")
+
+
+# --- attacks on a linear model (K6) -------------------------------------------------------------------------
+
+
+def attacked_tests(spark: SparkSession, d: str) -> DataFrame:
+    """(row_pos, y_true, clean_pred, attacked_pred, similarity, n_edits): test documents as they are and attacked.
+
+    The model is logistic regression on TF-IDF with the best C of its grid; both predictions are the model's own.
+    """
+    rows = bundle(spark, d)
+    train = rows.where("part = 'train'")
+    features = ml.fit_tfidf(train)
+    vectors = cut(ml.vectorize(features, rows).select("row_pos", "part", "label", "features"))
+    part = lambda p: vectors.where(F.col("part") == p).select("row_pos", "label", "features")
+    model, _ = ml.train_classical(part("train"), part("val"), "LR", SEED)
+    victim = attacks.prepared(attacks.Victim.of(features, model), train.select("text"))
+    test = rows.where("part = 'test'")
+    out = cut(attacks.attacked(test.select("row_pos", "text"), victim))
+    again = ml.vectorize(features, out.join(test.select("row_pos", "label"), "row_pos").select("row_pos", "label", F.col("attacked").alias("text")))
+    after = ml.predict(model, again).select("row_pos", F.col("y_pred").alias("attacked_pred"))
+    before = ml.predict(model, part("test")).select("row_pos", F.col("label").alias("y_true"), F.col("y_pred").alias("clean_pred"))
+    return before.join(after, "row_pos").join(out.select("row_pos", "similarity", "n_edits"), "row_pos")
+
+
+@query(f"{STRATIFIED_SQL} SELECT row_pos, true AS similar FROM split WHERE part = 'test'")
+def attack_similarity(spark, d):
+    """Every test document, and that its attacked version is as similar as is asked."""
+    return attacked_tests(spark, d).select("row_pos", (F.col("similarity") >= attacks.MIN_SIMILARITY).alias("similar"))
+
+
+@query()
+def attack_robustness(spark, d):
+    """Accuracy before and under attack, success rate, and similarity of the successes."""
+    rows = attacked_tests(spark, d).withColumn("model_id", F.lit("LR"))
+    return metrics.robustness_metrics(rows, ["model_id"])
