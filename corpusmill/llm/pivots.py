@@ -33,7 +33,8 @@ from corpusmill.llm.vectors import matrix, usable
 THRESHOLD = 0.98
 PIVOTS, PIVOTS_AT, MOST_PIVOTS = 128, 100_000, 4096
 NEAREST = 6
-SHARED = 4
+#: Of so many pivots on fewer shared ones are asked for: lists are as short then, and near vectors still meet.
+SHARED, SHARED_OF_MANY, MANY_PIVOTS = 4, 3, 256
 BLOCK = 1024
 
 
@@ -41,6 +42,15 @@ def pivot_count(n: int) -> int:
     return min(MOST_PIVOTS, max(PIVOTS, round(PIVOTS * (n / PIVOTS_AT) ** 0.25)))
 
 
+def shared_count(pivots: int) -> int:
+    """How many of their nearest pivots two vectors must share.
+
+    More pivots lie closer together, so two near vectors agree on fewer of them; but sets of three out of 257 or more
+    are about as many as sets of four out of 128.
+    """
+    return SHARED if pivots <= MANY_PIVOTS else SHARED_OF_MANY
+
+
 def choose_pivots(vectors: DataFrame, count: int = PIVOTS) -> list[np.ndarray]:
     """At most ``count`` unit vectors, spread by hash (an action that reads at most ``count`` rows back)."""
     picked = vectors.select("fold", "v").orderBy(F.xxhash64("fold"), "fold").limit(count).collect()
@@ -137,11 +147,12 @@ def _verify(threshold: float, shared: int, block: int):
     return run
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, nearest: int = NEAREST, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, nearest: int = NEAREST, shared: int | None = None, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``embeddings`` (vec_id, embedding, label).
 
     Vectors of equal, non-null label link if their cosine, in double precision, is at least ``threshold``
-    and they share ``shared`` of their ``nearest`` pivots (recall is measured in the tests). Vectors that are null,
+    and they share ``shared`` of their ``nearest`` pivots, by default as ``shared_count`` says (recall at the
+    threshold is measured in the tests, for every number of pivots). Vectors that are null,
     empty, zero or hold null or non-finite components, and those without a label, link with nothing, and
     vectors of different length never link. Repeated rows are separate vectors with one id: each counts as
     a link of the other. A null vec_id takes part but is never the smallest id of a component. Vectors of any
@@ -157,6 +168,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, nearest
     folds = good.groupBy("fold", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("v").alias("v"))
     folds = durable(folds)
     pivots = choose_pivots(folds, pivot_count(folds.count()))
+    shared = shared_count(len(pivots)) if shared is None else shared
     described = durable(folds.select("fold", "label", "v").mapInArrow(_permutations(pivots, nearest), "fold long, label long, dim int, near array<int>"))
     width = min(nearest, len(pivots))
     packed = []

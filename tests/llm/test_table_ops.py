@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from corpusmill.llm import graph, pivots, quality, queries, substring, topk, urlrules
@@ -119,6 +120,21 @@ def test_recall_of_64_dimensions(spark):
     assert links.sum() > 10_000 and 0.9 * links.sum() <= found <= links.sum()
 
 
+@pytest.mark.parametrize("count", [128, 256, 257, 512, 1024, 2048, 4096])
+def test_recall_at_the_threshold_for_every_number_of_pivots(count):
+    """Pairs of cosine 0.98 exactly, in 64 random dimensions, by the index's own nearest pivots."""
+    rng = np.random.default_rng(count)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = unit(rng.standard_normal((1500, 64))), rng.standard_normal((1500, 64))
+    b = unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    rows = pa.array([*a.tolist(), *(0.98 * a + np.sqrt(1 - 0.98**2) * b).tolist()])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([0] * 3000), rows], ["fold", "label", "v"])
+    made = next(pivots._permutations(list(unit(rng.standard_normal((count, 64)))), pivots.NEAREST)(iter([batch])))
+    near = [set(x) for x in made["near"].to_pylist()]
+    met = [len(near[i] & near[i + 1500]) >= pivots.shared_count(count) for i in range(1500)]
+    assert np.mean(met) > 0.92
+
+
 def test_embeddings_of_odd_and_long_vectors(spark):
     long = [float(i % 13 - 6) for i in range(20_000)]
     rows = [(1, long, 0, "x"), (2, [v * 2 for v in long], 0, "x"), (3, [1.0, 0.0], 0, "x"), (4, [1.0, 0.01], 0, "x"), (5, [1e300, 0.0], 0, "x"), (6, [1.0, 0.0], None, "x"), (6, [1.0, 0.0], None, "x")]
