@@ -147,9 +147,13 @@ def applicability(dataset_id: str, df: DataFrame, entry: dict) -> list[dict]:
 def stratified_resample(df: DataFrame, seed: int, label: str = "label") -> DataFrame:
     """A bootstrap sample with the same class sizes: as many draws with replacement as each class has rows.
 
-    Draw j of a class picks the row whose place in it is a hash of (seed, label, j) modulo its size.
+    Draw j of a class picks the row whose place in it, by hash of row_pos, is the 60-bit number that begins
+    SHA-256 of seed:label:j, modulo the size of the class: a generator of counters, without state, that any
+    engine can replay.
     """
     rows = positions(df.withColumn("__h", F.sha2(F.col("row_pos").cast("string"), 256)), ["__h", "row_pos"], hex_bucket("__h"), [label], "__k")
     size = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    draws = rows.join(size, label).select(F.col(label), F.pmod(F.xxhash64(F.lit(seed), F.col(label), F.col("__k")), F.col("__n")).alias("__k"))
+    counter = F.concat_ws(":", F.lit(str(seed)), F.col(label).cast("string"), F.col("__k").cast("string"))
+    drawn = F.conv(F.substring(F.sha2(counter, 256), 1, 15), 16, 10).cast("long")
+    draws = rows.join(size, label).select(F.col(label), F.pmod(drawn, F.col("__n")).alias("__k"))
     return draws.join(rows, [label, "__k"]).drop("__k", "__h").select(df.columns)

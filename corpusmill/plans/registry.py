@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import hashing, morphology
 from corpusmill.functions import text as T
+from corpusmill.functions.lineage import cut
 from corpusmill.functions.numbering import long_bucket, positions
 from corpusmill.operators import clean, dedup, inference, labels, metrics, profile, results, splits, training, windows
 from corpusmill.plans.inputs import PREDICTIONS_SQL, labelled, predictions, table, with_label
@@ -177,9 +178,33 @@ def text_surface_features(spark, d):
     return out.withColumn("n_chars", F.col("n_chars").cast("long"))
 
 
-@query()
+def tree_sql() -> str:
+    """CTEs up to root (n, digest) of the hash tree of documents."""
+    part = lambda c: f"CASE WHEN {c} IS NULL THEN 'N' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    row = " || ".join(part(c) for c in ("doc_id", "lang", "n_chars", "source", "text"))
+    pieces = " || '|' || ".join(f"sum(('0x' || substr(h, {1 + 15 * k}, 15))::BIGINT)::VARCHAR" for k in range(4))
+    out = f"""WITH l AS (SELECT doc_id >> {hashing.RANGE_BITS} AS node, sha256({row}) AS h FROM documents
+), l0 AS (SELECT node, count(*) AS n, sha256(count(*) || '|' || {pieces}) AS digest FROM l GROUP BY node"""
+    for k in range(1, hashing.LEVELS):
+        above = "node - node" if k == hashing.LEVELS - 1 else f"node >> {hashing.RANGE_BITS}"
+        out += f"\n), l{k} AS (SELECT {above} AS node, sum(n) AS n, sha256(string_agg(node || ':' || digest, '|' ORDER BY node)) AS digest FROM l{k - 1} GROUP BY {above}"
+    return out + ")"
+
+
+@query(f"{tree_sql()} SELECT n::BIGINT AS n, digest FROM l{hashing.LEVELS - 1}")
 def hash_table(spark, d):
-    return hashing.table_hash(table(spark, d, "documents"), "doc_id")
+    """The root of the hash tree of all documents."""
+    return hashing.hash_tree(table(spark, d, "documents"), "doc_id").where(F.col("level") == hashing.LEVELS - 1).select("n", "digest")
+
+
+@query(f"""SELECT doc_id >> {hashing.RANGE_BITS} << {hashing.RANGE_BITS} AS low, (doc_id >> {hashing.RANGE_BITS} << {hashing.RANGE_BITS}) + {(1 << hashing.RANGE_BITS) - 1} AS high,
+  count(*) AS n_left, count_if(doc_id % 1501 <> 7)::BIGINT AS n_right FROM documents GROUP BY ALL HAVING count_if(doc_id % 1501 = 7 OR (doc_id % 2003 = 11 AND upper(text) <> text)) > 0""")
+def hash_difference(spark, d):
+    """Ranges of documents in which a copy with changed and missing rows differs, found from the two hash trees."""
+    docs = table(spark, d, "documents")
+    changed = F.when(F.col("doc_id") % 2003 == 11, F.upper("text")).otherwise(F.col("text"))
+    other = docs.where(F.col("doc_id") % 1501 != 7).withColumn("text", changed)
+    return hashing.differing_ranges(*(cut(hashing.hash_tree(t, "doc_id")) for t in (docs, other)))
 
 
 # --- exact and near duplicates (D1, D2, E5, E13, I1-I8) ---------------------------
@@ -343,8 +368,10 @@ def split_partition_check(spark, d):
     return splits.partition_check(splits.all_regimes(df, [13, 42], "source"), n)
 
 
-@query()
+@query(f"""WITH r AS (SELECT row_pos, label, row_number() OVER (PARTITION BY label ORDER BY sha256(row_pos::VARCHAR), row_pos) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM ({LABELLED_SQL})),
+d AS (SELECT label, ('0x' || substr(sha256('13:' || label || ':' || k), 1, 15))::BIGINT % n AS k FROM r) SELECT r.row_pos, r.label FROM d JOIN r USING (label, k)""")
 def split_resample(spark, d):
+    """A bootstrap sample of each class, drawn by a generator of counters that SQL can replay."""
     return splits.stratified_resample(with_label(spark, d).select("row_pos", "label"), 13)
 
 
