@@ -5,6 +5,7 @@ Row data is reduced to counts by grouped aggregation; what follows works on a fe
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
@@ -47,21 +48,52 @@ def macro_f1_of_counts(c: np.ndarray) -> np.ndarray:
     return np.divide(total, k, out=np.full_like(total, np.nan), where=k > 0)
 
 
-def bootstrap_cells(cells: np.ndarray, resamples: int, stratified: bool, ci: float, seed: int) -> dict[str, float]:
+def uniforms(stream: str, draws: int) -> np.ndarray:
+    """Numbers in (0, 1): the 60 bits that begin SHA-256 of stream:draw. Any engine can replay them."""
+    bits = [int(hashlib.sha256(f"{stream}:{k}".encode()).hexdigest()[:15], 16) for k in range(draws)]
+    return (np.array(bits, dtype=np.float64) + 0.5) / 2.0**60
+
+
+def binomial_draws(n: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
+    """For each draw the smallest x whose binomial(n, p) distribution function reaches u.
+
+    Only x within twelve standard deviations of the mean can be drawn; the largest of them takes what is beyond.
+    """
+    if p <= 0 or p >= 1:
+        return np.zeros_like(n) if p <= 0 else n.copy()
+    out = np.zeros_like(n)
+    logs = np.r_[0.0, np.cumsum(np.log(np.arange(1, n.max(initial=0) + 1)))]
+    for m in np.unique(n).tolist():
+        reach = math.ceil(12 * math.sqrt(m * p * (1 - p)) + 5)
+        x = np.arange(max(0, math.floor(m * p) - reach), min(m, math.floor(m * p) + reach) + 1)
+        cdf = np.cumsum(np.exp(logs[m] - logs[x] - logs[m - x] + x * math.log(p) + (m - x) * math.log1p(-p)))
+        own = n == m
+        out[own] = x[np.minimum(np.searchsorted(cdf, u[own]), len(x) - 1)]
+    return out
+
+
+def multinomial_draws(cells: np.ndarray, stream: str, draws: int) -> np.ndarray:
+    """Draws of as many rows as the cells hold, by their shares: a binomial for each cell out of what the ones before left."""
+    out, left, rest = np.zeros((draws, len(cells)), dtype=np.int64), np.full(draws, cells.sum()), int(cells.sum())
+    for j, c in enumerate(cells.tolist()):
+        last = j == len(cells) - 1
+        out[:, j] = left if last else binomial_draws(left, c / rest if rest else 0.0, uniforms(f"{stream}:{j}", draws))
+        left, rest = left - out[:, j], rest - c
+    return out
+
+
+def bootstrap_cells(cells: np.ndarray, resamples: int, stratified: bool, ci: float, stream: str) -> dict[str, float]:
     """Paired bootstrap of macro F1(a) - macro F1(b) from counts [y, a, b].
 
     Drawing rows with replacement only moves the counts of the joint cells, which are multinomial, so a
-    resample costs one draw whatever the number of rows. Stratified: one multinomial for each class.
+    resample costs one draw whatever the number of rows. Stratified: one multinomial for each class. The numbers
+    behind the draws are those of ``uniforms`` for the stream, class and cell.
     """
-    rng, cells = np.random.default_rng(seed), cells.astype(np.int64)
+    cells = cells.astype(np.int64)
     if stratified:
-        drawn = np.zeros((resamples, 2, 2, 2), dtype=np.int64)
-        for y in (0, 1):
-            if n := int(cells[y].sum()):
-                drawn[:, y] = rng.multinomial(n, (cells[y] / n).ravel(), resamples).reshape(-1, 2, 2)
+        drawn = np.stack([multinomial_draws(cells[y].ravel(), f"{stream}:{y}", resamples).reshape(-1, 2, 2) for y in (0, 1)], axis=1)
     else:
-        n = int(cells.sum())
-        drawn = rng.multinomial(n, (cells / max(n, 1)).ravel(), resamples).reshape(-1, 2, 2, 2)
+        drawn = multinomial_draws(cells.ravel(), stream, resamples).reshape(-1, 2, 2, 2)
     diff = macro_f1_of_counts(drawn.sum(-1).astype(float)) - macro_f1_of_counts(drawn.sum(-2).astype(float))
     seen = macro_f1_of_counts(cells.sum(-1).astype(float)) - macro_f1_of_counts(cells.sum(-2).astype(float))
     low, high = np.quantile(diff, [(1 - ci) / 2, (1 + ci) / 2])
@@ -70,7 +102,10 @@ def bootstrap_cells(cells: np.ndarray, resamples: int, stratified: bool, ci: flo
 
 
 def paired_bootstrap(df: DataFrame, by: Sequence[str], resamples: int = RESAMPLES, stratified: bool = True, ci: float = CI, seed: int = 13) -> DataFrame:
-    """Per group of (y_true, pred_a, pred_b) rows: observed and mean difference, percentile interval, two-sided p."""
+    """Per group of (y_true, pred_a, pred_b) rows: observed and mean difference, percentile interval, two-sided p.
+
+    A group's stream of random numbers is named by the seed and its keys, joined by colons.
+    """
     cells = paired_cells(df, by)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*by).schema)
 
@@ -78,7 +113,7 @@ def paired_bootstrap(df: DataFrame, by: Sequence[str], resamples: int = RESAMPLE
         c = np.zeros((2, 2, 2))
         for y, a, b, n in zip(rows["y"], rows["a"], rows["b"], rows["n"]):
             c[int(y), int(a), int(b)] = n
-        return pd.DataFrame([dict(zip(by, key)) | {"n": int(c.sum())} | bootstrap_cells(c, resamples, stratified, ci, seed)])
+        return pd.DataFrame([dict(zip(by, key)) | {"n": int(c.sum())} | bootstrap_cells(c, resamples, stratified, ci, ":".join(map(str, (seed, *key))))])
 
     return cells.groupBy(*by).applyInPandas(run, f"{fields}, n long, observed_diff double, mean_diff double, ci_low double, ci_high double, p_value double")
 

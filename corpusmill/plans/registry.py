@@ -588,9 +588,59 @@ def inference_nemenyi(spark, d):
     return out.select("a", "b", F.round("rank_a", 9).alias("rank_a"), F.round("rank_b", 9).alias("rank_b"), F.round("p_value", 5).alias("p_value"))
 
 
-@query()
+def bootstrap_sql(keys: list[str], joined: str, draws: int = inference.RESAMPLES) -> str:
+    """CTEs up to boot (keys, n, observed_diff, mean_diff, ci_low, ci_high, p_value) of ``joined`` (keys, y_true, pa, pb).
+
+    Draw by draw: a binomial for each cell of a class out of what the cells before left, by its distribution function.
+    """
+    k = ", ".join(keys)
+    stream = " || ':' || ".join(["'13'", *keys, "y"])
+    f1 = lambda p, q: " + ".join(f"coalesce(2.0 * {c} / nullif({c} * 2 + {w}, 0), 0)" for c, w in ((p[0], f"{p[1]} + {q[0]}"), (q[1], f"{q[0]} + {p[1]}")))
+    classes = lambda p, q: " + ".join(f"({c} * 2 + {w} > 0)::INT" for c, w in ((p[0], f"{p[1]} + {q[0]}"), (q[1], f"{q[0]} + {p[1]}")))
+    # counts of truth y and prediction, for a and for b, from cells x<y><a><b>
+    a = [["x000 + x001", "x010 + x011"], ["x100 + x101", "x110 + x111"]]
+    b = [["x000 + x010", "x001 + x011"], ["x100 + x110", "x101 + x111"]]
+    score = lambda t: f"({f1([f'({v})' for v in t[0]], [f'({v})' for v in t[1]])}) / nullif({classes([f'({v})' for v in t[0]], [f'({v})' for v in t[1]])}, 0)"
+    out = f"""c AS (SELECT {k}, y, list(coalesce(n, 0) ORDER BY i) AS c FROM (SELECT DISTINCT {k} FROM {joined}) g CROSS JOIN range(2) a(y) CROSS JOIN range(4) b(i)
+  LEFT JOIN (SELECT {k}, y_true AS y, pa * 2 + pb AS i, count(*) AS n FROM {joined} GROUP BY ALL) m USING ({k}, y, i) GROUP BY ALL
+), d0 AS (SELECT {k}, y, draw, c, list_sum(c)::BIGINT AS m, list_sum(c)::BIGINT AS rest, []::BIGINT[] AS xs FROM c, range({draws}) r(draw)"""
+    for j in range(3):
+        out += f"""
+), u{j} AS (SELECT *, CASE WHEN rest > 0 THEN c[{j + 1}] / rest ELSE 0 END AS p, (('0x' || substr(sha256({stream} || ':{j}:' || draw), 1, 15))::BIGINT::DOUBLE + 0.5) / power(2.0, 60) AS u FROM d{j}
+), s{j} AS (SELECT {k}, y, m, p, floor(m * p)::BIGINT AS mid, ceil(12 * sqrt(m * p * (1 - p)) + 5)::BIGINT AS reach FROM u{j} WHERE p > 0 AND p < 1 GROUP BY ALL
+), f{j} AS (SELECT {k}, y, m, x, CASE WHEN x = least(m, mid + reach) THEN 2.0 ELSE sum(exp(lgamma(m + 1) - lgamma(x + 1) - lgamma(m - x + 1) + x * ln(p) + (m - x) * ln(1 - p))) OVER (PARTITION BY {k}, y, m ORDER BY x) END AS cdf
+  FROM (SELECT *, unnest(range(greatest(0, mid - reach), least(m, mid + reach) + 1)) AS x FROM s{j})
+), d{j + 1} AS (SELECT {k}, y, draw, c, m - x AS m, rest - c[{j + 1}] AS rest, list_append(xs, x) AS xs FROM (
+  SELECT u{j}.*, CASE WHEN p <= 0 THEN 0 WHEN p >= 1 THEN u{j}.m ELSE f{j}.x END AS x FROM u{j} ASOF LEFT JOIN f{j} ON {" AND ".join(f"u{j}.{c} = f{j}.{c}" for c in (*keys, "y", "m"))} AND u{j}.u <= f{j}.cdf)"""
+    cells = ", ".join(f"max(CASE WHEN y = {y} THEN xs[{i + 1}] END) AS x{y}{i // 2}{i % 2}" for y in (0, 1) for i in range(4))
+    seen = cells.replace("xs[", "c[")
+    return out + f"""
+), whole AS (SELECT {k}, y, draw, list_append(xs, m) AS xs FROM d3
+), diffs AS (SELECT {k}, {score(a)} - {score(b)} AS diff FROM (SELECT {k}, draw, {cells} FROM whole GROUP BY ALL)
+), obs AS (SELECT {k}, x000 + x001 + x010 + x011 + x100 + x101 + x110 + x111 AS n, {score(a)} - {score(b)} AS observed_diff FROM (SELECT {k}, {seen} FROM c GROUP BY ALL)
+), boot AS (SELECT {k}, any_value(n)::BIGINT AS n, any_value(observed_diff) AS observed_diff, avg(diff) AS mean_diff, quantile_cont(diff, 0.025) AS ci_low, quantile_cont(diff, 0.975) AS ci_high,
+  least(1.0, 2 * least(avg((diff <= 0)::INT), avg((diff >= 0)::INT))) AS p_value FROM diffs JOIN obs USING ({k}) GROUP BY {k})"""
+
+
+BOOT_SQL = "n, round(observed_diff, 9) AS observed_diff, round(mean_diff, 9) AS mean_diff, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, round(p_value, 9) AS p_value"
+
+
+def rounded_boot(df, keys):
+    return df.select(*keys, "n", *[F.round(c, 9).alias(c) for c in ("observed_diff", "mean_diff", "ci_low", "ci_high", "p_value")])
+
+
+@query(f"{PAIRED_SQL}, {bootstrap_sql(['seed'], 'j')} SELECT seed, {BOOT_SQL} FROM boot")
 def inference_bootstrap(spark, d):
-    return inference.paired_bootstrap(paired(spark, d), ["seed"])
+    return rounded_boot(inference.paired_bootstrap(paired(spark, d), ["seed"]), ["seed"])
+
+
+@query(f"{PAIRED_SQL.replace('SELECT a.seed', 'SELECT a.model_id AS a_id, b.model_id AS b_id, a.seed')}, {bootstrap_sql(['a_id', 'b_id'], 'j')} SELECT a_id, b_id, {BOOT_SQL} FROM boot")
+def inference_pairwise_bootstrap(spark, d):
+    """The pairwise driver's bootstrap over the rows of all seeds."""
+    p = predictions(spark, d)
+    scores = metrics.core_metrics(p, ["model_id", "seed"]).select("model_id", "seed", F.col("macro_f1").alias("value"))
+    out = inference.pairwise_comparisons(p, spark.createDataFrame([("M1", 0), ("M2", 1)], "model_id string, ord int"), scores)
+    return rounded_boot(out, ["a_id", "b_id"])
 
 
 @query()

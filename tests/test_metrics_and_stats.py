@@ -121,7 +121,7 @@ def test_bootstrap_equals_resampling_of_rows():
     a, b = np.where(rng.random(300) < 0.8, y, 1 - y), np.where(rng.random(300) < 0.7, y, 1 - y)
     cells = np.zeros((2, 2, 2))
     np.add.at(cells, (y, a, b), 1)
-    got = inference.bootstrap_cells(cells, 4000, True, 0.95, 3)
+    got = inference.bootstrap_cells(cells, 4000, True, 0.95, "3")
     counts = lambda p, pick: np.array([[((y[pick] == i) & (p[pick] == j)).sum() for j in (0, 1)] for i in (0, 1)], dtype=float)
     drawn = []
     for _ in range(4000):
