@@ -226,3 +226,15 @@ def test_selection_and_resume(spark):
     cells = results.sweep_cells(spark, ["A", "B", "D"], [1, 2])
     assert sorted(map(tuple, results.missing_cells(cells, df).collect())) == [("D", 1), ("D", 2)]
     assert results.is_complete(cells.where("model_id <> 'D'"), df) and not results.is_complete(cells, df)
+
+
+def test_draws_by_inverse_transform():
+    u = inference.uniforms("13:x", 20_000)
+    assert u.min() > 0 and u.max() < 1 and abs(u.mean() - 0.5) < 0.01 and (u == inference.uniforms("13:x", 20_000)).all()
+    for n, p in ((1, 0.5), (40, 0.1), (900, 0.97), (12_000, 0.3)):
+        x = inference.binomial_draws(np.full(20_000, n), p, u)
+        assert abs(x.mean() - n * p) < 5 * np.sqrt(n * p * (1 - p) / 20_000) and abs(x.var() / (n * p * (1 - p)) - 1) < 0.06 and 0 <= x.min() <= x.max() <= n
+    assert inference.binomial_draws(np.array([7, 0]), 0.0, u[:2]).tolist() == [0, 0] and inference.binomial_draws(np.array([7, 0]), 1.0, u[:2]).tolist() == [7, 0]
+    drawn = inference.multinomial_draws(np.array([10, 0, 30, 60]), "13:y", 5_000)
+    assert (drawn.sum(axis=1) == 100).all() and not drawn[:, 1].any() and np.allclose(drawn.mean(axis=0), [10, 0, 30, 60], atol=0.5)
+    assert not inference.multinomial_draws(np.zeros(4, dtype=int), "13:z", 3).any()
