@@ -86,3 +86,27 @@ def attack_robustness(spark, d):
     """Accuracy before and under attack, success rate, and similarity of the successes."""
     rows = attacked_tests(spark, d).withColumn("model_id", F.lit("LR"))
     return metrics.robustness_metrics(rows, ["model_id"])
+
+
+# --- estimators on the documents themselves (M1-M6, G3) -------------------------------------------------------
+
+
+def tested(spark: SparkSession, d: str, model_id: str) -> DataFrame:
+    """Predictions of the test documents by the best model of the estimator's whole grid, chosen on the validation part."""
+    rows = bundle(spark, d)
+    vectors = cut(ml.vectorize(ml.fit_tfidf(rows.where("part = 'train'")), rows).select("row_pos", "part", "label", "features"))
+    part = lambda p: vectors.where(F.col("part") == p).select("row_pos", "label", "features")
+    fitted, _ = ml.train_classical(part("train"), part("val"), model_id, SEED)
+    return ml.predict(fitted, part("test")).withColumnRenamed("label", "y_true")
+
+
+@query()
+def model_boosting_documents(spark, d):
+    """Leaf-wise histogram boosting on TF-IDF, 200 and 500 rounds, 31 and 63 leaves, rates 0.05 and 0.1."""
+    return tested(spark, d, "HGB")
+
+
+@query()
+def model_logistic_documents(spark, d):
+    """Logistic regression on TF-IDF, every C of the grid."""
+    return tested(spark, d, "LR")
