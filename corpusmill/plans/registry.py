@@ -296,13 +296,13 @@ def dedup_overlap_report(spark, d):
     return dedup.overlap_report("EVEN", "ODD", test, dedup.across_dropped(df.where("NOT odd").drop("odd"), test), "halves")
 
 
-DATASETS = [("DS1", "transfer", "W"), ("DS2", "transfer", "W"), ("DS3", "transfer", "F"), ("DS4", "probe", "C")]
-
-
-@query("""WITH d(id, role, src) AS (VALUES ('DS1', 'transfer', 'W'), ('DS2', 'transfer', 'W'), ('DS3', 'transfer', 'F'), ('DS4', 'probe', 'C'))
+@query("""WITH d AS (SELECT source AS id, CASE WHEN ends_with(source, '9') THEN 'probe' ELSE 'transfer' END AS role, max(lang) AS src FROM documents WHERE source IS NOT NULL GROUP BY source)
 SELECT a.id AS train_id, b.id AS test_id, CASE WHEN a.src = b.src THEN 'same source family' ELSE '' END AS note FROM d a JOIN d b ON a.id <> b.id WHERE a.role = 'transfer'""")
 def dedup_transfer_pairs(spark, d):
-    return dedup.transfer_pairs(spark.createDataFrame(DATASETS, "dataset_id string, role string, source string"))
+    """Sources of documents as corpora, some of them probes; those with one last language count as a family."""
+    role = F.when(F.col("source").endswith("9"), "probe").otherwise("transfer")
+    known = table(spark, d, "documents").where("source IS NOT NULL").groupBy(F.col("source").alias("dataset_id")).agg(F.first(role).alias("role"), F.max("lang").alias("source"))
+    return dedup.transfer_pairs(known)
 
 
 @query("SELECT doc_id AS pre_dedup_index, row_number() OVER (ORDER BY doc_id) - 1 AS row_pos FROM (SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1)")
@@ -715,9 +715,11 @@ def training_class_weights(spark, d):
     return training.class_weights(table(spark, d, "labels").select(F.col("quality").alias("label"))).select("label", "n", F.round("weight", 9).alias("weight"))
 
 
-@query("""SELECT s AS step, round(CASE WHEN s < 60 THEN s / 60.0 ELSE greatest(0.0, 0.5 * (1 + cos(pi() * least(1.0, (s - 60) / 940.0)))) END, 9) AS factor FROM range(1000) t(s)""")
+@query("""WITH f AS (SELECT count(*) AS total, floor(count(*) * 0.06::DOUBLE)::BIGINT AS w FROM labels)
+SELECT s AS step, round(CASE WHEN s < w THEN s / greatest(1, w)::DOUBLE ELSE greatest(0.0, 0.5 * (1 + cos(pi() * least(1.0, (s - w) / greatest(1, total - w)::DOUBLE)))) END, 9) AS factor FROM (SELECT *, unnest(range(total)) AS s FROM f)""")
 def training_schedule(spark, d):
-    return training.schedule(spark, 1000).select("step", F.round("factor", 9).alias("factor"))
+    """The factor of every step of an epoch that takes the labelled documents one by one."""
+    return training.schedule(spark, table(spark, d, "labels").count()).select("step", F.round("factor", 9).alias("factor"))
 
 
 @query("""WITH r AS (SELECT o_orderkey % 50 AS run_id, (o_orderkey // 50)::INTEGER AS epoch, o_totalprice AS score FROM orders),

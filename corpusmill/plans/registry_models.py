@@ -40,11 +40,14 @@ def model_features(spark, d):
     return vectors.select("row_pos", F.size(real).cast("long").alias("n"), F.round(F.array_max("x"), 9).alias("largest"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 9).alias("total"))
 
 
-@query("SELECT row_number() OVER (ORDER BY i, j) - 1 AS place, a, b FROM (VALUES (0, 0.01::DOUBLE), (1, 0.1::DOUBLE), (2, 1.0::DOUBLE)) x(i, a), (VALUES (0, 'u'), (1, 'v')) y(j, b)")
+@query("""WITH s AS (SELECT DISTINCT source AS a FROM documents WHERE source IS NOT NULL), l AS (SELECT DISTINCT lang AS b FROM documents WHERE lang IS NOT NULL)
+SELECT row_number() OVER (ORDER BY a, b) - 1 AS place, a, b FROM s, l""")
 def model_grid(spark, d):
-    """Every combination, the last key changing fastest."""
-    rows = ml.expand_grid({"a": [0.01, 0.1, 1.0], "b": ["u", "v"]})
-    return spark.createDataFrame([(k, r["a"], r["b"]) for k, r in enumerate(rows)], "place long, a double, b string")
+    """Every combination of what two columns hold, the last key changing fastest."""
+    docs = table(spark, d, "documents")
+    seen = lambda c: sorted(r[0] for r in docs.where(F.col(c).isNotNull()).select(c).distinct().collect())  # noqa: E731  a few sources and languages
+    rows = ml.expand_grid({"a": seen("source"), "b": seen("lang")})
+    return spark.createDataFrame([(k, r["a"], r["b"]) for k, r in enumerate(rows)], "place long, a string, b string")
 
 
 # --- estimators and grid search (M1-M6, G3, K2) ---------------------------------------------------
@@ -147,8 +150,8 @@ def lineage_parts(spark, d):
 @query("""SELECT 'none' AS part, 0::BIGINT AS n, 0::BIGINT AS n_fake, 0::BIGINT AS n_real, NULL::DOUBLE AS fake_ratio, NULL::DOUBLE AS mean_chars, NULL::DOUBLE AS median_chars,
   NULL::DOUBLE AS mean_words, NULL::DOUBLE AS median_words""")
 def profile_empty_part(spark, d):
-    """A part without rows: no counts, no statistics."""
-    df = labelled(spark, d).where("false").withColumn("label", F.lit(None).cast("int"))
+    """A part that no document is in: no counts, no statistics."""
+    df = labelled(spark, d).where("length(lang) > 10").withColumn("label", F.lit(None).cast("int"))
     return profile.profile(df, []).withColumn("part", F.lit("none"))
 
 
@@ -184,14 +187,15 @@ def results_complete(spark, d):
     return spark.createDataFrame([(whole, more)], "whole boolean, more boolean")
 
 
-@query("SELECT * FROM (VALUES ('smote', true), ('class_weight', false), ('use_smote_off', false)) v(setting, refused)")
+@query("""SELECT p_partkey, lower(p_type) LIKE '%brushed%' AND p_size % 2 = 1 AS refused FROM part""")
 def training_guard(spark, d):
-    """Oversampling is refused wherever it is named and set."""
+    """Settings made of parts, one of whose words names oversampling: refused where it is named and set."""
     rows = []
-    for setting, value in (("smote", True), ("class_weight", "balanced"), ("use_smote_off", False)):
+    for r in table(spark, d, "part").select("p_partkey", "p_type", "p_size").toLocalIterator():
+        setting = r["p_type"].lower().replace("brushed", "use_smote").replace(" ", "_")
         try:
-            training.assert_no_smote({setting: value})
-            rows.append((setting, False))
+            training.assert_no_smote({setting: r["p_size"] % 2})
+            rows.append((r["p_partkey"], False))
         except ValueError:
-            rows.append((setting, True))
-    return spark.createDataFrame(rows, "setting string, refused boolean")
+            rows.append((r["p_partkey"], True))
+    return spark.createDataFrame(rows, "p_partkey long, refused boolean")

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import hashing
-from corpusmill.functions.lineage import scratch
+from corpusmill.functions.lineage import cut, scratch
 from corpusmill.operators import labels, results, splits
-from corpusmill.plans.inputs import PREDICTIONS_SQL, predictions, table, with_label
+from corpusmill.plans import experiment
+from corpusmill.plans.inputs import PREDICTIONS_SQL, labelled, predictions, table, with_label
 from corpusmill.plans.registered import S, query
-from corpusmill.plans.registry import STRATIFIED_SQL
+from corpusmill.plans.registry import FIRST_SQL, GREEDY_SQL, STRATIFIED_SQL, near_sql
 from corpusmill.sources import corpora, snapshots, tables
 
 
@@ -279,3 +280,38 @@ def hash_json(spark, d):
     """The hash of a value's canonical JSON."""
     value = {r["r_name"]: r["r_regionkey"] for r in table(spark, d, "region").collect()}  # five regions
     return spark.createDataFrame([(hashing.sha256_json(json.loads(json.dumps(value))),)], "digest string")
+
+
+# --- stages and the sweep (I7, Q3, Q6, Q7) ---------------------------------------------------------
+
+
+@query(f"""{near_sql(FIRST_SQL, 0.95)}{GREEDY_SQL}, n0 AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM rows) AS k, (SELECT count(*) FROM dropped) AS g)
+SELECT 'DOC' AS dataset_id, n AS n_before, n - k AS n_exact_removed, g AS n_near_removed, k - g AS n_kept, round(100 * (n - k + g) / n, 4) AS pct_removed, k - g AS n_written,
+  (SELECT sum(pos)::BIGINT FROM rows WHERE pos NOT IN (SELECT row_pos FROM dropped)) AS places FROM n0""")
+def stage_dedup(spark, d):
+    """The dedup stage from a written version of all documents: its report, and what it has written."""
+    root = folder(spark)
+    tables.write_version(labelled(spark, d).withColumn("version", F.lit("vCLEAN-C")), root)
+    config = experiment.PipelineConfig.load({"datasets": [{"dataset_id": "DOC", "entry": {}}]})
+    report = cut(experiment.dedup_stage(spark, config, root))
+    kept = tables.read_version(spark, root, "DOC", "vDEDUP").agg(F.count(F.lit(1)).alias("n_written"), F.sum("pre_dedup_index").alias("places"))
+    return report.crossJoin(kept)  # one row each
+
+
+@query(f"""{STRATIFIED_SQL}, tests AS (SELECT count(*) AS n FROM split WHERE part = 'test')
+SELECT model_id, seed, n AS n_predictions, 'ok' AS outcome, 0::BIGINT AS n_again FROM tests, (VALUES ('LR', 13)) m(model_id, seed)""")
+def sweep_cells(spark, d):
+    """A sweep of logistic regression over its grid on the documents: cells run, their predictions and records; a second call runs none."""
+    root = folder(spark)
+    rows = with_label(spark, d)
+    bundle = cut(rows.join(splits.stratified(rows, 13, "row_pos").select("row_pos", "part"), "row_pos").select("row_pos", "part", "text", "label"))
+    cell = dict(experiment_id="EXP-1", dataset_id="DOC", train_version="vRAW", test_version="vRAW", split_regime="S-RAND")
+    run = experiment.start_run(spark, cell | {"model_id": "LR", "seed": 13}, hashing.sha256_json(cell))
+    paths = (f"{root}/results", f"{root}/predictions")
+    done = experiment.run_sweep(spark, {13: bundle}, ["LR"], *paths, cell)
+    experiment.finish_run(spark, run, f"{root}/runs")
+    again = experiment.run_sweep(spark, {13: bundle}, ["LR"], *paths, cell)
+    counts = tables.read_predictions(spark, f"{root}/predictions", ["LR"]).groupBy("model_id", "seed").agg(F.count(F.lit(1)).alias("n_predictions"))
+    cells = spark.createDataFrame(done, "model_id string, seed int").join(counts, ["model_id", "seed"])
+    record = spark.read.parquet(f"{root}/runs").select(F.col("cell")["model_id"].alias("model_id"), "outcome")
+    return cells.join(record, "model_id").select("model_id", "seed", "n_predictions", "outcome", F.lit(len(again)).cast("long").alias("n_again"))
