@@ -9,22 +9,23 @@ from dataclasses import replace
 from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.lineage import scratch
+from corpusmill.functions.lineage import cut, scratch
 from corpusmill.functions.vectors import ngrams
-from corpusmill.operators import boosting
+from corpusmill.operators import boosting, linear
 from corpusmill.operators.metrics import core_metrics
 from corpusmill.operators.training import assert_no_smote, class_weights
 from corpusmill.schema import ClassicalResult
 
 MODELS = ["LR", "SVM", "RF", "GBT", "HGB"]
 MAX_FEATURES, MIN_DF = 20_000, 5
+PASSES = {"LR": 1000, "SVM": 5000}
 # Spark caps tree depth at 30, so an unlimited depth reads as 30; GBT is Spark's, HGB grows leaf by leaf on histograms.
 GRIDS: dict[str, dict[str, list]] = {
     "LR": {"C": [0.01, 0.1, 1.0, 10.0]},
@@ -56,11 +57,7 @@ def vectorize(model: PipelineModel, df: DataFrame, text: str = "text") -> DataFr
     return model.transform(df.withColumn("terms", ngrams(F.coalesce(F.col(text), F.lit(""))))).drop("terms", "tf", "weighted")
 
 
-def estimator(model_id: str, params: dict, n: int, seed: int):
-    if model_id == "LR":
-        return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=params.get("maxIter", 1000), regParam=1 / (params["C"] * n))
-    if model_id == "SVM":
-        return LinearSVC(featuresCol="features", labelCol="label", weightCol="weight", maxIter=params.get("maxIter", 5000), regParam=1 / (params["C"] * n))
+def estimator(model_id: str, params: dict, seed: int):
     if model_id == "RF":
         return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", seed=seed, **params)
     if model_id == "GBT":
@@ -73,22 +70,33 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(weights), "label")  # a row for each class
 
 
-def fit_platt(train: DataFrame, make: Callable, folds: int = 3) -> tuple:
-    """A margin model on all rows and a one-dimensional logistic map fitted on out-of-fold margins."""
-    part = train.withColumn("__fold", F.pmod(F.xxhash64("row_pos"), F.lit(folds)))
-    margins = None
-    for k in range(folds):
-        got = make().fit(part.where(F.col("__fold") != k)).transform(part.where(F.col("__fold") == k))
-        got = got.select("label", "weight", F.element_at(vector_to_array("rawPrediction"), 2).alias("margin"))
-        margins = got if margins is None else margins.unionByName(got)
-    features = margins.withColumn("features", array_to_vector(F.array("margin")))
-    platt = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(features)
-    return make().fit(train), float(platt.coefficients[0]), float(platt.intercept)
+def class_weight_of(rows: DataFrame) -> dict[int, float]:
+    return {r["label"]: r["weight"] for r in rows.select("label", "weight").distinct().collect()}  # a row for each class
+
+
+def fit_linear(rows: DataFrame, grid: dict[str, Sequence], model_id: str, folds: int = 3) -> Callable[[dict], linear.Linear]:
+    """The linear model of each combination, all fitted in the same passes.
+
+    An SVM gets probabilities from a one-dimensional logistic map of margins out of ``folds`` folds, whose models are
+    fitted along.
+    """
+    cs, passes = list(grid["C"]), max(grid.get("maxIter", [PASSES[model_id]]))
+    platt = folds if model_id == "SVM" else 0
+    ws, _, _ = linear.fit(rows, "logistic" if model_id == "LR" else "squared hinge", cs, class_weight_of(rows), platt, passes)
+    maps = [(1.0, 0.0)] * len(cs)
+    if platt:
+        held = F.pmod(F.xxhash64("row_pos"), F.lit(folds)).cast("int")
+        out = cut(linear.margins(rows, ws, ("row_pos", "label", "weight")))
+        for k in range(len(cs)):
+            one = out.select("label", "weight", array_to_vector(F.array(F.element_at("margins", len(cs) + k * folds + held + 1))).alias("features"))
+            fitted = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(one)
+            maps[k] = (float(fitted.coefficients[0]), float(fitted.intercept))
+    return lambda params: linear.Linear(ws[k := cs.index(params["C"])][:-1], float(ws[k][-1]), *maps[k])
 
 
 def fit_boosted(rows: DataFrame, grid: dict[str, Sequence]) -> Callable[[dict], boosting.Boosted]:
     """The boosted model of each combination: what differs in rounds only is grown once, to the most of them."""
-    weights = {r["label"]: r["weight"] for r in rows.select("label", "weight").distinct().collect()}  # a row for each class
+    weights = class_weight_of(rows)
     folder, most, made = f"{scratch(rows.sparkSession)}/boosting-{uuid.uuid4().hex}", max(grid["rounds"]), {}
 
     def of(params: dict) -> boosting.Boosted:
@@ -105,13 +113,10 @@ def predict(fitted, df: DataFrame, keep: Sequence[str] = ("row_pos", "label")) -
     """(keep, y_pred, y_prob): probability of class 1 and the class at one half."""
     if isinstance(fitted, boosting.Boosted):
         return boosting.predict(fitted, df).select(*keep, "y_pred", "y_prob")
-    if isinstance(fitted, tuple):
-        model, slope, intercept = fitted
-        margin = F.element_at(vector_to_array("rawPrediction"), 2)
-        prob: Column = 1 / (1 + F.exp(-(margin * slope + intercept)))
-    else:
-        model, prob = fitted, F.element_at(vector_to_array("probability"), 2)
-    return model.transform(df).select(*keep, prob.alias("y_prob")).withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int")).select(*keep, "y_pred", "y_prob")
+    if isinstance(fitted, linear.Linear):
+        return linear.predict(fitted, df, keep)
+    prob = F.element_at(vector_to_array("probability"), 2)
+    return fitted.transform(df).select(*keep, prob.alias("y_prob")).withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int")).select(*keep, "y_pred", "y_prob")
 
 
 def macro_f1(predictions: DataFrame) -> float:
@@ -126,12 +131,11 @@ def train_classical(train: DataFrame, val: DataFrame, model_id: str, seed: int =
     """
     assert_no_smote(settings or {})
     rows = balanced(train)
-    n, best, trials = train.count(), None, []
+    best, trials = None, []
     grid = grid or GRIDS[model_id]
-    grown = fit_boosted(rows, grid) if model_id == "HGB" else None
+    made = fit_linear(rows, grid, model_id) if model_id in ("LR", "SVM") else fit_boosted(rows, grid) if model_id == "HGB" else None
     for params in expand_grid(grid):
-        make = lambda p=params: estimator(model_id, p, n, seed)
-        fitted = grown(params) if grown else fit_platt(rows, make) if model_id == "SVM" else make().fit(rows)
+        fitted = made(params) if made else estimator(model_id, params, seed).fit(rows)
         score = macro_f1(predict(fitted, val))
         trials.append({"params": params, "val_macro_f1": score})
         if best is None or score > best[1]:

@@ -110,3 +110,15 @@ def model_boosting_documents(spark, d):
 def model_logistic_documents(spark, d):
     """Logistic regression on TF-IDF, every C of the grid."""
     return tested(spark, d, "LR")
+
+
+@query()
+def model_svm_documents(spark, d):
+    """Linear SVM on TF-IDF, every C of the grid, with probabilities from margins out of three folds."""
+    return tested(spark, d, "SVM")
+
+
+@query()
+def model_forest_documents(spark, d):
+    """Random forests on TF-IDF, 200 and 500 trees of depth 30."""
+    return tested(spark, d, "RF")
