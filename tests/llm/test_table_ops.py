@@ -339,5 +339,5 @@ def test_pipeline_takes_odd_tables(spark):
 
 
 def test_registered_queries():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {"pipeline", *(f"op{k}" for k in range(1, 11))}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {"pipeline", *(f"op{k}" for k in range(1, 14))}
     assert set(queries.ORACLE) <= set(queries.QUERIES)
