@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.lineage import cut
-from corpusmill.functions.numbering import running_total
+from corpusmill.functions.numbering import long_bucket, positions, running_total
 
 ECE_BINS = 15
 NOT_PROBABILISTIC = {"llm_zero_shot"}
@@ -159,3 +159,29 @@ def pareto(df: DataFrame, cost: str, value: str) -> DataFrame:
     seen = placed.withColumn("__inside", inside).join(F.broadcast(tops), "__part").withColumn("__best", F.greatest("__inside", "__ahead"))
     edge = seen.where(F.col("__best").isNull() | (F.col("__value") > F.col("__best"))).select("__cost", "__value")
     return df.join(edge, (F.col(cost) == F.col("__cost")) & (F.col(value) == F.col("__value")), "left_semi")
+
+
+def length_buckets(df: DataFrame, length: str, k: int = 4, key: str = "row_pos") -> DataFrame:
+    """``df`` with ``bucket``, 0 to k - 1: parts of equal size by rank of an integer ``length``, ties by ``key``.
+
+    Rows without a length have no bucket. Ranks come from ranges of lengths, so no task sees all rows.
+    """
+    known = positions(df.where(F.col(length).isNotNull()), [length, key], long_bucket(length), name="__place")
+    n = known.agg(F.count(F.lit(1)).alias("__n"))
+    bucket = F.least(F.floor(F.col("__place") * k / F.col("__n")), F.lit(k - 1)).cast("int")
+    out = known.crossJoin(F.broadcast(n)).withColumn("bucket", bucket).drop("__place", "__n")  # one row
+    return out.unionByName(df.where(F.col(length).isNull()).withColumn("bucket", F.lit(None).cast("int")))
+
+
+def error_taxonomy(df: DataFrame, by: Sequence[str], sure: float = 0.9) -> DataFrame:
+    """(by, kind, confident, n, share) of (y_true, y_pred, y_prob): what kinds of outcome there are, and how sure.
+
+    Kinds are hit, correct rejection, false alarm and miss; confident is whether the predicted class has
+    probability ``sure`` or more, null without a probability. Shares are of a group's rows.
+    """
+    right = F.col("y_pred") == F.col("y_true")
+    kind = F.when(F.col("y_pred") == 1, F.when(right, "hit").otherwise("false alarm")).otherwise(F.when(right, "correct rejection").otherwise("miss"))
+    p = F.when(F.col("y_pred") == 1, F.col("y_prob")).otherwise(1 - F.col("y_prob"))
+    counts = df.groupBy(*by, kind.alias("kind"), (p >= sure).alias("confident")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*by))  # at most twelve rows a group
+    return counts.withColumn("share", F.col("n") / total)

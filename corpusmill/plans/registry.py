@@ -494,6 +494,40 @@ def metrics_pareto(spark, d):
     return metrics.pareto(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), "p_size", "p_retailprice")
 
 
+SHORTCUT_SQL = f"""SELECT row_pos, label AS y_true, length(text) AS n_chars, (c > 0.02)::INTEGER AS y_pred, CASE WHEN c > 0.02 THEN least(1.0, 0.5 + c * 5) ELSE 1 - c * 5 END AS p_pred
+  FROM (SELECT *, round(length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) / greatest(length(text), 1), 6) AS c FROM ({LABELLED_SQL}))"""
+
+
+def shortcut(spark, d):
+    """(row_pos, y_true, n_chars, y_pred, y_prob): labelled documents under a rule that looks at capital letters only."""
+    rows = with_label(spark, d)
+    c = F.col("capital_rate")
+    prob = F.when(c > 0.02, F.least(F.lit(1.0), 0.5 + c * 5)).otherwise(c * 5)
+    seen = profile.surface_features(rows).select("row_pos", F.col("n_chars").cast("long").alias("n_chars"), (c > 0.02).cast("int").alias("y_pred"), prob.alias("y_prob"))
+    return rows.select("row_pos", F.col("label").alias("y_true")).join(seen, "row_pos")
+
+
+BUCKETS_SQL = "SELECT *, least(floor((row_number() OVER (ORDER BY n_chars, row_pos) - 1) * 4 / count(*) OVER ()), 3)::INTEGER AS bucket FROM s"
+
+
+@query(f"""WITH s AS ({SHORTCUT_SQL}), b AS ({BUCKETS_SQL})
+SELECT bucket, count(*) AS n, min(n_chars) AS shortest, max(n_chars) AS longest, round(avg((y_pred = y_true)::INTEGER), 9) AS accuracy FROM b GROUP BY bucket""")
+def metrics_length_buckets(spark, d):
+    """Accuracy of a shortcut by quarters of length."""
+    rows = metrics.length_buckets(shortcut(spark, d), "n_chars")
+    right = (F.col("y_pred") == F.col("y_true")).cast("int")
+    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"), F.round(F.avg(right), 9).alias("accuracy"))
+
+
+@query(f"""WITH s AS ({SHORTCUT_SQL}), b AS ({BUCKETS_SQL}),
+k AS (SELECT bucket, CASE WHEN y_pred = 1 THEN CASE WHEN y_true = 1 THEN 'hit' ELSE 'false alarm' END ELSE CASE WHEN y_true = 0 THEN 'correct rejection' ELSE 'miss' END END AS kind, p_pred >= 0.9 AS confident FROM b)
+SELECT bucket, kind, confident, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY bucket), 9) AS share FROM k GROUP BY bucket, kind, confident""")
+def metrics_error_taxonomy(spark, d):
+    """Kinds of outcome of a shortcut by quarters of length, and how sure it was."""
+    rows = metrics.length_buckets(shortcut(spark, d), "n_chars")
+    return metrics.error_taxonomy(rows, ["bucket"]).withColumn("share", F.round("share", 9))
+
+
 # --- inference (L1-L8, F7, F8, D7, D10) ------------------------------------------------------
 # P(Z > z) by Simpson's rule: the tail of the chi-square with one degree of freedom is twice that at its root.
 NORMAL_TAIL_SQL = """(SELECT sum(w * exp(-z * z / 2)) * h / 3 / sqrt(2 * pi()) FROM (

@@ -238,3 +238,16 @@ def test_draws_by_inverse_transform():
     drawn = inference.multinomial_draws(np.array([10, 0, 30, 60]), "13:y", 5_000)
     assert (drawn.sum(axis=1) == 100).all() and not drawn[:, 1].any() and np.allclose(drawn.mean(axis=0), [10, 0, 30, 60], atol=0.5)
     assert not inference.multinomial_draws(np.zeros(4, dtype=int), "13:z", 3).any()
+
+
+def test_length_buckets_and_error_kinds(spark):
+    rows = [(i, n) for i, n in enumerate([5, 5, 5, 5, 1, 9, 40_000, None, 7, 20_000])]
+    got = {r["row_pos"]: r["bucket"] for r in metrics.length_buckets(spark.createDataFrame(rows, "row_pos long, n long"), "n", 3).collect()}
+    assert got == {4: 0, 0: 0, 1: 0, 2: 1, 3: 1, 8: 1, 5: 2, 9: 2, 6: 2, 7: None}
+    assert metrics.length_buckets(spark.createDataFrame([], "row_pos long, n long"), "n").count() == 0
+    seen = [("m", 1, 1, 0.95), ("m", 1, 0, 0.3), ("m", 0, 1, 0.6), ("m", 0, 0, 0.05), ("m", 0, 0, None), (None, 1, 1, 0.9)]
+    out = metrics.error_taxonomy(spark.createDataFrame(seen, "model string, y_true int, y_pred int, y_prob double"), ["model"]).collect()
+    assert {(r["model"], r["kind"], r["confident"]): (r["n"], r["share"]) for r in out} == {
+        ("m", "hit", True): (1, 0.2), ("m", "miss", False): (1, 0.2), ("m", "false alarm", False): (1, 0.2), ("m", "correct rejection", True): (1, 0.2),
+        ("m", "correct rejection", None): (1, 0.2), (None, "hit", True): (1, 1.0),
+    }
