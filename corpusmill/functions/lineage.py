@@ -29,12 +29,18 @@ def cut(df: DataFrame) -> DataFrame:
     that it replaces, a table has its own size: those of a chain of joins multiply round by round until the
     planner does nothing but arithmetic. The table stays until ``release`` or until the folder is emptied.
     """
-    path = f"{scratch(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = stored(df.sparkSession)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(spark: SparkSession) -> str:
+    """A path in the shared folder for a table that is written in several parts; ``release`` deletes it as those of ``cut``."""
+    path = f"{scratch(spark)}/cut-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def written() -> int:
     """How many tables ``cut`` has written so far: a mark for ``release``."""
     return len(_WRITTEN)

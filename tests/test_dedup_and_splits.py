@@ -54,6 +54,25 @@ def test_similar_pairs_equal_brute_force(spark, threshold):
     assert set(got) == want and all(abs(v - c[k]) < 1e-9 for k, v in got.items())
 
 
+@pytest.mark.parametrize("across", [False, True])
+def test_many_blocks_meet_without_a_shuffle_of_rows(spark, monkeypatch, across):
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", 4)
+    texts = variants(5)
+    c = slow_cosines(texts)
+    df = rows(spark, texts)
+    if across:
+        odd = F.col("row_pos") % 2 == 1
+        out = dedup.across_dropped(df.where(~odd), df.where(odd))
+        assert sorted(r["row_pos"] for r in out.collect()) == [j for j in range(1, len(texts), 2) if (c[j, ::2] >= 0.9).any()]
+    else:
+        out = dedup.similar_pairs(df, 0.9)
+        want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if c[i, j] >= 0.9}
+        found = [(r["a"], r["b"]) for r in out.collect()]
+        assert set(found) == want and len(found) == len(want)
+    plan = out._jdf.queryExecution().toString()
+    assert "InArrow" not in plan and "ranks" not in plan  # links are read where they were stored
+
+
 def test_greedy_lets_only_kept_rows_suppress(spark):
     edges = [(0, 1), (1, 2), (2, 3), (5, 6), (5, 7), (6, 8), (4, 8)]
     dropped, near = set(), {b: [a for a, x in edges if x == b] for _, b in edges}
