@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.lineage import cut
 from corpusmill.operators.metrics import ratio
 
 RESAMPLES, CI, Q = 10_000, 0.95, 0.05
@@ -26,11 +27,16 @@ def paired_cells(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def align(predictions: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a_id, b_id, seed, row_pos, y_true, pred_a, pred_b) for pairs (a_id, b_id), joined on keys; rows whose truths differ raise."""
-    side = lambda s: predictions.select(F.col("model_id").alias(f"{s}_id"), "seed", "row_pos", F.col("y_true").alias(f"y_{s}"), F.col("y_pred").alias(f"pred_{s}"))
-    both = pairs.join(side("a"), "a_id").join(side("b"), ["b_id", "seed", "row_pos"])
-    same = F.when(F.col("y_a") == F.col("y_b"), F.col("y_a")).otherwise(F.raise_error(F.lit("the models' truths differ")).cast("int"))
-    return both.select("a_id", "b_id", "seed", "row_pos", same.alias("y_true"), "pred_a", "pred_b")
+    """(a_id, b_id, seed, row_pos, y_true, pred_a, pred_b) for pairs (a_id, b_id), met on keys; rows whose truths differ raise.
+
+    All models of a key come together in one shuffle; ``pairs``, a handful, are sent to the tasks.
+    """
+    known = predictions.where(F.col("seed").isNotNull() & F.col("row_pos").isNotNull())
+    met = known.groupBy("seed", "row_pos").agg(F.collect_list(F.struct("model_id", "y_true", "y_pred")).alias("ms"))  # a row's models
+    each = met.select("seed", "row_pos", "ms", F.explode("ms").alias("a")).select("seed", "row_pos", "a", F.explode("ms").alias("b"))
+    both = each.select(F.col("a.model_id").alias("a_id"), F.col("b.model_id").alias("b_id"), "seed", "row_pos", "a", "b").join(F.broadcast(pairs), ["a_id", "b_id"])
+    same = F.when(F.col("a.y_true") == F.col("b.y_true"), F.col("a.y_true")).otherwise(F.raise_error(F.lit("the models' truths differ")).cast("int"))
+    return both.select("a_id", "b_id", "seed", "row_pos", same.alias("y_true"), F.col("a.y_pred").alias("pred_a"), F.col("b.y_pred").alias("pred_b"))
 
 
 def model_pairs(models: DataFrame) -> DataFrame:
@@ -54,21 +60,38 @@ def uniforms(stream: str, draws: int) -> np.ndarray:
     return (np.array(bits, dtype=np.float64) + 0.5) / 2.0**60
 
 
+def log_factorials(low: int, high: int) -> np.ndarray:
+    """Logarithms of the factorials from low to high: sums below 256, then Stirling's series (relative error about 1e-16)."""
+    n = np.arange(max(low, 256), high + 1, dtype=np.float64)
+    series = n * np.log(n) - n + 0.5 * np.log(2 * math.pi * n) + (1 / 12 - (1 / 360 - 1 / (1260 * n * n)) / (n * n)) / n
+    return np.r_[np.cumsum(np.r_[0.0, np.log(np.arange(1, 256))])[low : high + 1], series]
+
+
 def binomial_draws(n: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
     """For each draw the smallest x whose binomial(n, p) distribution function reaches u.
 
     Only x within twelve standard deviations of the mean can be drawn; the largest of them takes what is beyond.
+    Work and memory grow with the square root of n.
     """
     if p <= 0 or p >= 1:
         return np.zeros_like(n) if p <= 0 else n.copy()
     out = np.zeros_like(n)
-    logs = np.r_[0.0, np.cumsum(np.log(np.arange(1, n.max(initial=0) + 1)))]
-    for m in np.unique(n).tolist():
-        reach = math.ceil(12 * math.sqrt(m * p * (1 - p)) + 5)
-        x = np.arange(max(0, math.floor(m * p) - reach), min(m, math.floor(m * p) + reach) + 1)
-        cdf = np.cumsum(np.exp(logs[m] - logs[x] - logs[m - x] + x * math.log(p) + (m - x) * math.log1p(-p)))
-        own = n == m
-        out[own] = x[np.minimum(np.searchsorted(cdf, u[own]), len(x) - 1)]
+    order = np.argsort(n, kind="stable")
+    sizes, begin = np.unique(n[order], return_index=True)
+    mid = np.floor(sizes * p).astype(np.int64)
+    reach = np.ceil(12 * np.sqrt(sizes * p * (1 - p)) + 5).astype(np.int64)
+    low, high = np.maximum(0, mid - reach), np.minimum(sizes, mid + reach)
+    if not len(sizes):
+        return out
+    ours, theirs = int(low.min()), int((sizes - high).min())
+    took, left = log_factorials(ours, int(high.max())), log_factorials(theirs, int((sizes - low).max()))
+    took = took - np.arange(ours, ours + len(took)) * math.log(p)
+    left = (left - np.arange(theirs, theirs + len(left)) * math.log1p(-p))[::-1]
+    top = theirs + len(left) - 1
+    for m, lo, hi, own in zip(sizes.tolist(), low.tolist(), high.tolist(), np.split(order, begin[1:])):
+        rest = left[top - (m - lo) : top - (m - hi) + 1]  # of m - x, x from lo to hi
+        cdf = np.cumsum(np.exp(log_factorials(m, m)[0] - took[lo - ours : hi - ours + 1] - rest))
+        out[own] = lo + np.minimum(np.searchsorted(cdf, u[own]), hi - lo)
     return out
 
 
@@ -106,7 +129,11 @@ def paired_bootstrap(df: DataFrame, by: Sequence[str], resamples: int = RESAMPLE
 
     A group's stream of random numbers is named by the seed and its keys, joined by colons.
     """
-    cells = paired_cells(df, by)
+    return bootstrap_of(paired_cells(df, by), by, resamples, stratified, ci, seed)
+
+
+def bootstrap_of(cells: DataFrame, by: Sequence[str], resamples: int = RESAMPLES, stratified: bool = True, ci: float = CI, seed: int = 13) -> DataFrame:
+    """``paired_bootstrap`` of rows that ``paired_cells`` has counted."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*by).schema)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -124,8 +151,14 @@ def mcnemar(df: DataFrame, by: Sequence[str]) -> DataFrame:
     Fewer than 25 discordant rows: the two-sided binomial test, statistic min(b, c). Else the continuity-corrected
     chi-square with one degree of freedom, whose tail is erfc(sqrt(x / 2)).
     """
-    a, b = F.col("pred_a") == F.col("y_true"), F.col("pred_b") == F.col("y_true")
-    counts = df.groupBy(*by).agg(F.count_if(a & ~b).alias("n_b"), F.count_if(b & ~a).alias("n_c"))
+    return mcnemar_of(paired_cells(df, by), by)
+
+
+def mcnemar_of(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``mcnemar`` of rows that ``paired_cells`` has counted."""
+    a, b = F.col("a") == F.col("y"), F.col("b") == F.col("y")
+    counted = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
+    counts = cells.groupBy(*by).agg(counted(a & ~b).alias("n_b"), counted(b & ~a).alias("n_c"))
     n, k = F.col("n_b") + F.col("n_c"), F.least("n_b", "n_c")
     exact = n < EXACT_BELOW
     # sum of binomial coefficients up to k, by the ratio of neighbours
@@ -246,12 +279,13 @@ def pairwise_comparisons(predictions: DataFrame, models: DataFrame, seed_scores:
     """Bootstrap, McNemar and Cliff's delta of every pair of models over all their seeds, with the family's BH.
 
     ``predictions``: (model_id, seed, row_pos, y_true, y_pred); ``models``: (model_id, ord); ``seed_scores``: (model_id, seed, value).
+    An action counts the pairs' cells once.
     """
     pairs = model_pairs(models)
-    rows = align(predictions, pairs)
     by = ["a_id", "b_id"]
+    cells = cut(paired_cells(align(predictions, pairs), by))
     side = lambda s: pairs.join(seed_scores.withColumnRenamed("model_id", f"{s}_id"), f"{s}_id").select(*by, F.lit(s).alias("side"), "value")
     effect = cliffs_delta(side("a").unionByName(side("b")), by)
-    tested = mcnemar(rows, by).withColumnsRenamed({"p_value": "mcnemar_p", "statistic": "mcnemar_statistic", "exact": "mcnemar_exact"})
-    out = paired_bootstrap(rows, by, resamples).join(tested, by).join(effect, by)
+    tested = mcnemar_of(cells, by).withColumnsRenamed({"p_value": "mcnemar_p", "statistic": "mcnemar_statistic", "exact": "mcnemar_exact"})
+    out = bootstrap_of(cells, by, resamples).join(tested, by).join(effect, by)
     return bh_fdr(out, (), "p_value", q)

@@ -27,15 +27,12 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model_id, seed, row_pos, y_true, y_pred, y_prob) of two made-up models, a row per line item and model."""
     place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(place).alias("k"), (F.col("l_returnflag") == "R").cast("int").alias("y_true"))
-    out = None
-    for name, a, b in (("M1", 31, 17), ("M2", 7, 13)):
-        prob = ((F.col("l_orderkey") * a + F.col("l_linenumber") * b) % 1000) / 1000.0
-        one = li.select(
-            F.lit(name).alias("model_id"), (F.col("l_orderkey") % 5).cast("int").alias("seed"), (F.col("l_orderkey") * 1000 + F.col("k")).cast("long").alias("row_pos"),
-            "y_true", (prob >= 0.5).cast("int").alias("y_pred"), prob.alias("y_prob"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    models = F.array(*(F.struct(F.lit(name).alias("model_id"), (((F.col("l_orderkey") * a + F.col("l_linenumber") * b) % 1000) / 1000.0).alias("prob")) for name, a, b in (("M1", 31, 17), ("M2", 7, 13))))
+    each = li.select("*", F.explode(models).alias("m"))  # one window for both
+    return each.select(
+        "m.model_id", (F.col("l_orderkey") % 5).cast("int").alias("seed"), (F.col("l_orderkey") * 1000 + F.col("k")).cast("long").alias("row_pos"),
+        "y_true", (F.col("m.prob") >= 0.5).cast("int").alias("y_pred"), F.col("m.prob").alias("y_prob"),
+    )
 
 
 PREDICTIONS_SQL = """

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -240,6 +241,27 @@ def test_draws_by_inverse_transform():
     assert not inference.multinomial_draws(np.zeros(4, dtype=int), "13:z", 3).any()
 
 
+def test_draws_of_many_rows_take_little_memory_and_are_exact():
+    f = inference.log_factorials(0, 400)
+    assert np.allclose(f, [math.lgamma(n + 1) for n in range(401)], rtol=1e-14, atol=1e-14) and abs(inference.log_factorials(10**9, 10**9)[0] / math.lgamma(10**9 + 1) - 1) < 1e-14
+    tracemalloc.start()
+    x = inference.binomial_draws(np.array([4 * 10**7, 4 * 10**7 + 2]), 0.5, np.array([0.5, 0.5]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert x.tolist() == [2 * 10**7, 2 * 10**7 + 1] and peak < 50e6
+
+
+def test_models_of_a_row_meet_in_one_shuffle(spark):
+    rows = [("A", 1, 5, 1, 1), ("B", 1, 5, 1, 0), ("C", 1, 5, 1, 1), ("A", 1, 6, 0, 0), ("B", 2, 6, 0, 0), ("A", None, 7, 0, 0), ("B", None, 7, 0, 0), ("B", 1, 6, 0, 1), ("B", 1, 6, 0, 0)]
+    p = spark.createDataFrame(rows, "model_id string, seed int, row_pos long, y_true int, y_pred int")
+    pairs = spark.createDataFrame([("A", "B"), ("B", "C")], "a_id string, b_id string")
+    out = inference.align(p, pairs)
+    assert sorted(map(tuple, out.collect())) == [("A", "B", 1, 5, 1, 1, 0), ("A", "B", 1, 6, 0, 0, 0), ("A", "B", 1, 6, 0, 0, 1), ("B", "C", 1, 5, 1, 0, 1)]
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="truths differ"):
+        inference.align(p.unionByName(p.where("model_id = 'C'").withColumns({"row_pos": F.lit(6).cast("long")})), pairs).collect()
+
+
 def test_length_buckets_and_error_kinds(spark):
     rows = [(i, n) for i, n in enumerate([5, 5, 5, 5, 1, 9, 40_000, None, 7, 20_000])]
     got = {r["row_pos"]: r["bucket"] for r in metrics.length_buckets(spark.createDataFrame(rows, "row_pos long, n long"), "n", 3).collect()}
